@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
+    "op6_threshold_rules": quality.op6_threshold_rules,
     "op9_block_mixture": mixing.op9_block_mixture,
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_threshold_rules": quality.OP6_SQL,
+}
