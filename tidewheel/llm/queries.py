@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, sharding
 
 QUERIES = {
     "op6_threshold_rules": quality.op6_threshold_rules,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_block_mixture": mixing.op9_block_mixture,
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
 }
