@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, langid, mixing, quality, sharding, warc
 
 QUERIES = {
+    "op1_dictionary_warc": warc.op1_dictionary_warc,
+    "op3_word_backoff_langid": langid.op3_word_backoff_langid,
     "op6_threshold_rules": quality.op6_threshold_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_block_mixture": mixing.op9_block_mixture,
@@ -12,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_dictionary_warc": warc.OP1_SQL,
     "op6_threshold_rules": quality.OP6_SQL,
 }
