@@ -1,12 +1,79 @@
-"""A corpus pipeline: language ID, near-duplicates, repeated passages, mixing, byte-level BPE."""
+"""A corpus pipeline: language ID, near-duplicates, repeated passages, mixing, byte-level BPE.
+
+Every stage takes documents and, but for the last, returns documents with the same columns. Null
+and empty texts have no language and go in the first stage. Rows that share an id are taken as one
+document where ids decide; rows without an id can't be told apart there and stay. An empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm import bpe, langid, mixing, passages, simhash
+from tidewheel.llm.common import SPACES, table, written
+
+#: Documents with a lower score than this have no language that is clear enough.
+LEAST_SCORE = 0.5
+#: Near-duplicates are compared by shingles of five words.
+SHINGLE_WORDS = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is clear."""
+    model = langid.train(docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("seed")))
+    judged = langid.predict(docs, model, docs.columns)
+    return judged.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    found = simhash.near_duplicates(docs, width=SHINGLE_WORDS)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages of 100 bytes or more that start earlier elsewhere; documents with nothing left go."""
+    cut = passages.without_repeats(docs, with_text=True)
+    cut = cut.where((F.col("n_removed") == 0) | (F.length(F.translate("text", SPACES, "")) > 0))
+    others = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")}
+    if "n_chars" in others:
+        others["n_chars"] = F.when(F.col("n_removed") == 0, others["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[others[c].alias(c) if c in others else F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes its words, rounded to whole documents; those it takes less than half of go."""
+    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).withColumnRenamed("doc_id", "mixed_id")
+    times = mixed.select("mixed_id", F.round(F.try_divide("taken", "size")).cast("int").alias("times")).where("times > 0")
+    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as byte-level BPE ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: SQL can't express language ID's model, SimHash or BPE.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
+    return docs

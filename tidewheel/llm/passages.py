@@ -119,14 +119,16 @@ def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc and the text's bytes, compressed before they are shuffled."""
+    """doc, the text's bytes, compressed before they are shuffled, and rest if docs has it."""
+    rest = [f for f in docs.schema.fields if f.name == "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "packed"])
+            packed = pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=["doc", "packed", *(f.name for f in rest)])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary")
+    return docs.select("doc", "text", *(f.name for f in rest)).mapInArrow(run, ", ".join(["doc long, packed binary"] + [f"rest {f.dataType.simpleString()}" for f in rest]))
 
 
 def _cut(texts: DataFrame, firsts: DataFrame, length: int, shards: int, by_window: bool) -> DataFrame:
@@ -199,21 +201,25 @@ def covered(size: int, start: list[int], windows: list[int], length: int) -> np.
 
 
 def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, most_runs: int = MOST_RUNS, sample_docs: int = SAMPLE_DOCS, often: float = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left (bytes cut out of a character are dropped with it)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. with_text: also text, what is left (bytes cut out of a character are dropped with it), and rest, a struct of df's other columns."""
     docs = df.select(key_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     texts = packed_texts(docs)
     marks = repeated_windows(docs, texts, length, shard_bytes, most_runs, sample_docs, often)
     lists = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("own")).select("doc", F.col("own.start").alias("start"), F.col("own.windows").alias("windows"))
-    both = texts.join(lists, "doc", "left").select("doc", "packed", "start", "windows")
+    if with_text:
+        others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+        texts = packed_texts(df.select(key_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest")))
+    both = texts.join(lists, "doc", "left").select("doc", "packed", "start", "windows", *["rest"] * with_text)
+    more = f", text string, rest {texts.schema['rest'].dataType.simpleString()}" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         last = (1 << 63) - 1
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256).to_pydict()
+                part = batch.slice(k, 256)
                 ids, sizes, removed, spans, digests, left = [], [], [], [], [], []
-                for doc, packed, start, windows in zip(part["doc"], part["packed"], part["start"], part["windows"]):
+                for doc, packed, start, windows in zip(*(part.column(c).to_pylist() for c in range(4))):
                     text = press.decompress(packed)
                     kept, gone, n = text, 0, 0
                     if start:
@@ -228,9 +234,12 @@ def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False
                     digests.append(hashlib.sha256(kept).hexdigest())
                     left.append(kept.decode(errors="ignore") if with_text else None)
                 cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(left, pa.string())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text)
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if with_text:
+                    cols, names = [*cols, pa.array(left, pa.string()), part.column(4)], [*names, "text", "rest"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
 
 
 def op8_run_length_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, quality, sharding, simhash, warc
+from . import ann, bpe, langid, mixing, passages, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_dictionary_warc": warc.op1_dictionary_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_vantage_ann": ann.op5_vantage_ann,
     "op6_threshold_rules": quality.op6_threshold_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_run_length_passages": passages.op8_run_length_passages,
     "op9_block_mixture": mixing.op9_block_mixture,
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
 }
