@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, passages, quality, sharding, simhash, warc
+from . import ann, bpe, langid, lmscore, mixing, passages, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_dictionary_warc": warc.op1_dictionary_warc,
     "op2_vantage_simhash": simhash.op2_vantage_simhash,
     "op3_word_backoff_langid": langid.op3_word_backoff_langid,
+    "op4_attention_score": lmscore.op4_attention_score,
     "op5_vantage_ann": ann.op5_vantage_ann,
     "op6_threshold_rules": quality.op6_threshold_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
