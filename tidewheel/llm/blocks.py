@@ -6,9 +6,10 @@ as arrays of codes, a code being a word's place in the block's lists. Whatever a
 counts) is then worked out once for each distinct word of the corpus, sent back to the blocks, and
 the documents are put together from it by position.
 
-The two outputs come from two runs of the same function over the same partitions. Each carries a
-checksum of the block's words, and putting together fails if they differ; so the input must be a
-table or anything else whose partitions come out alike when they are computed again.
+The two outputs come from one run that is written (``coded``), or from two runs of the same function
+over the same partitions. Each carries a checksum of the block's words, and putting together fails if
+they differ; so for two runs the input must be a table or anything else whose partitions come out
+alike when they are computed again.
 """
 
 from __future__ import annotations
@@ -106,15 +107,32 @@ def list_count(docs: DataFrame) -> int:
     return max(LISTS, 2 * docs.rdd.getNumPartitions())
 
 
+def _doc_batches(block: _Block, code: np.ndarray, check: int) -> Iterator[dict[str, pa.Array]]:
+    for k in range(0, len(block.docs), 512):
+        part = block.docs[k : k + 512]
+        yield {"block": pa.array([block.number] * len(part), pa.int64()), "check": pa.array([check] * len(part), pa.int64()), "doc_id": pa.array([d for d, _, _ in part], pa.int64()), "flag": pa.array([f for _, f, _ in part], pa.bool_()), "codes": pa.array([packed(code[n]) for _, _, n in part], pa.binary())}
+
+
+def _word_batches(block: _Block, own: list[list[bytes]], code: np.ndarray, check: int, counted: bool) -> Iterator[dict[str, pa.Array]]:
+    ends = np.cumsum([len(x) for x in own])
+    counts = np.zeros(len(code), np.int64)
+    flagged = [numbers for _, flag, numbers in block.docs if flag] if counted else []
+    for k in range(0, len(flagged), 1000):
+        counts += np.bincount(code[np.concatenate(flagged[k : k + 1000])], minlength=len(code))
+    rows = [(k, packed_words(x), packed(counts[e - len(x) : e].astype(np.uint32)) if counted else None) for k, (x, e) in enumerate(zip(own, ends)) if x]
+    for k in range(0, len(rows), 32):
+        part = rows[k : k + 32]
+        yield {"block": pa.array([block.number] * len(part), pa.int64()), "check": pa.array([check] * len(part), pa.int64()), "list": pa.array([r[0] for r in part], pa.int32()), "words": pa.array([r[1] for r in part], pa.binary()), "counts": pa.array([r[2] for r in part], pa.binary())}
+
+
 def coded_docs(docs: DataFrame, split: Callable[[str], list], lists: int) -> DataFrame:
     """docs has the columns doc_id, flag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, split, lists):
             _, code, check = block.settled()
-            for k in range(0, len(block.docs), 512):
-                part = block.docs[k : k + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([block.number] * len(part), pa.int64()), pa.array([check] * len(part), pa.int64()), pa.array([d for d, _, _ in part], pa.int64()), pa.array([f for _, f, _ in part], pa.bool_()), pa.array([packed(code[n]) for _, _, n in part], pa.binary())], names=["block", "check", "doc_id", "flag", "codes"])
+            for cols in _doc_batches(block, code, check):
+                yield pa.RecordBatch.from_pydict(cols)
 
     return docs.mapInArrow(run, DOC_SCHEMA)
 
@@ -125,14 +143,23 @@ def block_words(docs: DataFrame, split: Callable[[str], list], lists: int, count
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, split, lists):
             own, code, check = block.settled()
-            ends = np.cumsum([len(x) for x in own])
-            counts = np.zeros(len(code), np.int64)
-            for _, flag, numbers in block.docs if counted else ():
-                if flag:
-                    counts += 0 if not len(numbers) else np.bincount(code[numbers], minlength=len(code))
-            rows = [(k, packed_words(x), packed(counts[e - len(x) : e].astype(np.uint32)) if counted else None) for k, (x, e) in enumerate(zip(own, ends)) if x]
-            for k in range(0, len(rows), 32):
-                part = rows[k : k + 32]
-                yield pa.RecordBatch.from_arrays([pa.array([block.number] * len(part), pa.int64()), pa.array([check] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], names=["block", "check", "list", "words", "counts"])
+            for cols in _word_batches(block, own, code, check, counted):
+                yield pa.RecordBatch.from_pydict(cols)
 
     return docs.mapInArrow(run, WORD_SCHEMA)
+
+
+def coded(docs: DataFrame, split: Callable[[str], list], lists: int) -> DataFrame:
+    """The rows of coded_docs and of block_words (with counts) from one run; list is null in the former. To be written: it costs room instead of a second run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, split, lists):
+            own, code, check = block.settled()
+            for cols in _doc_batches(block, code, check):
+                n = len(cols["block"])
+                yield pa.RecordBatch.from_pydict(cols | {"list": pa.nulls(n, pa.int32()), "words": pa.nulls(n, pa.binary()), "counts": pa.nulls(n, pa.binary())})
+            for cols in _word_batches(block, own, code, check, True):
+                n = len(cols["block"])
+                yield pa.RecordBatch.from_pydict({"block": cols["block"], "check": cols["check"], "doc_id": pa.nulls(n, pa.int64()), "flag": pa.nulls(n, pa.bool_()), "codes": pa.nulls(n, pa.binary()), "list": cols["list"], "words": cols["words"], "counts": cols["counts"]})
+
+    return docs.mapInArrow(run, DOC_SCHEMA + ", list int, words binary, counts binary")
