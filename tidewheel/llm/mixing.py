@@ -94,7 +94,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, out
 def mix(df: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted), source."""
     placed, sources = laid_out(df, id_col, text_col, source_col)
-    draws = slots(sources, block_words, seed).groupBy("src", "block").agg(F.count("*").alias("draws"))
+    # a row for each block of the corpus: Spark would guess its size from the short source table and broadcast it
+    draws = slots(sources, block_words, seed).groupBy("src", "block").agg(F.count("*").alias("draws")).hint("merge")
     end = F.col("start") + F.col("size")
     pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)))))
     overlap = F.least(end, (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
