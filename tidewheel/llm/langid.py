@@ -63,6 +63,13 @@ class Model:
         return None
 
 
+def _columns(df: DataFrame) -> list[tuple[str, str, int]]:
+    """A bounded table (key, lang, n) on the driver, by way of columns: rows as objects take several times the memory."""
+    columns = df.toArrow()
+    names = {x: x for x in columns.column(1).unique().to_pylist()}
+    return list(zip(columns.column(0).to_pylist(), map(names.__getitem__, columns.column(1).to_pylist()), columns.column(2).to_pylist()))
+
+
 def _log_table(rows: list, langs: list[str], totals: np.ndarray, kinds: int) -> tuple[dict[str, int], np.ndarray]:
     """rows (key, lang, n) to numbers of keys and their smoothed log frequencies."""
     at, where = {}, {lang: k for k, lang in enumerate(langs)}
@@ -85,7 +92,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WO
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     try:
         top = words.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words)
-        word_rows = words.join(top, "word").select("word", "lang", "n").collect()
+        word_rows = _columns(words.join(top, "word").select("word", "lang", "n"))
         totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
         if not totals:
             return None
@@ -100,7 +107,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WO
         for n in range(1, max_n + 1):
             own = grams.where(F.col("order") == n)
             top = own.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max_grams)
-            gram_rows.append(own.join(top, "gram").select("gram", "lang", "n").collect())
+            gram_rows.append(_columns(own.join(top, "gram").select("gram", "lang", "n")))
             gram_totals[n] = {r[0]: r[1] for r in own.groupBy("lang").agg(F.sum("n")).collect()}
         grams.unpersist()
     finally:
