@@ -84,7 +84,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, out
     planned = sources.where("source_size > 0 and target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     planned = planned.withColumn("n_slots", F.least(MOST_PASSES * F.col("n_blocks"), F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long"))).where("n_slots > 0")
     chunks = planned.select("src", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_A_CHUNK))).alias("chunk"))
-    chunks = chunks.repartition("src", "chunk")
+    # few and short rows that become many: with a number of its own, this exchange isn't coalesced to one task
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     first = F.col("chunk") * SLOTS_A_CHUNK
     each = chunks.select("src", "n_blocks", F.explode(F.sequence(first, F.least(first + SLOTS_A_CHUNK, F.col("n_slots")) - 1)).alias("slot"))
     each = each.withColumns({"pass_no": F.floor(F.col("slot") / F.col("n_blocks")), "place": F.pmod("slot", "n_blocks")})
