@@ -33,7 +33,7 @@ MIN_BYTES = 100
 #: The magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 * 1024
-#: The sample for the dictionary: at most so many records, each of at most so many bytes.
+#: The sample for the dictionary: about so many records (at most twice as many), each of at most so many bytes.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8 * 1024
 #: An archive file is closed when it has so many bytes.
@@ -95,8 +95,10 @@ def marked(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", u
 
 
 def sample_of(df: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
-    """At most so many payloads' beginnings, those with the smallest hashes: a bounded sample for the dictionary alone."""
-    found = df.select(F.xxhash64("html", "page_id").alias("h"), F.substring("html", 1, most).alias("s")).where("s is not null and s <> ''").orderBy("h", "s").limit(rows).collect()
+    """About so many payloads' beginnings, at most twice as many: those whose hash falls under a threshold that follows from the count, so tasks send no more however many they are. A bounded sample for the dictionary alone."""
+    share = min(1.0, rows / max(1, df.count()))
+    chosen = df.select(F.xxhash64("html", "page_id").alias("h"), F.substring("html", 1, most).alias("s")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = chosen.where("s is not null and s <> ''").orderBy("h", "s").limit(2 * rows).collect()
     return [r["s"].encode() for r in found]
 
 
