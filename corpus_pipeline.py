@@ -19,6 +19,8 @@ from tidewheel.llm.common import SPACES, table, written
 LEAST_SCORE = 0.5
 #: Near-duplicates are compared by shingles of five words.
 SHINGLE_WORDS = 5
+#: Of the draws that round a document's share of the mix to whole documents.
+ROUNDING_SEED = 12
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +48,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes its words, rounded to whole documents; those it takes less than half of go."""
+    """Repeats each document as often as the mix takes its words; the fraction is one more copy with that probability, drawn by a hash of the id (of the text, without one)."""
     mixed = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).withColumnRenamed("doc_id", "mixed_id")
-    times = mixed.select("mixed_id", F.round(F.try_divide("taken", "size")).cast("int").alias("times")).where("times > 0")
-    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    shares = mixed.select("mixed_id", F.try_divide("taken", "size").alias("share")).where("share > 0")
+    draw = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(ROUNDING_SEED)), F.lit(1 << 53)) / float(1 << 53)
+    both = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("times", (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("int")).cast("int"))
+    return both.where("times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from tests.llm.test_structure_operators import WORD, key, passage_truth, simhash_truth
+from tests.llm.test_structure_operators import WORD, key, passage_truth, simhash_truth, targets_of
 from tidewheel.llm import bpe
 from tidewheel.llm.common import written
 
@@ -49,3 +49,19 @@ def test_stages_take_odd_tables(spark, docs, empty):
         for _, stage in corpus_pipeline.STAGES:
             df = written(stage(spark, df, ""), "odd")
         assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_each_source_gets_its_words_whatever_its_ratio(spark):
+    rows = [(k, " ".join(["w"] * (100 + k * 7919 % 700)), "a" if k % 3 == 0 else "bcdef"[k % 5]) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes, got = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    out = [tuple(r) for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    for _, t, s in out:
+        got[s] += len(t.split())
+    targets = targets_of(sizes)
+    assert min(t / sizes[s] for s, t in targets.items()) < 0.4
+    assert max(Counter(r[0] for r in out).values()) <= 3
+    for s, t in targets.items():
+        assert abs(got[s] - t) <= 0.1 * t
