@@ -12,13 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, langid, mixing, passages, simhash
+from tidewheel.llm import bpe, langid, mixing, passages, shingles
 from tidewheel.llm.common import SPACES, table, written
 
 #: Documents with a lower score than this have no language that is clear enough.
 LEAST_SCORE = 0.5
-#: Near-duplicates are compared by shingles of five words.
-SHINGLE_WORDS = 5
+#: Near-duplicates share this part of their shingles of five words, or more (Jaccard).
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Of the draws that round a document's share of the mix to whole documents.
 ROUNDING_SEED = 12
 
@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that with the smallest id."""
-    found = simhash.near_duplicates(docs, width=SHINGLE_WORDS)
+    found = shingles.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup by five-word Jaccard", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("mixing sources to target weights", mixture),
     ("byte-level BPE encoding and decoding", tokens),

@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_structure_operators import WORD, key, passage_truth, simhash_truth, targets_of
-from tidewheel.llm import bpe
+from tidewheel.llm import bpe, shingles
 from tidewheel.llm.common import written
 
 
@@ -65,3 +65,39 @@ def test_each_source_gets_its_words_whatever_its_ratio(spark):
     assert max(Counter(r[0] for r in out).values()) <= 3
     for s, t in targets.items():
         assert abs(got[s] - t) <= 0.1 * t
+
+
+def test_near_duplicates_are_those_of_similarity_point_eight(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = [(10**6 + k, " ".join(f"x{k // 40}y{j}" if j % 97 != k % 40 else f"z{k}" for j in range(400)), "en", "s", 0) for k in range(80)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    rows = [tuple(r) for r in docs.collect()]
+    held, groups = {}, defaultdict(set)
+    for r in rows:
+        words = [w.decode() for w in (r[1] or "").encode().lower().split()]
+        held[r[0]] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for g in held[r[0]]:
+            groups[g].add(r[0])
+    root = {i: i for i in held}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in held.items():
+        for j, n in Counter(j for g in own for j in groups[g] if j < i).items():
+            if n >= 0.8 * (len(own) + len(held[j]) - n) - 1e-9:
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    empty = min((i for i, own in held.items() if not own), default=None)
+    kept = {i for i, own in held.items() if (top(i) == i if own else i == empty)}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == kept
+
+
+def test_a_forest_connects_what_is_similar():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    found = [np.unique(np.concatenate([base[k * 20 : k * 20 + 200], base[:1]])) for k in range(6)] + [rng.integers(0, 1 << 63, 50, dtype=np.uint64)]
+    a, b = shingles.forest(found, 0.8)
+    assert len(a) == 5 and {*a, *b} == set(range(6))
