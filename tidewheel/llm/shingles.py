@@ -29,6 +29,8 @@ from .simhash import MOST_ROWS, SEED, components, tiled
 BANDS, ROWS = 24, 6
 #: Shingles that are permuted at once.
 AT_ONCE = 2048
+#: Texts with a candidate are marked in a bitmap of this many slots, made in pages; where it fills up, more sets than needed are read.
+SLOTS, PAGE = 1 << 24, 1 << 15
 _RNG = np.random.default_rng(SEED)
 _FLIPS, _FACTORS = (_RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
@@ -57,19 +59,47 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
-def sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp (a hash of the set), bands, shingles (the set)."""
+def _hashed(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def sets(texts: DataFrame, width: int) -> DataFrame:
+    """texts (doc_id, text, slot) to doc_id, slot, fp (a hash of the set), bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, each = [], []
+            for t in batch.column(1).to_pylist():
+                own = shingle_set(t, width)
+                fps.append(_hashed(own))
+                each.append(bands(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(each, pa.list_(pa.int64()))], names=["doc_id", "slot", "fp", "bands"])
+
+    return texts.mapInArrow(run, "doc_id long, slot long, fp long, bands array<long>")
+
+
+def met(texts: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """fp, shingles of the sets in rows (and of the few others whose text has the same slot), from the texts again: sets are larger than texts."""
+
+    def page(key: tuple, group: pa.Table) -> pa.Table:
+        bits = np.zeros(PAGE, bool)
+        bits[group["slot"].to_numpy() % PAGE] = True
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    slots = docs.join(rows.select("fp").distinct(), "fp", "left_semi").select("slot").distinct().withColumn("page", F.floor(F.col("slot") / PAGE))
+    marks = np.zeros(SLOTS // 8, np.uint8)
+    for k, bits in slots.groupBy("page").applyInArrow(page, "page long, bits binary").collect():  # SLOTS bits, whatever the input
+        marks[k * PAGE // 8 : (k + 1) * PAGE // 8] = np.frombuffer(bits, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
-                found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-                each = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), each, pa.array([packed(s) for s in found], pa.binary())], names=["doc_id", "fp", "bands", "shingles"])
+        marked = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for t in batch.column(1).filter(pa.array(marked[batch.column(2).to_numpy()])).to_pylist():
+                own = shingle_set(t, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_hashed(own)], np.uint64).view(np.int64)), pa.array([packed(own)], pa.binary())], names=["fp", "shingles"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>, shingles binary")
+    return texts.mapInArrow(run, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def forest(found: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -98,26 +128,26 @@ def forest(found: list[np.ndarray], similarity: float) -> tuple[list[int], list[
     return a, b
 
 
-def links(docs: DataFrame, similarity: float, most: int = MOST_ROWS) -> DataFrame:
-    """sets() to edges (a, b) between distinct sets that connect what is linked, and nothing else."""
+def links(texts: DataFrame, docs: DataFrame, width: int, similarity: float, most: int = MOST_ROWS) -> DataFrame:
+    """texts and their sets() to edges (a, b) between distinct sets that connect what is linked, and nothing else."""
     banded = written(docs.select("fp", F.posexplode("bands").alias("tree", "path")).distinct(), "bands")
     members = banded.groupBy("tree", "path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
     buckets = members.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "path")).alias("of")).select("of.*")
     rows = written(banded.join(buckets.hint("merge"), ["tree", "path"]).withColumn("home", F.lit(True)), "candidates")
-    met = docs.select("fp", "shingles").join(rows.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-
     def run(group: pa.Table) -> pa.Table:
         fps = group["fp"].to_numpy()
         a, b = forest([unpacked(s, np.uint64) for s in group["shingles"].to_pylist()], similarity)
         return pa.table({"a": pa.array(fps[a], pa.int64()), "b": pa.array(fps[b], pa.int64())})
 
-    return tiled(rows, most).join(met.hint("merge"), "fp").groupBy("tree", "path", "tile", "tile2").applyInArrow(run, "a long, b long")
+    return tiled(rows, most).join(met(texts, docs, rows, width).hint("merge"), "fp").groupBy("tree", "path", "tile", "tile2").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (the smallest id of the component)."""
-    docs = written(sets(df, width, id_col, text_col), "sets")
-    roots = components(links(docs, similarity))
+    text = F.col(text_col).cast("string")
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(SLOTS)).alias("slot"))
+    docs = written(sets(texts, width), "sets")
+    roots = components(links(texts, docs, width, similarity))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
