@@ -141,6 +141,13 @@ def test_simhash_shards_lose_no_link(spark, blocks, levels, most):
     assert groups(lambda c: found.get(c, c)) == groups(want.get)
 
 
+def test_components_that_have_not_settled_raise(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, most_rounds=1)
+
+
 # -- nearest neighbours ------------------------------------------------------------------------------
 
 

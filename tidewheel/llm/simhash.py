@@ -232,6 +232,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
