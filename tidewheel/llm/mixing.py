@@ -3,7 +3,7 @@
 The words of a source, document after document, are packed into blocks of fixed length. Each source
 gets as many slots as its target asks for; a slot's output shard is drawn by a hash, so the number
 of slots that a source has in an output shard follows a multinomial law while its total stays
-exact. Slots are mapped to blocks through a pseudorandom permutation of each source's block
+exact. ``mix`` does not use the shards, so the draw has no effect on any query. Slots are mapped to blocks through a pseudorandom permutation of each source's block
 indexes, one for every pass over the source, and joined with the blocks by index. Only DataFrame
 functions are used.
 
