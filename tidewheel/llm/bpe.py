@@ -4,7 +4,8 @@ Texts are cut before every word, where no match of the pre-token pattern can rea
 with the one space before it, or a run of white space. Each block of documents keeps its words'
 positions and sends out its distinct words; over all blocks each distinct word is encoded once (its
 pattern matches one by one); the ids are joined back to the blocks and put together by position.
-Decoding joins the token-byte table, which has as many rows as the vocabulary.
+Decoding looks ids up in the token-byte table, which each worker loads and which has as many rows as
+the vocabulary; there is no join.
 
 A null text is an empty one: no ids. Null ids and repeated rows are kept as they are, one result a
 row; texts of any length are encoded whole; an empty table gives no rows. The strings of special
