@@ -6,12 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of anything but a space and the bytes 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Tables written by operators in this process, for ``release``.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster that is an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidewheel"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,13 +40,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever store it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def key_or_last(col: Column) -> Column:
-    """A document's id as its place in the order of ids; null ids come last, as one id."""
-    return F.coalesce(col.cast("long"), F.lit((1 << 63) - 1))
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written so far in this process: to be called once results are stored, as they are read lazily."""
+    while _WRITTEN:
+        dropped(spark, _WRITTEN.pop())

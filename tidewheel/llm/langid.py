@@ -4,10 +4,12 @@ A known word scores by its log frequency in each language. A word that training
 by its character n-grams of the longest order of which any is known, from ``max_n`` down to single
 letters. A text's score for a language is the sum over its words plus the language's log share.
 
-Fitting reads the labelled rows alone, at most about ``max_docs`` of them: when there are more, those
-whose hash falls under a threshold that follows from their exact count. So the model has at most
-``max_words`` words and ``max_grams`` n-grams of each order and is small enough to send to every
-task, at any size of the corpus. Prediction is one pass over whole texts without a shuffle.
+Fitting reads the labelled rows alone, at most about ``docs_a_lang`` of each language: where there are
+more, those whose hash falls under a threshold that follows from the language's own exact count, so
+rare languages are learned as well as frequent ones. All words and n-grams of these rows are kept;
+the bound on rows keeps the model small enough to send to every task, at any size of the corpus.
+Prediction is one pass over whole texts without a shuffle. A letter is a character of the Unicode
+categories L*, both in fitting and in prediction.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does every text if nothing
 could be learned. Null ids, null languages (not learned from) and repeated rows are kept; ties go to
@@ -17,8 +19,9 @@ columns are never looked at in prediction.
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,15 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-MAX_DOCS = 6_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 30_000
+#: About so many labelled rows of each language are learned from, at most.
+DOCS_A_LANG = 1_500
 MAX_N = 4
 UND = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _letters() -> re.Pattern:
+    """Runs of letters: of what isn't a digit among word characters, numbers (categories Nl and No) are left out."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+
+
+_LETTERS = _letters()
 #: So many words of a worker's own are remembered.
 _MEMO = 200_000
 
@@ -81,39 +90,37 @@ def _log_table(rows: list, langs: list[str], totals: np.ndarray, kinds: int) ->
     return at, np.log((counts + 0.5) / (totals + 0.5 * max(1, kinds)))
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_n: int = MAX_N) -> Model | None:
+def chosen(labelled: DataFrame, docs_a_lang: int) -> tuple[DataFrame, dict[str, int]]:
+    """About docs_a_lang rows of each language at most, equal rows once; the languages' exact counts."""
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    if not counts:
+        return labelled, counts
+    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_a_lang / n) * (1 << 40))])
+    place = F.xxhash64("lang", "seed", "text")
+    return labelled.where(F.pmod(place, F.lit(1 << 40)) < least[F.col("lang")]).dropDuplicates(["lang", "seed", "text"]), counts
+
+
+def train(labelled: DataFrame, docs_a_lang: int = DOCS_A_LANG, max_n: int = MAX_N) -> Model | None:
     """labelled: text, lang, seed (a stable number for each row). None if there is nothing to learn."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_docs = labelled.count()
-    if not n_docs:
+    labelled, shares = chosen(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), docs_a_lang)
+    if not shares:
+        return None
+    words = written(labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
+    word_rows = _columns(words.select("word", "lang", "n"))
+    totals: dict[str, int] = {}
+    for _, lang, n in word_rows:
+        totals[lang] = totals.get(lang, 0) + n
+    if not totals:
         return None
-    if n_docs > max_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("seed", "lang"), F.lit(1 << 32)) < int(max_docs / n_docs * (1 << 32)))
-    words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
-    try:
-        top = words.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words)
-        word_rows = _columns(words.join(top, "word").select("word", "lang", "n"))
-        totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
-        if not totals:
-            return None
-        marked = words.withColumn("marked", F.concat(F.lit(" "), "word", F.lit(" ")))
-        grams = None
-        for n in range(1, max_n + 1):
-            own = marked.where(F.length("marked") >= n).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i, n=n: F.substr("marked", i, F.lit(n)))).alias("gram"), F.lit(n).alias("order"), "n")
-            own = own.groupBy("lang", "gram", "order").agg(F.sum("n").alias("n"))
-            grams = own if grams is None else grams.unionByName(own)
-        grams = grams.where(F.trim("gram") != "").persist()
-        gram_rows, gram_totals = [], {}
-        for n in range(1, max_n + 1):
-            own = grams.where(F.col("order") == n)
-            top = own.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max_grams)
-            gram_rows.append(_columns(own.join(top, "gram").select("gram", "lang", "n")))
-            gram_totals[n] = {r[0]: r[1] for r in own.groupBy("lang").agg(F.sum("n")).collect()}
-        grams.unpersist()
-    finally:
-        words.unpersist()
+    marked = words.withColumn("marked", F.concat(F.lit(" "), "word", F.lit(" ")))
+    gram_rows, gram_totals = [], {}
+    for n in range(1, max_n + 1):
+        own = marked.where(F.length("marked") >= n).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i, n=n: F.substr("marked", i, F.lit(n)))).alias("gram"), "n")
+        gram_rows.append(_columns(own.where(F.trim("gram") != "").groupBy("gram", "lang").agg(F.sum("n").alias("n"))))
+        gram_totals[n] = {}
+        for _, lang, k in gram_rows[-1]:
+            gram_totals[n][lang] = gram_totals[n].get(lang, 0) + k
     langs = sorted(totals, key=lambda x: x.encode())
-    shares = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     out = Model(langs, np.log(np.array([shares.get(x, 0) + 1.0 for x in langs]) / (sum(shares.values()) + len(langs))), max_n=max_n)
     out.words, out.word_scores = _log_table(word_rows, langs, np.array([totals[x] for x in langs], float), len({r[0] for r in word_rows}))
     scores = []
