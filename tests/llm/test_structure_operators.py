@@ -152,21 +152,24 @@ def test_components_that_have_not_settled_raise(spark):
 
 
 def near_truth(rows, every, k):
-    live = {i: v for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    out = []
-    for q, v in live.items():
-        if q % every == 0:
-            found = sorted((float(np.sqrt(np.square(np.array(v, float) - np.array(w, float)).sum())), i) for i, w in live.items() if i != q and len(w) == len(v))
-            out += [(q, r, i, d) for r, (d, i) in enumerate(found[:k], 1)]
-    return out
-
-
-def test_neighbours_are_exact_with_factor_one(spark):
+    live = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    near = defaultdict(dict)
+    with np.errstate(over="ignore"):
+        for q, v in live:
+            for i, w in live:
+                if q % every == 0 and i != q and len(w) == len(v):
+                    near[q][i] = min(float(np.sqrt(np.square(np.array(v, float) - np.array(w, float)).sum())), near[q].get(i, np.inf))
+    return [(q, r, i, d) for q, own in near.items() for r, (d, i) in enumerate(sorted((d, i) for i, d in own.items())[:k], 1)]
+
+
+@pytest.mark.parametrize("sizes", [{"shard_rows": 100, "query_rows": 20}, {"shard_rows": 30, "group_queries": 9}, {}])
+def test_neighbours_are_exact_with_factor_one(spark, sizes):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
     rows += [(400 + i, rows[5][1]) for i in range(30)] + [(500, None), (501, [0.0] * 8), (502, [float("nan")] + [1.0] * 7), (503, [None] + [1.0] * 7), (504, [float("inf")] + [1.0] * 7), (510, [1.0] * 3), (520, [2.0] * 3), (None, [1.0] * 8), rows[0]]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, v int")
-    got = ann.nearest(df, every=10, factor=1.0, shard_rows=100, query_rows=20).collect()
+    rows += [(10, rng.normal(size=8).tolist()), (7, rng.normal(size=8).tolist()), (7, rows[20][1]), (600, [1e200] * 2), (610, [-1e200] * 2), (620, [3e199, 1.0]), (601, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, v int")
+    got = ann.nearest(df, every=10, factor=1.0, **sizes).collect()
     assert [(*r[:3], round(r[3], 9)) for r in sorted(map(tuple, got))] == [(*r[:3], round(r[3], 9)) for r in sorted(near_truth(rows, 10, 10))]
     assert ann.nearest(df.where("vec_id < 0")).count() == 0
 
@@ -181,6 +184,40 @@ def test_neighbours_recall(spark):
     assert all(abs(truth[r["query_id"], r["vec_id"]] - r["score"]) < 1e-9 for r in got if (r["query_id"], r["vec_id"]) in truth)
 
 
+@pytest.mark.parametrize("rank", [64, 8])
+def test_neighbours_recall_on_fifty_thousand_rows(spark, tmp_path, rank):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(50_000, rank)) @ (np.eye(64) if rank == 64 else rng.normal(size=(rank, 64)))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 64).cast(pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    got = ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), every=500).collect()
+    squares = np.square(x).sum(axis=1)
+    hits = defaultdict(set)
+    for r in got:
+        hits[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, 50_000, 500):
+        d = squares - 2 * x @ x[q]
+        d[q] = np.inf
+        recall.append(len(hits[q] & {*np.argpartition(d, 10)[:10].tolist()}) / 10)
+    assert np.mean(recall) >= 0.95 and len(got) == 1000
+
+
+def test_coarse_bounds_skip_no_neighbour():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 3))
+    coarse = ann.Coarse(x[::3], np.arange(0, 3000, 3), 16)
+    leaf = coarse.leaf_of(x)
+    at, to = coarse.visits(x[:100], np.arange(100), 10, 1.0)
+    assert coarse.leaves == 16 and len(at) < 100 * 16
+    for q in range(100):
+        d = ann.distances(x[q][None, :], x)[0]
+        d[q] = np.inf
+        assert {*leaf[np.argsort(d)[:10]].tolist()} <= {*to[at == q].tolist()}
+
+
 def test_a_larger_factor_searches_less():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 4))
@@ -305,15 +342,23 @@ def test_mix_permutation_visits_each_block_once_a_pass(spark):
 # -- sharding ----------------------------------------------------------------------------------------
 
 
-def test_sharding(spark, docs, raw, empty):
-    got = sharding.shard(docs).collect()
-    law = lambda r: (r[0], len((r[1] or "").encode()) + 1, None if r[1] is None else zlib.crc32(r[1].encode()))
-    assert key((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == key(map(law, raw))
-    slots = defaultdict(list)
+def sharding_law(got, rows, shards=8, slack=200):
+    expected = [(r[0], len((r[1] or "").encode()) + 1, None if r[1] is None else zlib.crc32(r[1].encode())) for r in rows]
+    assert key((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == key(expected)
+    slots, load = defaultdict(list), Counter({s: 0 for s in range(shards)})
     for r in got:
         slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
         assert r["law"] == "bytes" and r["grown_shard"] is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) <= max([slack, *(e[1] for e in expected)])
+
+
+@pytest.mark.parametrize("bucket_rows", [sharding.BUCKET_ROWS, 50])
+def test_sharding(spark, docs, raw, empty, bucket_rows):
+    sharding_law(sharding.shard(docs, bucket_rows=bucket_rows).collect(), raw)
+    rows = [(k, "x" * 10) for k in range(200)] + [(7, "y" * 15)] * 2800 + [(None, None)] * 9000
+    sharding_law(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=bucket_rows).collect(), rows)
     assert sharding.shard(empty).count() == 0
 
 
@@ -323,10 +368,25 @@ def test_shards_are_even(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.01 * max(sizes)
 
 
-def test_slot_map_versions(spark):
-    first = sharding.first_map(16, 4)
-    second = sharding.rebalanced(first, [9] * 4 + [1] * 12, 4)
-    assert sum(a != b for a, b in zip(first, second)) < 16
-    stored = sharding.store_map(spark, [first, second]).collect()
-    assert {(r["version"], r["vslot"]): r["shard"] for r in stored} == {(v, k): s for v, m in ((1, first), (2, second)) for k, s in enumerate(m)}
-
+def test_a_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.add_version(spark, path, 1, sharding.first_map(64, 4))
+    rows = [(k, "x" * (k * 37 % 200)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 4, 64, map_path=path).collect()}
+    assert sharding.last_version(spark, path)[0] == 2
+    again = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 4, 64, map_path=path).collect()}
+    assert again == before and sharding.last_version(spark, path)[0] == 2  # nothing to edit, no new version
+    grown = spark.createDataFrame(rows + [(5000 + k, "y" * 90) for k in range(300)], "doc_id long, text string")
+    after = {r["doc_id"]: r["shard"] for r in sharding.shard(grown, 4, 64, map_path=path).collect()}
+    assert sharding.last_version(spark, path)[0] == 3
+    assert 0 < sum(after[i] != s for i, s in before.items()) < 0.2 * len(before)
+
+
+def test_slot_maps_are_edited_until_no_move_helps():
+    assert sharding.rebalanced([0, 1, 2, 3], [5, 5, 5, 5], 2) in ([0, 1, 0, 1], [0, 1, 1, 0])
+    even = sharding.rebalanced(sharding.first_map(16, 4), [9] * 4 + [1] * 12, 4)
+    load = Counter()
+    for v, s in enumerate(even):
+        load[s] += ([9] * 4 + [1] * 12)[v]
+    assert {*load.values()} == {12}

@@ -1,22 +1,32 @@
 """Approximate nearest neighbours by vantage-point trees, one for each shard.
 
-Rows are dealt into shards by a hash of their id. A shard's tree cuts its vectors at the median
-distance to a vantage point; a search skips a branch if the triangle inequality says that it holds
-nothing nearer than the worst neighbour so far. With ``factor`` above one the bound is taken that
-many times tighter, so more is skipped and a neighbour may be missed; factor one is exact search.
-Queries meet shards in blocks: a task has one shard and one block of queries. Each gives its k
-nearest, and the k nearest of all shards are kept.
+A coarse tree of vantage points and distances, fitted on a bounded sample, deals all rows into
+shards. A shard's own tree cuts its vectors at the median distance to a vantage point; a search
+skips a branch if the triangle inequality says that it holds nothing nearer than the worst neighbour
+so far. With ``factor`` above one the bound is taken that many times tighter, so more is skipped and
+a neighbour may be missed; factor one is exact search. The same rule picks the shards that a query
+visits: the sample's k nearest bound its k-th distance, the coarse tree bounds what each shard can
+hold. A shard's tree is built once and the queries that visit it are streamed past it in blocks.
+Shards give each query its k nearest, and the k nearest of all are kept.
+
+``FACTOR`` is the one whose recall, measured on full shards of 16,384 rows of 64 dimensions, stays
+above 0.99: 1.5 gives 1.000 on normal rows and 0.998 on rows of rank 8 (2: 0.970, 4: 0.732).
 
 Of equal vectors only the k + 1 with the smallest ids can be among anyone's k nearest; Spark keeps
 just those before vectors are dealt. Every row stays findable under that rule.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows
-with a null id. Vectors meet those of their own length only. Repeated rows count once. A query's own
-id is never its neighbour. Ties go to the smaller id. An empty table gives no rows.
+with a null id. Vectors meet those of their own length only. Repeated rows count once. Different
+vectors under one id are all indexed and asked for: the id is as near as the nearest of them, fills
+one place in a list, and has one list. A query's own id is never its neighbour. Ties go to the
+smaller id. A distance beyond the range of doubles is infinite and comes last. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,15 +35,88 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 10
-FACTOR = 4.0
+FACTOR = 1.5
 SHARD_ROWS = 16_384
-QUERY_ROWS = 4_096
+#: Queries that are streamed past a shard's tree at once, and those of a group about.
+QUERY_ROWS, GROUP_QUERIES = 4_096, 65_536
+#: Rows of each length that the coarse tree is fitted on and that bound queries' distances, about; its leaves at most. Shards that come out larger are cut by a hash.
+SAMPLE_ROWS, MOST_LEAVES = 4_096, 1_024
 LEAF = 128
 
 
+class Coarse:
+    """Vantage points and distances that deal vectors into leaves 0, 1, ...; every leaf has the bounds that lead to it."""
+
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, leaves: int):
+        order = np.argsort(ids, kind="stable")
+        self.sample, self.ids = sample[order], ids[order]
+        self.leaves = 0
+        self.top = self._built(np.arange(len(ids)), leaves, 0)
+
+    def _built(self, rows: np.ndarray, leaves: int, depth: int):
+        if leaves > 1 and len(rows) > 1:
+            vantage = self.sample[rows[(depth * 7919) % len(rows)]]
+            d = distances(vantage[None, :], self.sample[rows])[0]
+            cut = float(np.quantile(d, (leaves // 2) / leaves))
+            inner = d <= cut
+            if not inner.all() and np.isfinite(cut):
+                return vantage, cut, self._built(rows[inner], leaves // 2, depth + 1), self._built(rows[~inner], leaves - leaves // 2, depth + 1)
+        self.leaves += 1
+        return self.leaves - 1
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+
+        def go(node, rows: np.ndarray) -> None:
+            if isinstance(node, int):
+                out[rows] = node
+            elif len(rows):
+                inner = distances(node[0][None, :], x[rows])[0] <= node[1]
+                go(node[2], rows[inner])
+                go(node[3], rows[~inner])
+
+        go(self.top, np.arange(len(x)))
+        return out
+
+    def limits(self, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The k-th smallest distance to different ids of the sample: no query's k-th neighbour is farther."""
+        out = np.full(len(x), np.inf)
+        _, at = np.unique(self.ids, return_inverse=True)
+        for r in range(len(x)):
+            d = distances(x[r][None, :], self.sample)[0]
+            d[self.ids == own[r]] = np.inf
+            if at[-1] + 1 < len(d):  # some id has several vectors
+                least = np.full(at[-1] + 1, np.inf)
+                np.minimum.at(least, at, d)
+                d = least
+            if len(d) > k:
+                out[r] = np.partition(d, k - 1)[k - 1]
+        return out
+
+    def visits(self, x: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, leaf) of all leaves that may hold a neighbour; a relaxed bound skips more."""
+        limit = self.limits(x, own, k)
+        rows_out, leaves_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def go(node, rows: np.ndarray, bound: np.ndarray) -> None:
+            keep = ~(bound * factor > limit[rows])
+            rows, bound = rows[keep], bound[keep]
+            if isinstance(node, int):
+                rows_out.append(rows)
+                leaves_out.append(np.full(len(rows), node, np.int64))
+            elif len(rows):
+                d = distances(node[0][None, :], x[rows])[0]
+                go(node[2], rows, np.fmax(bound, d - node[1]))
+                go(node[3], rows, np.fmax(bound, node[1] - d))
+
+        go(self.top, np.arange(len(x)), np.zeros(len(x)))
+        return np.concatenate(rows_out), np.concatenate(leaves_out)
+
+
 class VantageTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.vectors, self.ids = vectors, ids
+        self.several = len(np.unique(ids)) < len(ids)
         self.top = self._built(np.arange(len(ids)), leaf, 0)
 
     def _built(self, rows: np.ndarray, leaf: int, depth: int):
@@ -75,8 +158,9 @@ class VantageTree:
             self._visit(outside, q[~first], whole)
             return
         for branch, (low, high) in ((inside, inner), (outside, outer)):
-            bound = np.maximum(0, np.maximum(low - d, d - high))
-            self._visit(branch, q[bound * self.factor <= np.minimum(self.limit[q], self.near[q, -1])], whole)
+            with np.errstate(invalid="ignore"):
+                bound = np.fmax(0, np.fmax(low - d, d - high))
+                self._visit(branch, q[~(bound * self.factor > np.minimum(self.limit[q], self.near[q, -1]))], whole)
 
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         ids, x = self.ids[rows], self.vectors[rows]
@@ -98,6 +182,13 @@ class VantageTree:
             found = np.full(d.shape, np.iinfo(np.int64).max)
             d[:, : self.k], found[:, : self.k] = self.near[own], self.found[own]
             d[i, self.k + place], found[i, self.k + place] = np.sqrt(np.square(self.queries[own[i]] - x[j]).sum(axis=1)), ids[j]
+            if self.several:
+                # an id counts with its nearest vector: sorted by id and distance, all but the first of an id go to the end
+                by = np.lexsort((d, found), axis=-1)
+                d, found = np.take_along_axis(d, by, 1), np.take_along_axis(found, by, 1)
+                again = np.zeros(d.shape, bool)
+                again[:, 1:] = found[:, 1:] == found[:, :-1]
+                d[again], found[again] = np.inf, np.iinfo(np.int64).max
             best = np.lexsort((found, d), axis=-1)[:, : self.k]
             self.near[own], self.found[own] = np.take_along_axis(d, best, 1), np.take_along_axis(found, best, 1)
 
@@ -116,33 +207,74 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return rows.where(finite & F.exists(v, lambda x: x != 0)).distinct()
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy().reshape(len(whole), -1)
+
+
+def coarse_trees(rows: DataFrame, shard_rows: int, sample_rows: int = SAMPLE_ROWS, most_leaves: int = MOST_LEAVES) -> dict[int, Coarse]:
+    """A coarse tree for each length of vectors, fitted on a bounded sample of theirs: those whose hash falls under a threshold that follows from their count."""
+    out = {}
+    for length, n in rows.groupBy("length").count().collect():
+        share = min(1.0, sample_rows / n)
+        found = rows.where((F.col("length") == length) & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("vec_id", "v").toArrow()
+        out[length] = Coarse(matrix(found["v"]) if found.num_rows else np.empty((0, length)), found["vec_id"].to_numpy(), min(most_leaves, -(-n // shard_rows)))
+    return out
+
+
+def nearest(df: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, group_queries: int = GROUP_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose id is divisible by every."""
-    rows = written(usable(df, id_col, vector_col), "vectors").withColumn("length", F.size("v"))
-    shards = max(1, -(-rows.count() // shard_rows))
+    rows = written(usable(df, id_col, vector_col).withColumn("length", F.size("v")), "vectors")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-queries.count() // query_rows))
-    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    dealt = rows.withColumn("copy", first).where(F.col("copy") <= k + 1)
-    dealt = dealt.select("length", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    asked = queries.select("length", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    trees = rows.sparkSession.sparkContext.broadcast(coarse_trees(rows, shard_rows))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length in np.unique(batch.column(2)).tolist():
+                part = batch.filter(pa.array(batch.column(2).to_numpy() == length))
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(trees.value[length].leaf_of(matrix(part.column(1)))), part.column(0), part.column(1)], names=["length", "leaf", "vec_id", "v"])
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        flat = t["v"].combine_chunks().flatten().to_numpy()
-        return flat.reshape(t.num_rows, -1)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length in np.unique(batch.column(2)).tolist():
+                part = batch.filter(pa.array(batch.column(2).to_numpy() == length))
+                for m in range(0, part.num_rows, 512):
+                    own = part.slice(m, 512)
+                    at, leaf = trees.value[length].visits(matrix(own.column(1)), own.column(0).to_numpy(), k, factor)
+                    own = own.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([own.column(2), pa.array(leaf), own.column(0), own.column(1)], names=["length", "leaf", "vec_id", "v"])
+
+    schema = "length int, leaf long, vec_id long, v array<double>"
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    own = rows.withColumn("copy", first).where(F.col("copy") <= k + 1).select("vec_id", "v", "length").mapInArrow(deal, schema)
+    asked = queries.select("vec_id", "v", "length").mapInArrow(ask, schema)
+    # leaves that hold more rows than a shard should are cut by a hash of the id; one row a leaf is collected
+    sizes = own.groupBy("length", "leaf").count().where(F.col("count") > 2 * shard_rows).select("length", "leaf", F.ceil(F.col("count") / shard_rows).cast("long").alias("parts")).collect()
+    parts = F.lit(1).cast("long")
+    if sizes:
+        parts = F.coalesce(F.create_map(*[F.lit(x) for r in sizes for x in (f"{r[0]} {r[1]}", r[2])])[F.concat_ws(" ", "length", "leaf")], parts)
+    groups = max(1, -(-queries.count() // group_queries))
+    own = own.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int"))
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not own.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         order = np.argsort(own["vec_id"].to_numpy(), kind="stable")
-        tree = VantageTree(matrix(own)[order], own["vec_id"].to_numpy()[order])
-        ids = asked["vec_id"].to_numpy()
-        d, found = tree.search(matrix(asked), ids, k, factor)
-        ok = np.isfinite(d)
-        return pa.table({"query_id": np.repeat(ids, ok.sum(axis=1)), "vec_id": found[ok], "score": d[ok]})
-
-    keys = ["length", "shard", "block"]
-    got = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+        tree = VantageTree(matrix(own["v"])[order], own["vec_id"].to_numpy()[order])
+        out = []
+        for m in range(0, asked.num_rows, query_rows):
+            block = asked.slice(m, query_rows)
+            ids = block["vec_id"].to_numpy()
+            d, found = tree.search(matrix(block["v"]), ids, k, factor)
+            ok = found != np.iinfo(np.int64).max
+            out.append(pa.table({"query_id": np.repeat(ids, ok.sum(axis=1)), "vec_id": found[ok], "score": d[ok]}))
+        return pa.concat_tables(out)
+
+    keys = ["length", "leaf", "part", "block"]
+    got = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    # an id with several vectors, as a query or as a neighbour, counts with the nearest of them
+    got = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
