@@ -231,52 +231,93 @@ def test_a_larger_factor_searches_less():
 # -- repeated passages -------------------------------------------------------------------------------
 
 
-def passage_truth(rows, length):
-    """Rows that share an id are one document here only if their texts are equal."""
+def passage_truth(rows, length, with_text=False):
+    """Rows with equal ids and texts are one document; those of one id, or of none, with different texts are in the order of the texts' hashes."""
+    several = {i for i, n in Counter(r[0] for r in rows).items() if n > 1 or i is None}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    place = lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) if several else 0)
     first = {}
-    ordered = sorted({(r[0] is None, r[0] or 0, (r[1] or "").encode()) for r in rows})
-    for none, i, b in ordered:
+    for r in sorted(rows, key=place):
+        b = (r[1] or "").encode()
         for a in range(len(b) - length + 1):
-            first.setdefault(b[a : a + length], (none, i, a))
+            first.setdefault(b[a : a + length], (*place(r), a))
     out = []
     for r in rows:
         b = (r[1] or "").encode()
         gone = np.zeros(len(b) + 1, bool)
         for a in range(len(b) - length + 1):
-            if first[b[a : a + length]] < (r[0] is None, r[0] or 0, a):
+            if first[b[a : a + length]] < (*place(r), a):
                 gone[a : a + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-        out.append((r[0], len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone[:-1]].tobytes()).hexdigest()))
+        kept = np.frombuffer(b, np.uint8)[~gone[:-1]].tobytes()
+        out.append((r[0], len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * with_text))
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard_bytes": 3000}, {"most_runs": 1}, {"often": 0.0}])
-def test_passages(docs, raw, settings):
-    rows = [r for r in raw if r[0] is not None]
-    got = passages.without_repeats(docs.where("doc_id is not null"), **settings).collect()
-    assert key(map(tuple, got)) == key(passage_truth(rows, 100))
+SETTINGS = [{}, {"shard_bytes": 3000}, {"most_runs": 1}, {"most_runs": 3, "often": 0.0}]
 
 
-def test_passages_of_odd_tables(spark, docs, raw, empty):
+@pytest.mark.parametrize("settings", SETTINGS)
+def test_passages_of_odd_tables(spark, docs, raw, empty, settings):
     assert passages.without_repeats(empty).count() == 0
-    assert passages.without_repeats(docs).count() == len(raw)
+    assert key(map(tuple, passages.without_repeats(docs, **settings).collect())) == key(passage_truth(raw, 100))
+    rng = np.random.default_rng(12)
+    fresh = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    shared, own = fresh(300), [fresh(400) for _ in range(8)]
+    rows = [(1, shared), (None, shared + own[0]), (None, own[1]), (None, own[2][:250] + shared[:150]), (None, own[2][:250]), (7, own[3]), (7, own[4] + shared), (7, own[5]), (7, own[3]), (8, own[5] + own[6]), (8, own[5] + own[6]), ((1 << 63) - 1, own[7])]
+    got = passages.without_repeats(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, doc int"), **settings).collect()
+    assert key(map(tuple, got)) == key(passage_truth(rows, 100))
+    kept = [r["n_removed"] for r in got if r["doc_id"] == (1 << 63) - 1] + [r["n_removed"] for r in got if r["doc_id"] == 1] + [r["n_removed"] for r in got if r["doc_id"] is None and r["n_bytes"] == 400 and r["n_removed"] != 150]
+    assert not any(kept)
 
 
-def test_passages_query(spark, sf_dir):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    assert key(map(tuple, passages.op8_run_length_passages(spark, sf_dir).collect())) == key(passage_truth(rows, 100))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_passages_query(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert key(map(tuple, passages.op8_run_length_passages(spark, f"/root/testdata/{sf}").collect())) == key(passage_truth(rows, 100))
+
 
+def test_large_groups_are_dealt_until_they_are_small(spark, docs):
+    texts = passages.keyed(docs.where("doc_id between 100 and 103 or doc_id = 141"), "doc_id", "text")[0].select("doc", "tie", F.col("_text").alias("text"))
+    rows = passages.cut_out(passages.packed_texts(texts), passages.all_runs(texts, 100, np.empty(0, np.int64)), 100)
+    further, _ = passages.dealt_further(rows, 100, 1)
+    assert further.groupBy("anchor").count().where("count > 1").isEmpty()
 
-def test_run_index_has_few_runs_for_repetitive_texts():
+
+def random_texts(rng, n, letters, longest):
+    return [bytes(rng.integers(97, 97 + letters, rng.integers(0, longest)).astype(np.uint8)) for _ in range(n)]
+
+
+def test_matching_lengths_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        letters, most = int(rng.integers(2, 5)), int(rng.integers(3, 45))
+        texts, others = random_texts(rng, 4, letters, 40), random_texts(rng, 3, letters, 40)
+        block, of = rng.integers(0, 2, 4), rng.integers(0, 2, 3)
+        index = rindex.RunIndex(texts, block)
+        got, where = index.matching_lengths(others, of, most)
+        want = [max([m for m in range(len(t) - i + 1) if any(t[i : i + m] in x for x, b in zip(texts, block) if b == own)], default=0) for t, own in zip(others, of) for i in range(len(t))]
+        assert got.tolist() == [min(m, most) for m in want]
+        flat = b"".join(others)
+        assert all(index.text[w : w + m].tobytes()[:1] == flat[k : k + 1] for k, (m, w) in enumerate(zip(got.tolist(), where.tolist())) if m)
+
+
+def test_seen_before_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        texts = random_texts(rng, 11, 3, 30)
+        group, order = rng.integers(0, 2, 11), rng.permutation(11)
+        number, start, windows = rindex.seen_before(texts, group, (order,), 5)
+        got = {(k, a + j) for k, a, w in zip(number.tolist(), start.tolist(), windows.tolist()) for j in range(w)}
+        assert got == {(k, a) for k, t in enumerate(texts) for a in range(len(t) - 4) if any(t[a : a + 5] in texts[m] for m in range(11) if group[m] == group[k] and order[m] < order[k])}
+
+
+def test_an_index_keeps_as_much_as_its_runs():
     rng = np.random.default_rng(5)
     text = bytes(rng.integers(97, 101, 2000).astype(np.uint8))
-    index = rindex.RunIndex([text] * 20, 99)
-    assert index.runs < index.n / 8
-    number, start, row = index.windows()
-    seen = defaultdict(set)
-    for k, a, r in zip(number.tolist(), start.tolist(), row.tolist()):
-        seen[r].add(text[a : a + 100])
-    assert all(len(s) == 1 for s in seen.values()) and len(seen) == len({text[a : a + 100] for a in range(1901)})
+    kept = lambda index: sum(v.nbytes for k, v in vars(index).items() if isinstance(v, np.ndarray) and k != "text")
+    one, many = (rindex.RunIndex([text] * n, np.zeros(n, np.int64)) for n in (1, 40))
+    assert many.n > 39 * one.n and many.runs <= 1.1 * one.runs and kept(many) <= 1.1 * kept(one)
 
 
 # -- mixing ------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GRAM = 16
+GRAM = 24
 #: Bytes of text that are worked on at once; places within them fit 24 bits.
 AT_ONCE = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -24,14 +24,16 @@ def _mixed(words: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: bytes, n: int) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes at each of n places; data has at least 32 more bytes."""
-    words = np.empty(n + 8, np.uint64)
+    """A 64-bit hash of the 24 bytes at each of n places; data has at least 40 more bytes."""
+    words = np.empty(n + 16, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     for k in range(8):
         own = words[k::8]
         own[:] = raw[k : k + 8 * len(own)].view("<u8")
     h = _mixed(words[:n]) * np.uint64(0xBF58476D1CE4E5B9)
     h += words[8 : n + 8]
+    h = _mixed(h)
+    h += words[16 : n + 16]
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)

@@ -20,8 +20,6 @@ columns are never looked at in prediction.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,13 +36,18 @@ MAX_N = 4
 UND = "und"
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: of what isn't a digit among word characters, numbers (categories Nl and No) are left out."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+#: Runs of word characters but digits: letters, and now and then numbers of the categories Nl and No, which are no letters.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters (Unicode categories L*, as str.isalpha has it) of a text in lower case."""
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
-_LETTERS = _letters()
 #: So many words of a worker's own are remembered.
 _MEMO = 200_000
 
@@ -145,7 +148,7 @@ def predict(df: DataFrame, model: Model | None, kept: list[str], text_col: str =
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(len(fields)).to_pylist():
-                words = _LETTERS.findall(text.lower()) if text else []
+                words = letters(text) if text else []
                 if not words or model is None:
                     langs.append(UND)
                     scores.append(0.0)

@@ -8,18 +8,23 @@ input.
    follow one another form a run, and only windows with equal anchors can be equal. Runs go to
    their anchor's partition as hashes and places, without text. Anchors that a bounded sample shows
    to be frequent are dealt further by document, and their first copies are settled in a second step.
-2. A run whose bytes occurred before is marked whole. Of the first copies, those whose anchor has
-   other runs too are cut out of the texts.
-3. The cut-out runs are dealt by anchor into shards of bounded size. Each shard builds a run-length
-   index of its runs, streams them over it, and marks the windows that start earlier elsewhere.
-   Anchors with more than ``most_runs`` different runs are not put into one shard: their windows are
-   grouped by a 128-bit hash each.
-4. Marks are gathered for each document and joined with the texts.
-
-A null text is an empty one. Null ids come last and are one document. Rows that share an id are one
-document; where their texts differ, they share their marks. Texts of any length are read in
-overlapping pieces; an empty table gives no rows. The input is read twice, so it must be a table or
-alike.
+2. Equal runs are one text of the index, that of the first of them; the others are marked whole, as
+   an equal run starts earlier. Of the first copies, those whose anchor has other runs too are cut
+   out of the texts.
+3. A group of more than ``most_runs`` different runs of one anchor is dealt further: a window that has
+   i bytes before its anchor shares with equal ones i bytes before it and the rest behind it, so runs
+   are halved at the middle of i's range, and each half goes by the hash of the bytes that all its
+   windows have. This is repeated until groups are small; in the end a half is a single window, so
+   no group stays large. Equal halves are settled as equal runs are.
+4. The cut-out runs are dealt by group into shards of bounded size. Each shard streams its runs over
+   run-length indexes of the earlier ones (``rindex``) and marks windows that match in full length.
+5. Marks are gathered for each document and joined with the texts.
+
+A null text is an empty one. Ids that are null come last. Rows that share an id, or have none, are
+documents of their own if their texts differ, in the order of a hash of the text; if their texts are
+equal they are one document, so they keep or lose the same bytes. Texts of any length are read in
+overlapping pieces; an empty table gives no rows. The input is read several times, so it must be a
+table or alike. A document's marks are gathered in one list, which is no longer than its own text.
 """
 
 from __future__ import annotations
@@ -34,17 +39,33 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import anchors
 from .anchors import portions, runs
-from .common import key_or_last, table, written
+from .common import table, written
 from .rindex import seen_before
 
 LENGTH = 100
 #: Bytes of cut-out runs in a shard, about.
 SHARD_BYTES = 1_200_000
-MOST_RUNS = 6_000
+#: Different runs of a group, above which it is dealt further.
+MOST_RUNS = 4_096
 #: The sample that shows which anchors are frequent, and how many of its documents have one.
 SAMPLE_DOCS, OFTEN = 2_000, 0.01
 SALTS = 64
+#: A document's place in the order of documents: its id (the largest number for null), then tie.
+KEY = ["doc", "tie"]
+_LAST = (1 << 63) - 1
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """df's id and text as _id and _text, doc, tie, and rest (a struct of all of df); whether each row has an id of its own. If so, tie is 0 for all, else a hash of the text."""
+    out = df.select(F.struct("*").alias("rest"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    alone = out.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").isEmpty()
+    return out.withColumns({"doc": F.coalesce("_id", F.lit(_LAST)), "tie": F.lit(0).cast("long") if alone else F.xxhash64(F.coalesce("_text", F.lit("")))}), alone
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _batches_of(batch: pa.RecordBatch, column: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
@@ -60,27 +81,27 @@ def frequent_anchors(docs: DataFrame, length: int, sample_docs: int = SAMPLE_DOC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, _, _, anchor, _, _ in _batches_of(batch, 1, length):
+            for number, _, _, anchor, _, _ in _batches_of(batch, 0, length):
                 each = np.unique(np.stack([number, anchor]), axis=1)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(each)], names=["anchor"])
 
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc", "text")
+    sample = docs.where(F.pmod(F.xxhash64(*KEY, F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     least = max(20, int(often * share * n))
     found = sample.mapInArrow(run, "anchor long").groupBy("anchor").count().where(F.col("count") >= least).orderBy(F.desc("count"), "anchor").limit(50_000)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64))
 
 
 def all_runs(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
-    """anchor, salt (0, or 1 to SALTS by document where the anchor is frequent), bytes (a hash of the run's bytes), doc, start, windows."""
+    """anchor, salt (0, or 1 to SALTS by document where the anchor is frequent), content (a hash of the run's bytes), doc, tie, start, windows."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for number, start, count, anchor, pieces, where in _batches_of(batch, 1, length):
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for number, start, count, anchor, pieces, where in _batches_of(batch, 2, length):
                 doc = ids[number]
                 digest = xxhash.xxh3_64_intdigest
                 content = np.fromiter((digest(pieces[p][a : a + c + length - 1]) for p, a, c in zip(where[0].tolist(), where[1].tolist(), count.tolist())), np.uint64, len(count)).view(np.int64)
@@ -88,107 +109,140 @@ def all_runs(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
                 if len(often):
                     at = np.minimum(np.searchsorted(often, anchor), len(often) - 1)
                     salt = np.where(often[at] == anchor, 1 + (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % SALTS, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(salt), pa.array(content), pa.array(doc), pa.array(start), pa.array(count.astype(np.int32))], names=["anchor", "salt", "content", "doc", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(salt), pa.array(content), pa.array(doc), pa.array(ties[number]), pa.array(start), pa.array(count.astype(np.int32))], names=["anchor", "salt", "content", "doc", "tie", "start", "windows"])
 
-    return docs.select("doc", "text").mapInArrow(run, "anchor long, salt int, content long, doc long, start long, windows int")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "anchor long, salt int, content long, doc long, tie long, start long, windows int")
 
 
 def sorted_out(found: DataFrame) -> DataFrame:
     """Runs that matter: copies (anchor null), and first copies whose anchor has other runs (with n, how many)."""
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "tie", "start")
     same = Window.partitionBy("anchor", "salt", "content")
     alike = Window.partitionBy("anchor", "salt")
     rows = found.withColumn("first", F.min(place).over(same)).withColumn("is_first", F.col("first") == place)
     rows = rows.withColumns({"n_rows": F.count("*").over(alike), "n": F.sum(F.col("is_first").cast("int")).over(alike)})
-    keep = ["doc", "start", "windows", F.when(F.col("is_first"), F.col("anchor")).alias("anchor"), F.when(F.col("is_first"), F.col("content")).alias("content"), "salt", F.when(F.col("is_first"), F.col("n")).cast("long").alias("n")]
+    keep = ["doc", "tie", "start", "windows", F.when(F.col("is_first"), F.col("anchor")).alias("anchor"), F.when(F.col("is_first"), F.col("content")).alias("content"), "salt", F.when(F.col("is_first"), F.col("n")).cast("long").alias("n")]
     return rows.where((F.col("salt") > 0) | ((F.col("n_rows") > 1) & (~F.col("is_first") | (F.col("n") > 1)))).select(*keep)
 
 
 def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copies (doc, start, windows) and first copies (doc, start, windows, anchor, content, n), with frequent anchors' local firsts compared."""
-    copies = rows.where("anchor is null").select("doc", "start", "windows")
-    firsts = rows.where("anchor is not null and salt = 0").select("doc", "start", "windows", "anchor", "content", "n")
+    """Copies (doc, tie, start, windows) and first copies (doc, tie, start, windows, anchor, n), with frequent anchors' local firsts compared."""
+    copies = rows.where("anchor is null").select(*KEY, "start", "windows")
+    firsts = rows.where("anchor is not null and salt = 0").select(*KEY, "start", "windows", "anchor", "n")
     local = rows.where("anchor is not null and salt > 0").drop("salt", "n")
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "tie", "start")
     first = local.groupBy("anchor", "content").agg(F.min(place).alias("first"))
     judged = local.join(first, ["anchor", "content"]).withColumn("is_first", F.col("first") == place)
-    copies = copies.unionByName(judged.where(~F.col("is_first")).select("doc", "start", "windows"))
+    copies = copies.unionByName(judged.where(~F.col("is_first")).select(*KEY, "start", "windows"))
     several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.unionByName(judged.where("is_first").join(several, "anchor").select("doc", "start", "windows", "anchor", "content", "n"))
+    firsts = firsts.unionByName(judged.where("is_first").join(several, "anchor").select(*KEY, "start", "windows", "anchor", "n"))
     return copies, firsts
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc, the text's bytes, compressed before they are shuffled, and rest if docs has it."""
-    rest = [f for f in docs.schema.fields if f.name == "rest"]
+    """doc, tie, the text's bytes, compressed before they are shuffled, and the other columns of docs."""
+    rest = [f for f in docs.schema.fields if f.name not in ("doc", "tie", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=["doc", "packed", *(f.name for f in rest)])
+            packed = pa.array([press.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], names=["doc", "tie", "packed", *(f.name for f in rest)])
+
+    return docs.select("doc", "tie", "text", *(f.name for f in rest)).mapInArrow(run, ", ".join(["doc long, tie long, packed binary"] + [f"{f.name} {f.dataType.simpleString()}" for f in rest]))
+
+
+#: A cut-out run: its group, place, the place of the anchor in it (-1: not known yet), the fewest and most bytes that its windows may have before the anchor, its bytes.
+RUN_FIELDS = ["anchor", "doc", "tie", "start", "at", "low", "high", "bytes"]
+RUN_SCHEMA = "anchor long, doc long, tie long, start long, at int, low int, high int, bytes binary"
 
-    return docs.select("doc", "text", *(f.name for f in rest)).mapInArrow(run, ", ".join(["doc long, packed binary"] + [f"rest {f.dataType.simpleString()}" for f in rest]))
 
+def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(RUN_FIELDS)
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=RUN_FIELDS)
 
-def _cut(texts: DataFrame, firsts: DataFrame, length: int, shards: int, by_window: bool) -> DataFrame:
-    """The runs' bytes (shard, doc, start, bytes), or a 128-bit hash of each of their windows (high, low, doc, start)."""
-    lists = firsts.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor", "content")).alias("own"))
-    both = lists.join(texts, "doc").select("doc", "packed", F.col("own.start").alias("start"), F.col("own.windows").alias("windows"), F.col("own.anchor").alias("anchor"), F.col("own.content").alias("content"))
+
+def cut_out(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
+    """The runs' bytes. texts: a row for each document."""
+    lists = firsts.groupBy(*KEY).agg(F.collect_set(F.struct("start", "windows", "anchor")).alias("own"))
+    both = lists.join(texts.select(*KEY, "packed"), KEY).select(*KEY, "packed", F.col("own.start").alias("start"), F.col("own.windows").alias("windows"), F.col("own.anchor").alias("anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64).to_pydict()
-                docs, starts, keys, pieces = [], [], [], []
-                for doc, packed, start, windows, anchor, content in zip(*(part[c] for c in ("doc", "packed", "start", "windows", "anchor", "content"))):
+                out = []
+                for doc, tie, packed, start, windows, anchor in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns)):
                     text = press.decompress(packed)
-                    for s, w, a, c in zip(start, windows, anchor, content):
-                        piece = text[s : s + w + length - 1]
-                        if np.uint64(xxhash.xxh3_64_intdigest(piece)).view(np.int64) != c:
-                            continue  # of another text with the same id
-                        for o in range(w) if by_window else (0,):
-                            docs.append(doc)
-                            starts.append(s + o)
-                            keys.append(a % shards)
-                            pieces.append(piece[o : o + length] if by_window else piece)
-                if by_window:
-                    hashes = [xxhash.xxh3_128_intdigest(p) for p in pieces]
-                    signed = lambda x: x - (1 << 64) if x >> 63 else x
-                    yield pa.RecordBatch.from_arrays([pa.array([signed(h >> 64) for h in hashes], pa.int64()), pa.array([signed(h & ((1 << 64) - 1)) for h in hashes], pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], names=["high", "low", "doc", "start"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], names=["shard", "doc", "start", "bytes"])
-
-    return both.mapInArrow(run, "high long, low long, doc long, start long" if by_window else "shard long, doc long, start long, bytes binary")
-
-
-def indexed(cut: DataFrame, length: int) -> DataFrame:
-    """Marks (doc, start, windows) of the windows that a shard's index shows to start earlier elsewhere."""
+                    out += [(a, doc, tie, s, -1, 0, length - anchors.GRAM, text[s : s + w + length - 1]) for s, w, a in zip(start, windows, anchor)]
+                yield _run_batch(out)
+
+    return both.mapInArrow(run, RUN_SCHEMA)
+
+
+def halved(rows: DataFrame, length: int) -> DataFrame:
+    """Runs cut at the middle of the range of bytes before their anchor. A half's group is a hash of what all its windows have: so many bytes before the anchor, and so many from it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, doc, tie, start, at, low, high, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at < 0:
+                    at = int(np.flatnonzero(anchors.gram_hashes(text + bytes(64), len(text) - anchors.GRAM + 1).view(np.int64) == anchor)[0])
+                windows, middle = len(text) - length + 1, (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, at - b), min(windows - 1, at - a)
+                    if first <= last:
+                        group = xxhash.xxh3_64_intdigest(text[at - a : at + length - b] + anchor.to_bytes(8, "big", signed=True), seed=a * length + b)
+                        out.append((_signed(group), doc, tie, start + first, at - first, a, b, text[first : last + length]))
+            yield _run_batch(out)
+
+    return rows.mapInArrow(run, RUN_SCHEMA)
+
+
+def dealt_further(rows: DataFrame, length: int, most_runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of large groups to rows of groups with at most most_runs different runs, and marks of equal ones."""
+    done, marks = rows.sparkSession.createDataFrame([], rows.schema), None
+    place = F.struct("doc", "tie", "start")
+    while True:
+        halves = written(halved(rows, length).withColumn("content", F.xxhash64("bytes")), "halves")
+        judged = halves.join(halves.groupBy("anchor", "content").agg(F.min(place).alias("first")).hint("merge"), ["anchor", "content"]).withColumn("is_first", F.col("first") == place)
+        own = judged.where(~F.col("is_first")).select(*KEY, "start", (F.octet_length("bytes") - (length - 1)).cast("int").alias("windows"))
+        marks = own if marks is None else marks.unionByName(own)
+        firsts = judged.where("is_first").dropDuplicates(["anchor", "content"]).select(*RUN_FIELDS)
+        sizes = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        sized = written(firsts.join(sizes.hint("merge"), "anchor"), "halved-runs")
+        done = done.unionByName(sized.where(F.col("n") <= most_runs).select(*RUN_FIELDS))
+        rows = sized.where(F.col("n") > most_runs).select(*RUN_FIELDS)
+        if rows.isEmpty():
+            return done, marks
+
+
+def indexed(rows: DataFrame, length: int, shards: int) -> DataFrame:
+    """Marks (doc, tie, start, windows) of the windows that a shard's indexes show to start earlier elsewhere."""
 
     def run(group: pa.Table) -> pa.Table:
-        docs, starts = group["doc"].to_numpy(), group["start"].to_numpy()
-        number, start, windows = seen_before(group["bytes"].to_pylist(), docs, starts, length)
-        return pa.table({"doc": docs[number], "start": starts[number] + start, "windows": pa.array(windows, pa.int32())})
+        doc, tie, start, anchor = (group[c].to_numpy() for c in ("doc", "tie", "start", "anchor"))
+        number, first, windows = seen_before(group["bytes"].to_pylist(), anchor, (doc, tie, start), length)
+        return pa.table({"doc": doc[number], "tie": tie[number], "start": start[number] + first, "windows": pa.array(windows, pa.int32())})
 
-    return cut.groupBy("shard").applyInArrow(run, "doc long, start long, windows int")
+    dealt = rows.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", *KEY, "start", "bytes")
+    return dealt.groupBy("shard").applyInArrow(run, "doc long, tie long, start long, windows int")
 
 
 def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, shard_bytes: int, most_runs: int, sample_docs: int, often: float) -> DataFrame:
     """All marks."""
     rows = written(sorted_out(all_runs(docs, length, frequent_anchors(docs, length, sample_docs, often))), "runs")
-    copies, firsts = settled(rows)
-    usual, hot = firsts.where(F.col("n") <= most_runs), firsts.where(F.col("n") > most_runs)
-    size, n_hot = firsts.agg(F.sum(F.when(F.col("n") <= most_runs, F.col("windows") + length)), F.count(F.when(F.col("n") > most_runs, 1))).first()
-    marks = copies
-    if size:
-        marks = marks.unionByName(indexed(_cut(texts, usual, length, max(1, size // shard_bytes), False), length))
-    if n_hot:
-        windows = _cut(texts, hot, length, 1, True)
-        first = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        late = windows.join(first, ["high", "low"]).where(F.col("first") != F.struct("doc", "start"))
-        marks = marks.unionByName(late.select("doc", "start", F.lit(1).cast("int").alias("windows")))
-    return marks
+    marks, firsts = settled(rows)
+    size, n_large = firsts.agg(F.sum(F.col("windows") + length), F.count(F.when(F.col("n") > most_runs, 1))).first()
+    if not size:
+        return marks
+    usual = cut_out(texts, firsts.where(F.col("n") <= most_runs), length)
+    if n_large:
+        further, own = dealt_further(cut_out(texts, firsts.where(F.col("n") > most_runs), length), length, most_runs)
+        usual, marks = usual.unionByName(further), marks.unionByName(own)
+    return marks.unionByName(indexed(usual, length, max(1, size // shard_bytes)))
 
 
 def covered(size: int, start: list[int], windows: list[int], length: int) -> np.ndarray:
@@ -202,24 +256,27 @@ def covered(size: int, start: list[int], windows: list[int], length: int) -> np.
 
 def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, most_runs: int = MOST_RUNS, sample_docs: int = SAMPLE_DOCS, often: float = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. with_text: also text, what is left (bytes cut out of a character are dropped with it), and rest, a struct of df's other columns."""
-    docs = df.select(key_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = packed_texts(docs)
-    marks = repeated_windows(docs, texts, length, shard_bytes, most_runs, sample_docs, often)
-    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("own")).select("doc", F.col("own.start").alias("start"), F.col("own.windows").alias("windows"))
-    if with_text:
-        others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
-        texts = packed_texts(df.select(key_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest")))
-    both = texts.join(lists, "doc", "left").select("doc", "packed", "start", "windows", *["rest"] * with_text)
+    if length < anchors.GRAM:
+        raise ValueError(f"passages of fewer than {anchors.GRAM} bytes have no anchor")
+    whole, alone = keyed(df, id_col, text_col)
+    docs = whole.select(*KEY, F.col("_text").alias("text"))
+    one_each = packed_texts(docs)
+    if not alone:
+        one_each = one_each.dropDuplicates(KEY)
+    marks = repeated_windows(docs, one_each, length, shard_bytes, most_runs, sample_docs, often)
+    lists = marks.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("own")).select(*KEY, F.col("own.start").alias("start"), F.col("own.windows").alias("windows"))
+    others = [F.col("rest")[c].alias(c) for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+    texts = packed_texts(whole.select(*KEY, F.col("_text").alias("text"), "_id", *[F.struct(*others).alias("rest")] * with_text))
+    both = texts.join(lists, KEY, "left").select("_id", "packed", "start", "windows", *["rest"] * with_text)
     more = f", text string, rest {texts.schema['rest'].dataType.simpleString()}" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        last = (1 << 63) - 1
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids, sizes, removed, spans, digests, left = [], [], [], [], [], []
-                for doc, packed, start, windows in zip(*(part.column(c).to_pylist() for c in range(4))):
+                sizes, removed, spans, digests, left = [], [], [], [], []
+                for packed, start, windows in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
                     text = press.decompress(packed)
                     kept, gone, n = text, 0, 0
                     if start:
@@ -227,13 +284,12 @@ def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False
                         gone = int(mask.sum())
                         n = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
                         kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
-                    ids.append(None if doc == last else doc)
                     sizes.append(len(text))
                     removed.append(gone)
                     spans.append(n)
                     digests.append(hashlib.sha256(kept).hexdigest())
                     left.append(kept.decode(errors="ignore") if with_text else None)
-                cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+                cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
                     cols, names = [*cols, pa.array(left, pa.string()), part.column(4)], [*names, "text", "rest"]
