@@ -373,11 +373,38 @@ def test_targets(spark, sizes):
     assert {r["source"]: pytest.approx(r["target"]) for r in got} == want
 
 
-def test_mix_permutation_visits_each_block_once_a_pass(spark):
-    sources = spark.createDataFrame([("a", 64 * 50, 1, 64.0 * 120, 1)], "source string, source_size long, weight int, target double, src int")
-    got = mixing.slots(sources).groupBy("pass_no", "block").count().collect()
-    assert all(r["count"] == 1 for r in got)
-    assert Counter(r["pass_no"] for r in got) == {0: 50, 1: 50, 2: 20}
+@pytest.mark.parametrize("n_blocks", [1, 2, 3, 5, 7, 50, 1000])
+def test_mix_permutation_visits_each_block_once_a_pass(spark, n_blocks):
+    n_slots = n_blocks * 2 + n_blocks // 2
+    sources = spark.createDataFrame([("a", 64 * n_blocks, 1, 64.0 * n_slots, 1)], "source string, source_size long, weight int, target double, src int")
+    rows = mixing.slots(sources).orderBy("slot").collect()
+    assert [r["slot"] for r in rows] == list(range(n_slots)) and max(Counter((r["pass_no"], r["block"]) for r in rows).values()) == 1
+    assert all(0 <= r["block"] < n_blocks for r in rows)
+    if n_blocks == 1000:
+        first = [r["block"] for r in rows if r["pass_no"] == 0]
+        assert first != [r["block"] for r in rows if r["pass_no"] == 1]
+        assert max(Counter((y - x) % 1000 for x, y in zip(first, first[1:])).values()) < 12  # no fixed stride
+
+
+def test_mix_counts_by_output_shard(spark):
+    sources = spark.createDataFrame([("a", 64 * 4000, 1, 64.0 * 4000, 1), ("b", 64 * 10, 2, 64.0 * 20, 2)], "source string, source_size long, weight int, target double, src int")
+    counts = {(r["src"], r["shard"]): r["n"] for r in mixing.shard_counts(sources).collect()}
+    assert sum(n for (s, _), n in counts.items() if s == 1) == 4000 and sum(n for (s, _), n in counts.items() if s == 2) == 20
+    own = [counts.get((1, s), 0) for s in range(16)]
+    assert 0.2 < np.var(own) / (4000 / 16 * 15 / 16) < 3  # of a multinomial law, not even shares
+    assert counts == Counter((r["src"], r["shard"]) for r in mixing.slots(sources).collect())
+
+
+def test_the_mix_has_the_words_that_are_taken(docs):
+    taken, size = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+        size[r["doc_id"]] += r["size"]
+    words = Counter()
+    for r in mixing.assembled(docs).collect():
+        words[r["doc_id"]] += r["words"]
+        assert r["first_word"] >= 0 and r["words"] <= mixing.BLOCK_WORDS and r["first_word"] + r["words"] <= size[r["doc_id"]]
+    assert +taken == words
 
 
 # -- sharding ----------------------------------------------------------------------------------------
