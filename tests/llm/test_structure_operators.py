@@ -121,16 +121,20 @@ def test_simhash_query(spark, sf_dir):
     assert key(map(tuple, got)) == key(simhash_truth(rows))
 
 
-@pytest.mark.parametrize(("blocks", "levels", "most"), [(2, 3, 10_000), (3, 2, 10_000), (5, 1, 10_000), (3, 1, 60)])
-def test_simhash_shards_lose_no_link(spark, blocks, levels, most):
-    rng = np.random.default_rng(blocks)
-    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    codes = set(centres.tolist())
-    for c in centres.tolist():
+def clustered_codes(rng):
+    codes = set()
+    for c in rng.integers(0, 1 << 63, 60, dtype=np.uint64).tolist():
+        codes.add(c)
         for _ in range(6):
             for b in rng.choice(64, rng.integers(1, 6), replace=False).tolist():
                 c ^= 1 << b
             codes.add(c)
+    return codes
+
+
+@pytest.mark.parametrize(("blocks", "levels", "most"), [(3, None, 10_000), (3, 6, 10_000), (2, 4, 10_000), (1, 2, 10_000), (3, 1, 60)])
+def test_simhash_shards_lose_no_link(spark, blocks, levels, most):
+    codes = clustered_codes(np.random.default_rng(blocks))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(signed(c),) for c in codes], "fp long")
     edges = simhash.links(nodes, len(codes), 4, blocks, levels, most)
@@ -141,6 +145,21 @@ def test_simhash_shards_lose_no_link(spark, blocks, levels, most):
     assert groups(lambda c: found.get(c, c)) == groups(want.get)
 
 
+def test_simhash_queries_visit_shards_across_boundaries(spark):
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    levels = simhash.depth(250_000)
+    assert levels >= 4 and simhash.depth(15_000_000) > levels
+    at = simhash.sharded(spark.createDataFrame([(int(c),) for c in codes], "fp long"), levels).toPandas()
+    assert (at.groupby("fp")["home"].sum() == simhash.BLOCKS).all()  # one home in every tree
+    assert 0.5 < len(at) / (len(codes) * simhash.BLOCKS * 1.17**levels) < 1.5 and (~at["home"]).sum() > len(codes)
+    near = [(int(c), int(c) ^ 1 << int(b)) for c, b in zip(codes[:300], rng.integers(0, 60, 300))]
+    for tree, mask in enumerate(simhash.masks()):
+        for x, y in near:
+            rows, path, _ = simhash.descended(np.array([x, y], np.uint64), tree, mask, levels, 1)
+            assert {*path[rows == 0].tolist()} & {*path[rows == 1].tolist()}  # they meet, also where a boundary lies between them
+
+
 def test_components_that_have_not_settled_raise(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}

@@ -1,18 +1,20 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Fingerprints that differ in at most ``radius`` bits are linked. Bits are cut into blocks; two linked
-fingerprints differ in at most ``t = radius // blocks`` bits of one block at least (or, with
-``agree`` blocks taken together and more blocks than the radius, in none of them). Hamming distance
-within such bits is a metric as well, and each choice of bits has a vantage-point tree of its own:
-at every node, fingerprints go to the ring of their distance to the node's vantage point, which is
-a hash of the node's path. Leaves are the shards. By the triangle bound a fingerprint's partners lie
-in rings at most ``t`` away, so it also visits the shards on the other side of a boundary that is
-so near; where t is 0, none is.
-
-Within a shard a vantage-point tree over all 64 bits finds the exact pairs: at every node, branches
-are cut by the median distance and only the bands within ``radius`` of it are compared across. A
-shard gives the edges of a spanning forest, not all pairs. Shards above ``most`` rows are dealt into
-tiles, each pair of tiles a task. Components are then found with star contractions, whose edges
+Fingerprints that differ in at most ``radius`` bits are linked. Their bits are cut into three blocks:
+two linked ones differ in at most ``t`` bits of one block at least (one bit, for four in all), and
+Hamming distance within a block is a metric as well, so each block has a vantage-point tree. At a
+node, fingerprints no farther than the middle distance from the node's vantage point go inside, the
+others outside. By the triangle bound those inside have partners outside only if they are within t of
+the boundary; these visit the outer branch too, and all other branches are pruned. The leaves are the
+shards; two linked fingerprints meet in one of them. Distances over all 64 bits would not prune: seven
+in ten random fingerprints lie within four bits of any middle, so blocks are what makes a boundary
+thin (one ring in six).
+
+Trees are as deep as the number of fingerprints asks for (``depth``). Within a shard a vantage-point
+tree over all 64 bits finds the exact pairs: at every node, branches are cut by the median distance
+and only the bands within ``radius`` of it are compared across. A shard gives the edges of a spanning
+forest, not all pairs. Small shards are dealt out many to a task, those above ``most`` rows are dealt
+into tiles, each pair of tiles a task. Components are then found with star contractions, whose edges
 stay in written tables.
 
 Null and empty texts have fingerprint zero and are linked like any others. Equal fingerprints are
@@ -24,25 +26,29 @@ hashed whole; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
-from math import comb
+from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, written
 
 SEED = 42
 RADIUS = 4
-#: Rows that a shard should have about, and above which it is dealt into tiles.
-SHARD_ROWS, MOST_ROWS = 1_500, 12_000
-#: Levels of a sharding tree at most; 65^10 paths fit a long.
-MOST_LEVELS = 10
-#: Rows of an in-shard leaf that are compared with one another outright.
-LEAF = 256
+#: Blocks of bits, each with a tree.
+BLOCKS = 3
+#: Rows above which a shard is dealt into tiles, and those of a task that has many small shards.
+MOST_ROWS, TASK_ROWS = 12_000, 40_000
+#: Levels of a tree at most, so that a path fits a long.
+MOST_LEVELS = 60
+#: Work of a comparison within a shard, in rows that are sent to one.
+COMPARISON = 1 / 1000
+#: Rows of an in-shard leaf that are compared with one another outright; and of shards that are compared many at a time.
+LEAF, SMALL = 256, 64
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -78,44 +84,61 @@ def fingerprints(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
 # -- shards -----------------------------------------------------------------------------------------
 
 
-def scheme(n: int, radius: int = RADIUS) -> tuple[int, int]:
-    """Blocks, and how many of them agree: the fewest trees that still give shards of SHARD_ROWS."""
-    for agree in range(1, 5):
-        blocks = radius + agree
-        if n / 2.0 ** (64 * agree / blocks) <= SHARD_ROWS / 4:
-            return blocks, agree
-    return radius + 4, 4
-
-
-def masks(blocks: int, agree: int) -> list[int]:
+def masks(blocks: int = BLOCKS) -> list[int]:
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    bits = [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(bits, agree)]
+    return [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:])]
+
 
+def depth(n: int, radius: int = RADIUS, blocks: int = BLOCKS) -> int:
+    """The levels at which sending n random fingerprints to shards and comparing them there is least work.
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    Of random ones a share p visits both branches, so a level makes 1 + p copies, and two rows that met
+    go on together with a chance of about 1/4 + (1/2 + p)^2.
+    """
+    bits = 64 / blocks
+    p = min(0.5, radius // blocks * (2 / (3.14159 * bits)) ** 0.5)
+    best, least = 0, float("inf")
+    for levels in range(MOST_LEVELS + 1):
+        work = n * (1 + p) ** levels + COMPARISON * n * n / 2 * (0.25 + (0.5 + p) ** 2) ** levels
+        if work < least:
+            best, least = levels, work
+    return best
+
+
+def _vantage(tree: int, path: np.ndarray, level: int) -> np.ndarray:
+    """A node's vantage point: 64 bits from a mixing of its place."""
+    h = path.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(((tree * MOST_LEVELS + level + 1) * 0xD1B54A32D192ED03) & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def descended(codes: np.ndarray, tree: int, mask: int, levels: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, path and whether it is a visitor, for each shard that a code is in."""
+    rows, path, visits = np.arange(len(codes)), np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    middle = mask.bit_count() // 2
+    for level in range(levels):
+        d = np.bitwise_count((codes[rows] ^ _vantage(tree, path, level)) & np.uint64(mask)).astype(np.int64)
+        both = np.flatnonzero((d <= middle) & (d > middle - t))
+        path = np.concatenate([2 * path + (d > middle), 2 * path[both] + 1])
+        visits = np.concatenate([visits, np.ones(len(both), bool)])
+        rows = np.concatenate([rows, rows[both]])
+    return rows, path, visits
 
 
-def sharded(nodes: DataFrame, blocks: int, agree: int, levels: int, radius: int = RADIUS) -> DataFrame:
+def sharded(nodes: DataFrame, levels: int, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """nodes (fp) to (tree, path, fp, home): each fingerprint at home in one shard of every tree, and a visitor across near boundaries."""
-    t = radius // blocks if agree == 1 else 0
-    if agree > 1 and comb(blocks, agree) < 1 or blocks - radius < agree and t == 0:
-        raise ValueError("so few blocks cannot agree whenever two fingerprints are linked")
-    trees = F.array(*[F.struct(F.lit(k).alias("tree"), F.lit(_signed(m)).cast("long").alias("mask"), F.lit(bin(m).count("1")).alias("bits")) for k, m in enumerate(masks(blocks, agree))])
-    out = nodes.select("fp", F.explode(trees).alias("of")).select("fp", "of.*").withColumns({"path": F.lit(0).cast("long"), "home": F.lit(True)})
 
-    def ring(path: Column, level: int) -> Column:
-        return F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64("tree", path, F.lit(level))).bitwiseAND(F.col("mask"))).cast("long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for tree, mask in enumerate(masks(blocks)):
+                rows, path, visits = descended(fps.view(np.uint64), tree, mask, levels, radius // blocks)
+                for k in range(0, len(rows), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[part]), tree, np.int32)), pa.array(path[part]), pa.array(fps[rows[part]]), pa.array(~visits[part])], names=["tree", "path", "fp", "home"])
 
-    for level in range(levels):
-        if t == 0:
-            out = out.withColumn("path", F.col("path") * 65 + ring(F.col("path"), level))
-        else:
-            at = out.withColumn("own", ring(F.col("path"), level))
-            rings = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("own") - t), F.least(F.col("bits").cast("long"), F.col("own") + t))
-            out = at.withColumn("ring", F.explode(rings)).withColumns({"path": F.col("path") * 65 + F.col("ring"), "home": F.col("home") & (F.col("ring") == F.col("own"))}).drop("own", "ring")
-    return out.select("tree", "path", "fp", "home")
+    return nodes.select("fp").mapInArrow(run, "tree int, path long, fp long, home boolean")
 
 
 def tiled(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
@@ -180,30 +203,41 @@ def _within(codes: np.ndarray, rows: np.ndarray, radius: int, out: _Forest, dept
     _compare(codes, rows[near_in], rows[near_out], d[near_in], d[near_out], radius, out)
 
 
-def forest(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, first member) of the components of distinct codes."""
+def joined_shards(codes: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of each shard's links. codes are sorted by shard, a number for each code."""
     out = _Forest(len(codes))
-    _within(codes, np.arange(len(codes)), radius, out)
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(codes)]]))
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for step in range(1, SMALL):
+        # pairs of rows so far apart, of all small shards at once
+        small = small[small + step < len(codes)]
+        small = small[shard[small + step] == shard[small]]
+        if not len(small):
+            break
+        near = small[np.bitwise_count(codes[small] ^ codes[small + step]) <= radius]
+        if len(near):
+            out.join(near, near + step)
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        _within(codes, np.arange(first[k], first[k] + sizes[k]), radius, out)
     member = np.flatnonzero(out.root != np.arange(len(codes)))
     return codes[member], codes[out.root[member]]
 
 
-def links(nodes: DataFrame, n: int, radius: int = RADIUS, blocks: int | None = None, levels: int | None = None, most: int = MOST_ROWS) -> DataFrame:
+def links(nodes: DataFrame, n: int, radius: int = RADIUS, blocks: int = BLOCKS, levels: int | None = None, most: int = MOST_ROWS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect what is linked, and nothing else."""
-    agree = 1
-    if blocks is None:
-        blocks, agree = scheme(n, radius)
-    if levels is None:
-        bits = 64 * agree / blocks
-        each = max(1.0, 0.5 * float(np.log2(2 * np.pi * np.e * bits / 4)))
-        levels = int(min(MOST_LEVELS, max(1, np.ceil(np.log2(max(2.0, n / SHARD_ROWS)) / each))))
+    rows = tiled(sharded(nodes, depth(n, radius, blocks) if levels is None else levels, radius, blocks), most)
 
     def run(group: pa.Table) -> pa.Table:
-        codes = np.unique(group["fp"].to_numpy().view(np.uint64))
-        a, b = forest(codes, radius)
+        keys = [group[c].to_numpy() for c in ("fp", "tile2", "tile", "path", "tree")]
+        by = np.lexsort(keys)
+        fresh = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys[1:]], axis=0)])
+        a, b = joined_shards(keys[0].view(np.uint64)[by], np.cumsum(fresh), radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return tiled(sharded(nodes, blocks, agree, levels, radius), most).groupBy("tree", "path", "tile", "tile2").applyInArrow(run, "a long, b long")
+    tasks = max(1, ceil(n * blocks * 4 / TASK_ROWS))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("tree", "path", "tile", "tile2"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(run, "a long, b long")
 
 
 # -- components -------------------------------------------------------------------------------------
@@ -227,7 +261,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select("u", "v", "m")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "links")
+        last, now = now, written(small.distinct(), "links")
+        for path in {x.rsplit("/", 1)[0] for x in last.inputFiles()}:
+            dropped(now.sparkSession, path)
         after = state(now)
         if after == before:
             break
