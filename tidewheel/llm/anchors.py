@@ -13,7 +13,7 @@ import numpy as np
 
 GRAM = 24
 #: Bytes of text that are worked on at once; places within them fit 24 bits.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -90,3 +90,11 @@ def portions(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[
             n += len(piece)
     if pieces:
         yield numbers, offsets, pieces
+
+
+def places(texts: list[bytes], anchor: np.ndarray) -> np.ndarray:
+    """Where each text has the first string whose hash is its anchor; every text has one."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.cumsum(sizes) - sizes
+    hits = np.flatnonzero(gram_hashes(b"".join(texts) + bytes(64), int(sizes.sum())).view(np.int64) == np.repeat(anchor, sizes))
+    return hits[np.searchsorted(hits, base)] - base

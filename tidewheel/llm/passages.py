@@ -16,7 +16,8 @@ input.
    are halved at the middle of i's range, and each half goes by the hash of the bytes that all its
    windows have. This is repeated until groups are small; in the end a half is a single window, so
    no group stays large. Equal halves are settled as equal runs are.
-4. The cut-out runs are dealt by group into shards of bounded size. Each shard streams its runs over
+4. The cut-out runs are dealt by group into shards of bounded size. A shard halves its runs once in the
+   same way and drops halves that share their bytes with no other; it streams the rest over
    run-length indexes of the earlier ones (``rindex``) and marks windows that match in full length.
 5. Marks are gathered for each document and joined with the texts.
 
@@ -48,7 +49,7 @@ LENGTH = 100
 #: Bytes of cut-out runs in a shard, about.
 SHARD_BYTES = 1_200_000
 #: Different runs of a group, above which it is dealt further.
-MOST_RUNS = 4_096
+MOST_RUNS = 16_384
 #: The sample that shows which anchors are frequent, and how many of its documents have one.
 SAMPLE_DOCS, OFTEN = 2_000, 0.01
 SALTS = 64
@@ -70,10 +71,11 @@ def _signed(x: int) -> int:
 
 def _batches_of(batch: pa.RecordBatch, column: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
     """Runs of a batch's texts: text number, start, windows, anchor; the pieces and each run's place in its piece as (piece, start)."""
-    texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
-    for numbers, offsets, pieces in portions(texts, length):
-        piece, start, count, anchor = runs(pieces, length)
-        yield np.array(numbers, np.int64)[piece], start + np.array(offsets, np.int64)[piece], count, anchor, pieces, np.stack([piece, start])
+    for k in range(0, batch.num_rows, 1000):
+        texts = [(t or "").encode() for t in batch.column(column).slice(k, 1000).to_pylist()]
+        for numbers, offsets, pieces in portions(texts, length):
+            piece, start, count, anchor = runs(pieces, length)
+            yield k + np.array(numbers, np.int64)[piece], start + np.array(offsets, np.int64)[piece], count, anchor, pieces, np.stack([piece, start])
 
 
 def frequent_anchors(docs: DataFrame, length: int, sample_docs: int = SAMPLE_DOCS, often: float = OFTEN) -> np.ndarray:
@@ -181,22 +183,30 @@ def cut_out(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     return both.mapInArrow(run, RUN_SCHEMA)
 
 
+def halves(texts: list[bytes], groups: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> Iterator[tuple[int, ...]]:
+    """Runs cut at the middle of the range of bytes before their anchor: run number, group, first window, last window, low, high, place of the anchor of each half. Its group is a hash of what all its windows have: so many bytes before the anchor, and so many from it on."""
+    unknown = np.flatnonzero(at < 0)
+    if len(unknown):
+        at = at.copy()
+        at[unknown] = anchors.places([texts[k] for k in unknown.tolist()], groups[unknown])
+    digest = xxhash.xxh3_64_intdigest
+    for k, (text, group, place, least, most) in enumerate(zip(texts, groups.tolist(), at.tolist(), low.tolist(), high.tolist())):
+        windows, middle = len(text) - length + 1, (least + most) // 2
+        for a, b in ((least, middle), (middle + 1, most)):
+            first, last = max(0, place - b), min(windows - 1, place - a)
+            if first <= last:
+                yield k, _signed(digest(text[place - a : place + length - b] + group.to_bytes(8, "big", signed=True), seed=a * length + b)), first, last, a, b, place
+
+
 def halved(rows: DataFrame, length: int) -> DataFrame:
-    """Runs cut at the middle of the range of bytes before their anchor. A half's group is a hash of what all its windows have: so many bytes before the anchor, and so many from it on."""
+    """Halves as rows like those of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for anchor, doc, tie, start, at, low, high, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if at < 0:
-                    at = int(np.flatnonzero(anchors.gram_hashes(text + bytes(64), len(text) - anchors.GRAM + 1).view(np.int64) == anchor)[0])
-                windows, middle = len(text) - length + 1, (low + high) // 2
-                for a, b in ((low, middle), (middle + 1, high)):
-                    first, last = max(0, at - b), min(windows - 1, at - a)
-                    if first <= last:
-                        group = xxhash.xxh3_64_intdigest(text[at - a : at + length - b] + anchor.to_bytes(8, "big", signed=True), seed=a * length + b)
-                        out.append((_signed(group), doc, tie, start + first, at - first, a, b, text[first : last + length]))
-            yield _run_batch(out)
+            anchor, doc, tie, start, at, low, high = (c.to_numpy() for c in batch.columns[:7])
+            texts = batch.column(7).to_pylist()
+            if texts:
+                yield _run_batch([(g, int(doc[k]), int(tie[k]), int(start[k]) + first, place - first, a, b, texts[k][first : last + length]) for k, g, first, last, a, b, place in halves(texts, anchor, at, low, high, length)])
 
     return rows.mapInArrow(run, RUN_SCHEMA)
 
@@ -223,11 +233,18 @@ def indexed(rows: DataFrame, length: int, shards: int) -> DataFrame:
     """Marks (doc, tie, start, windows) of the windows that a shard's indexes show to start earlier elsewhere."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, tie, start, anchor = (group[c].to_numpy() for c in ("doc", "tie", "start", "anchor"))
-        number, first, windows = seen_before(group["bytes"].to_pylist(), anchor, (doc, tie, start), length)
-        return pa.table({"doc": doc[number], "tie": tie[number], "start": start[number] + first, "windows": pa.array(windows, pa.int32())})
-
-    dealt = rows.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", *KEY, "start", "bytes")
+        doc, tie, start, anchor, at, low, high = (group[c].to_numpy() for c in RUN_FIELDS[1:4] + ["anchor"] + RUN_FIELDS[4:7])
+        texts = group["bytes"].to_pylist()
+        found = np.array([x[:4] for x in halves(texts, anchor, at, low, high, length)], np.int64).reshape(-1, 4)
+        _, of, times = np.unique(found[:, 1], return_inverse=True, return_counts=True)
+        number, key, first, last = found[times[of] > 1].T
+        place = start[number] + first
+        own = [texts[k][a : b + length] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())]
+        half, begin, windows = seen_before(own, key, (doc[number], tie[number], place), length)
+        number = number[half]
+        return pa.table({"doc": doc[number], "tie": tie[number], "start": place[half] + begin, "windows": pa.array(windows, pa.int32())})
+
+    dealt = rows.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *RUN_FIELDS)
     return dealt.groupBy("shard").applyInArrow(run, "doc long, tie long, start long, windows int")
 
 
@@ -238,10 +255,12 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, shard_bytes
     size, n_large = firsts.agg(F.sum(F.col("windows") + length), F.count(F.when(F.col("n") > most_runs, 1))).first()
     if not size:
         return marks
-    usual = cut_out(texts, firsts.where(F.col("n") <= most_runs), length)
+    usual = cut_out(texts, firsts, length)
     if n_large:
-        further, own = dealt_further(cut_out(texts, firsts.where(F.col("n") > most_runs), length), length, most_runs)
-        usual, marks = usual.unionByName(further), marks.unionByName(own)
+        large = firsts.where(F.col("n") > most_runs).select(F.col("anchor").alias("large")).distinct()
+        cut = written(usual.join(large, F.col("anchor") == F.col("large"), "left"), "cut-out-runs")
+        further, own = dealt_further(cut.where("large is not null").select(*RUN_FIELDS), length, most_runs)
+        usual, marks = cut.where("large is null").select(*RUN_FIELDS).unionByName(further), marks.unionByName(own)
     return marks.unionByName(indexed(usual, length, max(1, size // shard_bytes)))
 
 

@@ -52,8 +52,6 @@ def suffix_order(text: np.ndarray, sizes: np.ndarray, block: np.ndarray) -> np.n
     left = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1) - np.arange(n)
     cut = (8 * np.maximum(7 - left, 0)).astype(np.uint64)
     rank = _ranked(_words(text, ">u8")[:n].astype(np.uint64) >> cut << cut)
-    if len(block) and block.max() > block.min():
-        rank = _ranked(np.repeat(block, sizes + 1) * (int(rank.max()) + 1) + rank)
     width, longest, places = 8, int(sizes.max()) + 1, np.arange(n)
     while width < longest and rank.max() < n - 1:
         many = int(rank.max()) + 2
@@ -62,6 +60,10 @@ def suffix_order(text: np.ndarray, sizes: np.ndarray, block: np.ndarray) -> np.n
         if many**3 < 1 << 63:
             keys, times = keys * many + after(2 * width), 3
         rank, width = _ranked(keys), width * times
+    if len(block) and block.max() > block.min():
+        rank = np.repeat(block, sizes + 1) * (int(rank.max()) + 1) + rank
+    if (int(rank.max()) + 1) * n < 1 << 63:
+        return np.argsort(rank * n + places)
     return np.argsort(rank, kind="stable")
 
 
