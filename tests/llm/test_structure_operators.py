@@ -57,6 +57,19 @@ def test_warc_files_hold_a_dictionary_and_single_frames(spark, tmp_path):
     assert one.startswith(b"WARC/1.1\r\n") and one.count(b"WARC/1.1\r\n") == 1
 
 
+def test_warc_attempts_do_not_meet(spark, tmp_path):
+    folder = str(tmp_path / "w")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    records = warc.marked(pages)
+    warc.write_archives(records, b"", folder).count()  # an attempt whose list is lost
+    warc.write_archives(records, b"", folder).write.parquet(f"{folder}-files")
+    files = spark.read.parquet(f"{folder}-files")
+    assert warc.read_archives(files, folder).count() == pages.count()
+    assert warc.without_strays(files, folder) > 0
+    assert len(list((tmp_path / "w").glob("*.zst"))) == files.count()
+    assert warc.read_archives(files, folder).count() == pages.count()
+
+
 def test_warc_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")

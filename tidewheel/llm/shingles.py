@@ -6,6 +6,7 @@ meet in a band with probability 1 - (1 - s^ROWS)^BANDS, which is 0.999 at 0.8, 0
 nearly 1 above. Within a bucket the exact similarity of the whole sets decides; buckets with the same
 members are compared once, and those above ``simhash.MOST_ROWS`` rows are dealt into pairs of tiles.
 A bucket gives the edges of a spanning forest, not all pairs; components are those of ``simhash``.
+Groups that another search has found (``also``) count as linked.
 
 Null and empty texts have the empty set and are one node. Rows with null ids get the component of
 their set; texts of any length are hashed whole; an empty table gives no rows.
@@ -134,6 +135,7 @@ def links(texts: DataFrame, docs: DataFrame, width: int, similarity: float, most
     members = banded.groupBy("tree", "path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
     buckets = members.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "path")).alias("of")).select("of.*")
     rows = written(banded.join(buckets.hint("merge"), ["tree", "path"]).withColumn("home", F.lit(True)), "candidates")
+
     def run(group: pa.Table) -> pa.Table:
         fps = group["fp"].to_numpy()
         a, b = forest([unpacked(s, np.uint64) for s in group["shingles"].to_pylist()], similarity)
@@ -142,12 +144,20 @@ def links(texts: DataFrame, docs: DataFrame, width: int, similarity: float, most
     return tiled(rows, most).join(met(texts, docs, rows, width).hint("merge"), "fp").groupBy("tree", "path", "tile", "tile2").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id (the smallest id of the component)."""
+def tied(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """groups (doc_id, component_id) and sets() to edges between the sets of each group and its smallest one. Rows without ids are in no group."""
+    sets_of = groups.where("component_id is not null").join(docs.select("doc_id", "fp"), "doc_id").select("component_id", "fp").distinct()
+    least = sets_of.groupBy("component_id").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return sets_of.join(least, "component_id").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+
+
+def near_duplicates(df: DataFrame, width: int, similarity: float, also: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest id of the component). also: (doc_id, component_id) of links that are known already."""
     text = F.col(text_col).cast("string")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(SLOTS)).alias("slot"))
     docs = written(sets(texts, width), "sets")
-    roots = components(links(texts, docs, width, similarity))
+    edges = links(texts, docs, width, similarity)
+    roots = components(edges if also is None else edges.unionByName(tied(also, docs)))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")

@@ -5,9 +5,10 @@ bounded sample of the records; each record is then a frame of its own, compresse
 dictionary, so a record can be read alone. A record whose payload repeats that of another page (of
 at least ``min_bytes`` bytes) is a revisit of the page with the smallest id.
 
-Archives go to the folder that all executors share. A task writes its file under a name of its own
-and renames it when complete; the name follows from the partition, so a task that runs again
-replaces its own file with equal records. The list of files comes back through Spark.
+Archives go to the folder that all executors share. A task attempt writes files under names of its
+own and renames them when complete. The list of files comes back through Spark, which commits one
+attempt of each task, so it says which files count; those of other attempts are never read, and
+``without_strays`` deletes them.
 
 A null payload is empty; null ids are written as empty fields and come back null, and are never
 referred to unless all copies have null ids; rows that share the smallest id are all responses;
@@ -36,6 +37,8 @@ DICTIONARY_BYTES = 64 * 1024
 #: The sample for the dictionary: about so many records (at most twice as many), each of at most so many bytes.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8 * 1024
+#: Parts that the copies of one page are dealt into.
+SALTS = 8
 #: An archive file is closed when it has so many bytes.
 FILE_BYTES = 32_000_000
 
@@ -85,11 +88,13 @@ def _store(folder: str):
 
 
 def marked(df: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, kind, refers_to. Only digests and ids are shuffled to find first copies; a digest is pre-aggregated before that."""
+    """page_id, url, payload, digest, kind, refers_to. Only digests and ids are shuffled to find first copies, pre-aggregated. Pages are joined with them by digest and a salt, so copies of one page go to many tasks."""
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     pages = pages.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "long_enough": F.octet_length("payload") >= min_bytes})
     firsts = pages.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("shared"), "first_id")
-    out = pages.join(firsts, F.col("long_enough") & (F.col("digest") == F.col("shared")), "left")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("own_salt", F.when(F.col("long_enough"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")))
+    out = pages.join(firsts, (F.col("digest") == F.col("shared")) & (F.col("own_salt") == F.col("salt")), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return out.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -114,15 +119,15 @@ def write_archives(records: DataFrame, dictionary: bytes, folder: str, level: in
 
         def close() -> None:
             out.close()
-            store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+            store.move(f"{root}/.{name}", f"{root}/{name}")
             files.append((f"{root}/{name}", n, size))
 
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name, n, size = f"part-{part:06d}-{len(files):04d}.warc.zst", 0, 0
-                    out = store.open_output_stream(f"{root}/.{name}.{attempt}", compression=None)
+                    name, n, size = f"part-{part:06d}-{attempt}-{len(files):04d}.warc.zst", 0, 0
+                    out = store.open_output_stream(f"{root}/.{name}", compression=None)
                     out.write(head := dictionary_frame(dictionary))
                     size += len(head)
                 frame = coder.compress(record(row["page_id"], row["url"], row["payload"].encode(), row["digest"], row["kind"], row["refers_to"]))
@@ -183,6 +188,22 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     return files.select("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def without_strays(files: DataFrame, folder: str) -> int:
+    """Deletes the archives of a folder that the list (a column path) doesn't have; how many. It goes through both in order, file by file."""
+    store, root = _store(folder)
+    from pyarrow import fs
+
+    listed = (r[0] for r in files.select("path").orderBy("path").toLocalIterator())
+    gone, want = 0, next(listed, None)
+    for name in sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.is_file):
+        while want is not None and want < name:
+            want = next(listed, None)
+        if want != name:
+            store.delete_file(name)
+            gone += 1
+    return gone
+
+
 def archived(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes df's pages to archives and reads them back."""
     spark = df.sparkSession
