@@ -25,8 +25,8 @@ def test_stages(spark):
     first, second, third, fourth = ([tuple(r) for r in o.collect()] for o in outs[:4])
     start = {tuple(r) for r in docs.collect()}
     assert set(first) <= start and len(first) >= 0.9 * sum(bool(re.search(r"[^\W\d_]{3}", r[1] or "")) for r in start)
-    kept = {(i, c) for i, _, c in simhash_truth(first, width=5)}
-    assert key(second) == key(r for r in first if (r[0], r[0]) in kept)
+    kept = near_truth(first)
+    assert key(second) == key(r for r in first if r[0] in kept)
     cut = {r[0]: r for r in passage_truth(second, 100)}
     assert {r[0]: hashlib.sha256(r[1].encode()).hexdigest() for r in third}.items() <= {i: r[4] for i, r in cut.items()}.items()
     assert all(r[4] == len(r[1]) for r in third)
@@ -67,11 +67,8 @@ def test_each_source_gets_its_words_whatever_its_ratio(spark):
         assert abs(got[s] - t) <= 0.1 * t
 
 
-def test_near_duplicates_are_those_of_similarity_point_eight(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    extra = [(10**6 + k, " ".join(f"x{k // 40}y{j}" if j % 97 != k % 40 else f"z{k}" for j in range(400)), "en", "s", 0) for k in range(80)]
-    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
-    rows = [tuple(r) for r in docs.collect()]
+def near_truth(rows):
+    """The smallest ids of groups linked by SimHash (five words, four bits) or by an exact similarity of 0.8."""
     held, groups = {}, defaultdict(set)
     for r in rows:
         words = [w.decode() for w in (r[1] or "").encode().lower().split()]
@@ -85,13 +82,25 @@ def test_near_duplicates_are_those_of_similarity_point_eight(spark):
             i = root[i]
         return i
 
+    def join(i, j):
+        low, high = sorted((top(i), top(j)))
+        root[high] = low
+
     for i, own in held.items():
         for j, n in Counter(j for g in own for j in groups[g] if j < i).items():
             if n >= 0.8 * (len(own) + len(held[j]) - n) - 1e-9:
-                low, high = sorted((top(i), top(j)))
-                root[high] = low
-    empty = min((i for i, own in held.items() if not own), default=None)
-    kept = {i for i, own in held.items() if (top(i) == i if own else i == empty)}
+                join(i, j)
+    for i, _, c in simhash_truth(rows, width=5):
+        join(i, c)
+    return {i for i in held if top(i) == i}
+
+
+def test_near_duplicates_are_those_of_similarity_point_eight(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = [(10**6 + k, " ".join(f"x{k // 40}y{j}" if j % 97 != k % 40 else f"z{k}" for j in range(400)), "en", "s", 0) for k in range(80)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    kept = near_truth([tuple(r) for r in docs.collect()])
+    assert sum(i >= 10**6 for i in kept) < 80
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == kept
 
 
