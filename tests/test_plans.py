@@ -44,6 +44,22 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_libraries_of_the_subpackage():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    hide = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(catalogue.QUERIES) and out[1] == "False"
+
+
+def test_every_query_names_what_it_covers():
+    assert set(catalogue.COVERS) == set(catalogue.QUERIES)
+    named = {i for ids in catalogue.COVERS.values() for i in ids.split()}
+    assert all(i[0] in "ABCDEFGHILN" and i[1:].isdigit() for i in named) and len(named) > 90
+
+
 def test_member_store(spark, sf_dir, tmp_path):
     rows = spark.range(12).select((F.col("id") % 3).cast("int").alias("member"), F.lit("tas").alias("variable"), F.lit("full").alias("kind"), F.col("id").alias("t"))
     path = str(tmp_path / "members")

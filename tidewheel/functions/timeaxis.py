@@ -51,3 +51,20 @@ def from_decimal_year(time: Column) -> tuple[Column, Column]:
 def previous_day(ts: Column) -> Column:
     """Model output stamped at the end of its period, moved into it."""
     return F.date_sub(ts, 1)
+
+
+def month_ends(first: Column, months: Column) -> Column:
+    """The last days of so many months from that of first on."""
+    return F.transform(F.sequence(F.lit(0), months - 1), lambda k: F.last_day(F.add_months(F.trunc(first, "month"), k)))
+
+
+def within(ts: Column, low: str, high: str) -> Column:
+    """low <= ts <= high, both inclusive; a bound may be a year or a year and month, meaning all of it."""
+    start = {4: f"{low}-01-01", 7: f"{low}-01"}.get(len(low), low)
+    end = F.last_day(F.lit({4: f"{high}-12-01", 7: f"{high}-01"}[len(high)]).cast("date")) if len(high) < 10 else F.lit(high).cast("date")
+    return ts.cast("date").between(F.lit(start).cast("date"), end)
+
+
+def rounded(value: Column, digits: int = 0) -> Column:
+    """Halves go to the even neighbour."""
+    return F.bround(value, digits)

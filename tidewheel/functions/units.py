@@ -21,3 +21,9 @@ def converted(value: Column, unit: Column, ts: Column, to_month: bool = False) -
 
 def converted_unit(unit: Column, to_month: bool = False) -> Column:
     return F.when(unit == "K", "C").when(unit.isin("m/s", "mm/month"), "mm/month" if to_month else "mm/day").otherwise(unit)
+
+
+def with_climatology(series, climatology, keys: list[str], value: str = "value"):
+    """Departures plus the climatology (keys, month, mean) of their month."""
+    both = series.join(climatology.select(*keys, "month", F.col("mean").alias("_mean")), [*keys, "month"])
+    return both.withColumn(value, F.col(value) + F.col("_mean")).drop("_mean")

@@ -82,3 +82,38 @@ def stacked(parts: dict[str, DataFrame], name: str) -> DataFrame:
 
 def to_columns(df: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     return df.groupBy(*keys).pivot(name, names).agg(F.first(value, ignorenulls=True))
+
+
+def ends(df: DataFrame, keys: list[str], value: str = "value", order: str = "t") -> DataFrame:
+    """keys, first_value, last_value, has_data (whether the last step has a value), steps with a value."""
+    return df.groupBy(*keys).agg(
+        F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"),
+        F.max_by(value, order).isNotNull().alias("has_data"), F.count(value).alias("n_values"),
+    )
+
+
+def from_first(df: DataFrame, match: Column, rows: int, order: str = "t", by: list[str] | None = None) -> DataFrame:
+    """Each series from the first row that matches on, so many rows of it, numbered anew from 0."""
+    w = Window.partitionBy(*(by or []))
+    begun = df.withColumn("_from", F.min(F.when(match, F.col(order))).over(w)).where(F.col(order) >= F.col("_from"))
+    return begun.withColumn(order, (F.row_number().over(w.orderBy(order)) - 1).cast("int")).where(F.col(order) < rows).drop("_from")
+
+
+def recentred(lon: Column) -> Column:
+    """Longitudes from 0 to 360."""
+    return (lon % 360 + 360) % 360
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Sorted, for a sink that wants an order."""
+    return df.orderBy(*columns)
+
+
+def rounded_keys(df: DataFrame, *columns: str, digits: int = 3) -> DataFrame:
+    """Coordinates rounded, so that they can be joined."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def in_years(df: DataFrame, years: DataFrame, year: str = "year") -> DataFrame:
+    """The rows of the years (a table with a column year) that there are."""
+    return df.join(years.select(F.col("year").alias(year)).distinct(), year, "left_semi")

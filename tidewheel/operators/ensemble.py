@@ -79,3 +79,24 @@ def ensemble_mean(df: DataFrame, keys: list[str], value: str = "value", demean_b
     """keys, mean over members; demean_by: without the mean over time of each of these keys."""
     out = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
     return out if demean_by is None else out.withColumn("mean", F.col("mean") - F.avg("mean").over(Window.partitionBy(*demean_by)))
+
+
+def member_ids(*ranges: tuple[int, int]) -> list[int]:
+    """The numbers of members, from several ranges with both ends."""
+    return [m for low, high in ranges for m in range(low, high + 1)]
+
+
+def continued(history: DataFrame, scenario: DataFrame, members: list[int], member: str = "member") -> DataFrame:
+    """A past run and its continuation as one series for each of the members."""
+    return history.unionByName(scenario).where(F.col(member).isin(members))
+
+
+def forced_signal(runs: DataFrame, keys: list[str], convert=lambda value: value, value: str = "value") -> DataFrame:
+    """keys, t, forced: the mean over members in the wanted unit, without its mean over time. The unit is converted first, so that an offset doesn't come back."""
+    mean = runs.withColumn(value, convert(F.col(value))).groupBy(*keys, "t").agg(F.avg(value).alias("_mean"))
+    return mean.select(*keys, "t", (F.col("_mean") - F.avg("_mean").over(Window.partitionBy(*keys))).alias("forced"))
+
+
+def nested_mean(metric: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """A metric of each inner member, averaged over those of an outer one: keys leave the inner member out."""
+    return metric.groupBy(*keys).agg(F.avg(value).alias(value))

@@ -1,14 +1,17 @@
 """Linear operators on the time axis as small weight tables: Hann, zero-phase Butterworth, harmonics.
 
-A filter of fixed length is a matrix; ``applied`` joins its rows (t_out, t_in, w) with the series and
-sums. The table has n x n rows for a time axis of n steps and doesn't grow with the cells.
+A filter of fixed length is a matrix. ``applied`` joins its rows (t_out, t_in, w) with the series and
+sums: for short axes and few series. ``filtered`` has each series as an array and multiplies batches of
+cells by the matrix, so a cell costs as many values as it has steps. The matrix doesn't grow with the cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +107,24 @@ def applied(df: DataFrame, weights: DataFrame, keys: list[str], value: str = "va
     joined = df.join(weights, df[order] == weights["t_in"])
     out = joined.groupBy(*keys, F.col("t_out").alias(order)).agg(F.sum(F.col(value) * F.col("w")).alias("filtered"), F.count(value).alias("_n"))
     return out.select(*keys, order, (F.when(F.col("_n") == steps, F.col("filtered")) if steps else F.col("filtered")).alias("filtered"))
+
+
+def filtered(df: DataFrame, matrix: np.ndarray, keys: list[str], value: str = "value", order: str = "t", first: int = 0, last: int | None = None) -> DataFrame:
+    """keys, order, filtered, for the steps from first to last. Series that miss a value have null throughout; steps count from 0."""
+    steps, last = matrix.shape[1], matrix.shape[0] - 1 if last is None else last
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).alias("_v")))).alias("_s"), F.count(value).alias("_n"))
+    rows = rows.select(*keys, F.when(F.col("_n") == steps, F.col("_s._v")).alias("_x"))
+    kept = np.ascontiguousarray(matrix[first : last + 1])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x")
+            out = np.full((len(x), len(kept)), np.nan)
+            some = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                out[some] = x.drop_null().flatten().to_numpy().reshape(-1, steps) @ kept.T
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(list(out))], names=[*keys, "_y"])
+
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", _y array<double>"
+    each = rows.mapInArrow(multiply, schema).select(*keys, F.posexplode("_y").alias("_p", "_f"))
+    return each.select(*keys, (F.col("_p") + first).cast("int").alias(order), F.when(~F.isnan("_f"), F.col("_f")).alias("filtered"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linop import applied, filter_matrix, weight_table
+from .linop import filter_matrix, filtered
 
 #: Fixed value: Gringorten's plotting position.
 B = 0.44
@@ -24,7 +26,9 @@ def return_levels(df: DataFrame, keys: list[str], years: list[int], value: str =
     """keys, return_period, level: the value of that rank; missing values don't rank. Pool members by leaving them out of keys. Ranks come from one window by keys; the wanted ones are few."""
     w = Window.partitionBy(*keys)
     ranked = df.where(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(F.desc(value)))})
-    wanted = ranked.withColumn("return_period", F.explode(F.array(*[F.lit(y) for y in years])))
+    # most rows have a rank that no interval asks for; they go before rows are made for each interval
+    deepest = reduce(F.greatest, [recurrence_rank(F.col("_n"), F.lit(y)) for y in years]) if len(years) > 1 else recurrence_rank(F.col("_n"), F.lit(years[0]))
+    wanted = ranked.where(F.col("_k") <= deepest).withColumn("return_period", F.explode(F.array(*[F.lit(y) for y in years])))
     return wanted.where(F.col("_k") == recurrence_rank(F.col("_n"), F.col("return_period"))).select(*keys, "return_period", F.col(value).alias("level"))
 
 
@@ -38,7 +42,30 @@ def band_variance(df: DataFrame, keys: list[str], steps: int, cutoff: float = 0.
     edge = int(1 / (2 * cutoff))
     out = None
     for kind in ("low", "high"):
-        weights = weight_table(df.sparkSession, filter_matrix(steps, order, 2 * cutoff, kind, reflect=True)).where(F.col("t_out").between(edge, steps - 1 - edge))
-        own = applied(df, weights, keys, value, steps=steps).groupBy(*keys).agg(F.var_pop("filtered").alias(f"var_{kind}"))
+        own = filtered(df, filter_matrix(steps, order, 2 * cutoff, kind, reflect=True), keys, value, first=edge, last=steps - 1 - edge).groupBy(*keys).agg(F.var_pop("filtered").alias(f"var_{kind}"))
         out = own if out is None else out.join(own, keys)
     return out
+
+
+def recurrence_years(name: str) -> int:
+    """33 of "33yr_event"."""
+    return int(name.split("yr")[0])
+
+
+def named(df: DataFrame, keys: list[str], names: list[str], steps: int | None = None, value: str = "value") -> DataFrame:
+    """keys, metric, value of metrics by name: IQ_range, max_val, <n>yr_event, var_low, var_high (these need the number of steps and a column t). Another name is an error."""
+    plain = {"IQ_range": "iq_range", "max_val": "max_val"}
+    unknown = [n for n in names if n not in plain and not n.endswith("yr_event") and n not in ("var_low", "var_high")]
+    if unknown:
+        raise ValueError(f"no metric {unknown[0]!r}")
+    parts = []
+    if own := [n for n in names if n in plain]:
+        wide = spread(df, keys, value)
+        parts.append(wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(plain[n]).alias("value")) for n in own])).alias("of")).select(*keys, "of.*"))
+    if own := [n for n in names if n.endswith("yr_event")]:
+        levels = return_levels(df, keys, [recurrence_years(n) for n in own], value)
+        parts.append(levels.select(*keys, F.concat(F.col("return_period").cast("string"), F.lit("yr_event")).alias("metric"), F.col("level").alias("value")))
+    if own := [n for n in names if n.startswith("var_")]:
+        bands = band_variance(df, keys, steps, value=value)
+        parts.append(bands.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in own])).alias("of")).select(*keys, "of.*"))
+    return reduce(DataFrame.unionByName, parts)

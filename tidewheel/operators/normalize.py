@@ -52,3 +52,27 @@ def best_exponents(df: DataFrame, keys: list[str], value: str = "value", refine:
         found = best(near, [F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.col("_at") + step * (k / 10))) for k in range(-10, 11)], ["_at"])
         step /= 10
     return found
+
+
+def borrowed(exponents: DataFrame, member: int, keys: list[str]) -> DataFrame:
+    """The exponents of one member, for all: keys (without the member), lam."""
+    return exponents.where(F.col("member") == member).select(*keys, "lam")
+
+
+#: Named transforms: forward and inverse of a value and an exponent (which the logarithm doesn't use).
+TRANSFORMS = {
+    "boxcox": (lambda value, lam: forward(cleared(value), lam), inverse),
+    "log": (lambda value, lam: log_forward(value), lambda value, lam: log_inverse(value)),
+}
+
+
+def transform(df: DataFrame, exponents: DataFrame | None, keys: list[str], name: str, back: bool = False, value: str = "value", mask: DataFrame | None = None) -> DataFrame:
+    """value transformed by name, or transformed back, with the exponents (keys, lam). Back, values that can't be become 0; mask (a table of cells with data) makes those of other cells null again."""
+    if name not in TRANSFORMS:
+        raise NotImplementedError(f"no transform {name!r}")
+    both = df if exponents is None else df.join(exponents, keys)
+    lam = F.lit(1.0) if exponents is None else F.col("lam")
+    out = both.withColumn(value, TRANSFORMS[name][int(back)](F.col(value), lam)).drop("lam")
+    if mask is not None:
+        out = out.join(mask.select("cell", F.lit(True).alias("_there")).distinct(), "cell", "left").withColumn(value, F.when(F.col("_there"), F.col(value))).drop("_there")
+    return out

@@ -8,9 +8,11 @@ which Spark adds up; only steps x steps tables are decomposed.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,19 @@ def surrogates(series: DataFrame, members: int, seed: int = 456, cycle: dict[str
     return each.groupBy("member", "mode").applyInPandas(make, "member int, mode string, t int, value double")
 
 
+def low_passed(surrogates: DataFrame, modes: list[str], steps: int, cutoff: float, order: int = 3) -> DataFrame:
+    """(member, mode, t, value) with the named modes filtered again, as a surrogate of a filtered index isn't quite as smooth. A member's series at a time."""
+    if cutoff <= 0:
+        return surrogates
+    matrix = filter_matrix(steps, order, 2 * cutoff)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("t")
+        return own.assign(value=matrix @ own["value"].to_numpy()) if own["mode"].iloc[0] in modes else own
+
+    return surrogates.select("member", "mode", "t", "value").groupBy("member", "mode").applyInPandas(run, "member int, mode string, t int, value double")
+
+
 def tapers(n: int, nw: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k most concentrated sequences (columns) and their concentrations."""
     half = nw / n
@@ -69,11 +84,10 @@ def tapers(n: int, nw: float, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def multitaper(x: np.ndarray, dt: float = 1.0, nw: float = 3.0) -> dict[str, np.ndarray]:
-    """Frequencies, adaptive power and its 95 % factors."""
+    """Frequencies, adaptive power and its 95 % factors. The mean stays, at frequency 0."""
     n = len(x)
     k = max(1, min(round(2 * nw), n) - 1)
     v, concentration = tapers(n, nw, k)
-    x = x - x.mean()
     power = np.abs(np.fft.fft(v * x[:, None], axis=0)) ** 2
     variance = float(x @ x) / n
     s = power[:, : min(2, k)].mean(axis=1)
@@ -112,25 +126,55 @@ def envelope(spectra: DataFrame, keys: list[str]) -> DataFrame:
     return spectra.groupBy(*keys).agg(F.avg("power").alias("mean"), F.percentile("power", F.lit(0.025)).alias("low"), F.percentile("power", F.lit(0.975)).alias("high"))
 
 
+def step_products(rows: DataFrame, groups: list[str], steps: int) -> DataFrame:
+    """rows (groups, cell, weight, x: a series as an array) to groups, i, mixed, gram: row i of the steps x steps sums of products of two steps over cells, weighted once and twice. One matrix product for each batch of cells; what crosses the network are steps rows a batch and group."""
+    kinds = [rows.schema[g].dataType.simpleString() for g in groups]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for name, (mixed, gram) in sums.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * steps) for v in name), pa.array(np.arange(steps, dtype=np.int32)), pa.array(list(mixed)), pa.array(list(gram))], names=[*groups, "i", "mixed", "gram"])
+            sums.clear()
+
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, steps)
+            w = batch.column("weight").to_numpy()[:, None]
+            names = list(zip(*(batch.column(g).to_pylist() for g in groups)))
+            for name in set(names):
+                at = np.array([n == name for n in names])
+                own = x[at] * w[at]
+                both = np.stack([x[at].T @ own, own.T @ own])
+                sums[name] = sums[name] + both if name in sums else both
+            if len(sums) > 8:
+                yield from summed()
+        yield from summed()
+
+    schema = ", ".join(f"{g} {k}" for g, k in zip(groups, kinds)) + ", i int, mixed array<double>, gram array<double>"
+    partial = rows.select(*groups, "weight", "x").mapInArrow(multiply, schema)
+    spread = partial.select(*groups, "i", F.posexplode(F.arrays_zip("mixed", "gram")).alias("j", "of"))
+    sums = spread.groupBy(*groups, "i", "j").agg(F.sum("of.mixed").alias("mixed"), F.sum("of.gram").alias("gram"))
+    rows_of = F.sort_array(F.collect_list(F.struct("j", "mixed", "gram")))
+    return sums.groupBy(*groups, "i").agg(rows_of.alias("of")).select(*groups, "i", F.col("of.mixed").alias("mixed"), F.col("of.gram").alias("gram"))
+
+
 def low_frequency_components(series: DataFrame, groups: list[str], steps: int, retained: int, kept: int, cutoff: float, order: int = 3) -> tuple[DataFrame, DataFrame]:
     """Patterns (groups, cell, component, pattern) and series (groups, t, component, value).
 
     series: groups, cell, t from 0 to steps - 1, value (without its cycle), weight (the root of the
     cell's area). Cells that miss a value take no part. The products of two steps are summed over
-    cells, once unweighted by weighted and once weighted by weighted; the rest works on steps x steps
-    numbers. A component's sign is such that its last five steps lie above its first five.
+    cells, once unweighted by weighted and once weighted by weighted (``step_products``); the rest works
+    on steps x steps numbers. A component's sign is such that its last five steps lie above its first five.
     """
     rows = series.groupBy(*groups, "cell", "weight").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s"), F.count("value").alias("n"), F.avg("value").alias("mean")).where(F.col("n") == steps)
     rows = rows.select(*groups, "cell", "weight", F.transform("s", lambda p: p["value"] - F.col("mean")).alias("x"))
-    i, j = F.col("p") % steps, F.floor(F.col("p") / steps)
-    pairs = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1)))).select(*groups, i.cast("int").alias("i"), j.cast("int").alias("j"), "weight", (F.get("x", i.cast("int")) * F.get("x", j.cast("int"))).alias("xx"))
-    products = pairs.groupBy(*groups, "i", "j").agg(F.sum(F.col("xx") * F.col("weight")).alias("mixed"), F.sum(F.col("xx") * F.col("weight") * F.col("weight")).alias("gram"))
+    products = step_products(rows, groups, steps)
     slow = filter_matrix(steps, order, 2 * cutoff, padding="even")
 
     def decompose(own: pd.DataFrame) -> pd.DataFrame:
-        at = (own["i"].to_numpy(), own["j"].to_numpy())
-        mixed, gram = np.zeros((2, steps, steps))
-        mixed[at], gram[at] = own["mixed"], own["gram"]
+        own = own.sort_values("i")
+        mixed, gram = np.vstack(own["mixed"].to_numpy()), np.vstack(own["gram"].to_numpy())
         values, u = np.linalg.eigh(gram)
         n = min(retained, int((values > values[-1] * 1e-12).sum()))
         values, u = values[::-1][:n], u[:, ::-1][:, :n]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis, units
 from ..operators import align, ensemble, linop, metrics, normalize, regress, spectra
-from ..sources.cubes import MONTHS, complete_orders_cube, drivers, events_cube, months_since, orders_cube, table
+from ..sources import files
+from ..sources.cubes import MONTHS, complete_orders_cube, drivers, events_cube, members_cube, months_since, orders_cube, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,9 +51,10 @@ moments AS (
 ), fit AS (
   SELECT cell, month, unnest(['constant', 'enso', 'pdo_orth']) AS predictor, unnest([my - enso * ma - pdo_orth * mb, enso, pdo_orth]) AS beta FROM betas
 )"""
-HARMONIC = ", ".join(f"({i + 1}, {j + 1}, {w!r}::DOUBLE)" for i, row in enumerate(linop.harmonic_matrix().tolist()) for j, w in enumerate(row))
-SMOOTH = f"""
-s AS (SELECT * FROM (VALUES {HARMONIC}) v(m_out, m_in, w)),
+#: The weights from the calendar of a common year: mean, annual and semi-annual harmonics at the months' mean days.
+SMOOTH = """
+mid AS (SELECT month(d) AS m, avg(dayofyear(d)) / 365 AS x FROM (SELECT unnest(generate_series(TIMESTAMP '1950-01-01', TIMESTAMP '1950-12-31', INTERVAL 1 DAY)) AS d) GROUP BY 1),
+s AS (SELECT o.m AS m_out, i.m AS m_in, 1 / 12.0::DOUBLE + 2 / 12.0::DOUBLE * (cos(2 * pi() * (o.x - i.x)) + cos(4 * pi() * (o.x - i.x))) AS w FROM mid o CROSS JOIN mid i),
 smooth AS (SELECT cell, predictor, m_out AS month, CASE WHEN count(beta) = 12 THEN sum(beta * w) END AS beta FROM fit JOIN s ON m_in = fit.month GROUP BY ALL),
 wide AS (SELECT cell, month, max(CASE WHEN predictor = 'constant' THEN beta END) AS b0, max(CASE WHEN predictor = 'enso' THEN beta END) AS b1, max(CASE WHEN predictor = 'pdo_orth' THEN beta END) AS b2 FROM smooth GROUP BY ALL),
 fits AS (SELECT cell, t, cube.month, value, b0 + b1 * enso + b2 * pdo_orth AS fitted, value - (b0 + b1 * enso + b2 * pdo_orth) AS residual FROM cube JOIN wide USING (cell, month) JOIN drivers USING (t))"""
@@ -392,9 +394,9 @@ def lowpass_index(spark, sf_dir):
     return linop.applied(rows, linop.weight_table(spark, linop.filter_matrix(MONTHS, 3, 0.1)), ["cell"], "amo").select("t", r("filtered", 6).alias("low"))
 
 
-@query("band_variance", "SELECT c.cell, round(var_pop(low), 2) AS var_low FROM (SELECT cell, t_out, CASE WHEN count(value) = 72 THEN sum(value * w) END AS low FROM cube JOIN w ON t_in = t WHERE t_out BETWEEN 5 AND 66 GROUP BY ALL) c GROUP BY c.cell", (CUBE, _values(linop.filter_matrix(MONTHS, 3, 0.2, reflect=True))))
+@query("band_variance", "SELECT l.cell, round(var_low, 2) AS var_low, round(var_high, 2) AS var_high FROM (SELECT cell, var_pop(f) AS var_low FROM (SELECT cell, t_out, CASE WHEN count(value) = 72 THEN sum(value * w) END AS f FROM cube JOIN w ON t_in = t WHERE t_out BETWEEN 5 AND 66 GROUP BY ALL) GROUP BY cell) l JOIN (SELECT cell, var_pop(f) AS var_high FROM (SELECT cell, t_out, CASE WHEN count(value) = 72 THEN sum(value * w) END AS f FROM cube JOIN high ON t_in = t WHERE t_out BETWEEN 5 AND 66 GROUP BY ALL) GROUP BY cell) h ON h.cell = l.cell", (CUBE, _values(linop.filter_matrix(MONTHS, 3, 0.2, reflect=True)), _values(linop.filter_matrix(MONTHS, 3, 0.2, "high", reflect=True)).replace("w AS", "high AS", 1)))
 def band_variance(spark, sf_dir):
-    return metrics.band_variance(orders_cube(spark, sf_dir), ["cell"], MONTHS).select("cell", r("var_low", 2).alias("var_low"))
+    return metrics.band_variance(orders_cube(spark, sf_dir), ["cell"], MONTHS).select("cell", r("var_low", 2).alias("var_low"), r("var_high", 2).alias("var_high"))
 
 
 # -- surrogates, spectra, components (no SQL) --------------------------------------------------------------
@@ -427,3 +429,238 @@ def lfca_components(spark, sf_dir):
     rows = cube.select("cell", "t", F.lit(0).alias("member"), F.sqrt(align.cos_weight(F.col("lat"))).alias("weight"), (F.col("value") - F.avg("value").over(Window.partitionBy("cell", "month"))).alias("value"))
     patterns, series = spectra.low_frequency_components(rows, ["member"], MONTHS, 10, 3, 0.05)
     return align.stacked({"pattern": patterns.select("component", F.col("cell").alias("at"), F.col("pattern").alias("value")), "series": series.select("component", F.col("t").cast("long").alias("at"), "value")}, "kind")
+
+
+# -- members, exponents, runs ---------------------------------------------------------------------------------
+
+MEMBERS_CUBE = """
+members AS (
+  SELECT CAST(k.m AS INT) AS member, CAST(r_regionkey AS BIGINT) AS cell, CAST(x.t AS INT) AS t, 1995 + x.t // 12 AS year, x.t % 12 + 1 AS month, g.value
+  FROM region CROSS JOIN (SELECT unnest(range(1, 6)) AS m) k CROSS JOIN (SELECT unnest(range(72)) AS t) x
+  LEFT JOIN (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS m, n_regionkey AS c, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t, avg(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3) g ON g.m = k.m AND g.c = r_regionkey AND g.t = x.t
+)"""
+
+
+@query("forced_signal", "SELECT cell, t, round(m - avg(m) OVER (PARTITION BY cell), 3) AS forced FROM (SELECT cell, t, avg(value - 273.15) AS m FROM members WHERE member IN (1, 2, 3, 5) GROUP BY ALL)", (MEMBERS_CUBE,))
+def forced_signal(spark, sf_dir):
+    cube = members_cube(spark, sf_dir)
+    runs = ensemble.continued(cube.where("year < 1998"), cube.where("year >= 1998"), ensemble.member_ids((1, 3), (5, 5)))
+    kelvin = lambda v: units.converted(v, F.lit("K"), F.lit("2000-01-01").cast("date"))
+    return ensemble.forced_signal(runs, ["cell"], kelvin).select("cell", "t", r("forced", 3).alias("forced"))
+
+
+@query("nested_metric_mean", "SELECT cell, metric, round(avg(value), 6) AS value FROM (SELECT member, cell, 'IQ_range' AS metric, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS value FROM members GROUP BY ALL UNION ALL SELECT member, cell, 'max_val', max(value) FROM members GROUP BY ALL) GROUP BY ALL", (MEMBERS_CUBE,))
+def nested_metric_mean(spark, sf_dir):
+    own = metrics.named(members_cube(spark, sf_dir), ["member", "cell"], ["IQ_range", "max_val"])
+    return ensemble.nested_mean(own, ["cell", "metric"]).select("cell", "metric", r("value").alias("value"))
+
+
+@query("named_metrics", "SELECT cell, season, 'IQ_range' AS metric, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS value FROM seasonal GROUP BY ALL UNION ALL SELECT cell, season, 'max_val', round(max(value), 6) FROM seasonal GROUP BY ALL UNION ALL SELECT cell, season, return_period || 'yr_event', round(level, 6) FROM levels WHERE return_period <> 3", (CUBE, SEASONS, _levels("cell, season", "seasonal")))
+def named_metrics(spark, sf_dir):
+    return metrics.named(seasonal(orders_cube(spark, sf_dir)), ["cell", "season"], ["IQ_range", "max_val", "33yr_event", "150yr_event"]).select("cell", "season", "metric", r("value").alias("value"))
+
+
+REFINED = BOXCOX.replace("best AS (", "best0 AS (") + "".join(f""", near{k} AS (
+  SELECT x.cell, x.month, g.lam, (g.lam - 1) * sum(ln(x)) - count(x) / 2.0 * ln(nullif(var_pop((pow(x, g.lam) - 1) / g.lam), 0)) AS llf
+  FROM x JOIN (SELECT DISTINCT cell, month, greatest(0.001::DOUBLE, least(1.0::DOUBLE, lam + {step}::DOUBLE * (k / 10.0::DOUBLE))) AS lam FROM best{k} CROSS JOIN (SELECT unnest(range(-10, 11)) AS k)) g ON g.cell = x.cell AND g.month = x.month GROUP BY x.cell, x.month, g.lam
+), best{k + 1} AS (SELECT cell, month, arg_max(lam, llf) AS lam FROM near{k} GROUP BY ALL)""" for k, step in enumerate((0.05, 0.005)))
+
+
+@query("boxcox_refined", "SELECT cell, CAST(month AS INT) AS month, round(lam, 4) AS lam FROM best2", (CUBE, REFINED))
+def boxcox_refined(spark, sf_dir):
+    cube = orders_cube(spark, sf_dir).withColumn("value", F.col("value") / 1000)
+    return normalize.best_exponents(cube, ["cell", "month"], refine=2).select("cell", "month", r("lam", 4).alias("lam"))
+
+
+MEMBER_BOXCOX = BOXCOX.replace("SELECT cell, month, t, CASE", "SELECT member, cell, month, t, CASE").replace("FROM cube)", "FROM members)").replace("SELECT cell, month, lam, (lam", "SELECT cell, month, lam, (lam").replace("FROM x CROSS JOIN", "FROM (SELECT * FROM x WHERE member = 1) x CROSS JOIN")
+
+
+@query("borrowed_exponents", "SELECT member, x.cell, x.t, round((pow(x, lam) - 1) / lam, 6) AS value FROM x JOIN best USING (cell, month)", (MEMBERS_CUBE, MEMBER_BOXCOX))
+def borrowed_exponents(spark, sf_dir):
+    cube = members_cube(spark, sf_dir).withColumn("value", F.col("value") / 1000)
+    lam = normalize.borrowed(normalize.best_exponents(cube, ["member", "cell", "month"]), 1, ["cell", "month"])
+    return normalize.transform(cube, lam, ["cell", "month"], "boxcox").select("member", "cell", "t", r("value").alias("value"))
+
+
+NORMAL_FIT = FIT.replace("value AS y", "(pow(CASE WHEN value <= 0 THEN 1e-24 ELSE value END / 1000, lam) - 1) / lam AS y").replace("cube c JOIN drivers d USING (t)", "cube c JOIN best USING (cell, month) JOIN drivers d USING (t)")
+NORMAL_SMOOTH = SMOOTH.replace("cube.month, value, b0", "cube.month, (pow(value / 1000, lam) - 1) / lam AS value, b0").replace("value - (b0", "(pow(value / 1000, lam) - 1) / lam - (b0").replace("FROM cube JOIN wide USING (cell, month)", "FROM cube JOIN best USING (cell, month) JOIN wide USING (cell, month)")
+INVERSE = "CASE WHEN v IS NOT NULL THEN CASE WHEN isnan(pow(lam * v + 1, 1 / lam)) THEN 0 ELSE pow(lam * v + 1, 1 / lam) END END"
+
+
+@query(
+    "transformed_members",
+    f"SELECT cell, CAST(member AS INT) AS member, CAST(t AS INT) AS t, round({INVERSE}, 3) AS value FROM (SELECT cell, member, noise.t, lam, b0 + noise + b1 * enso + b2 * pdo_orth + f.slope * d.gmt AS v FROM noise JOIN surr USING (member, t) JOIN wide USING (cell, month) JOIN best USING (cell, month) JOIN (SELECT cell, month, slope FROM forcing) f USING (cell, month) JOIN (SELECT t, gmt FROM drivers) d ON d.t = noise.t)",
+    (CUBE, DRIVERS, BOXCOX, NORMAL_FIT, NORMAL_SMOOTH, DRAWS, SURROGATES, "forcing AS (SELECT cell, c.month, CASE WHEN count(value) = count(*) THEN regr_slope((pow(value / 1000, lam) - 1) / lam, gmt) END AS slope FROM cube c JOIN best USING (cell, month) JOIN drivers d USING (t) GROUP BY ALL)"),
+)
+def transformed_members(spark, sf_dir):
+    """The chain of a transformed variable: exponents, fit, residuals, draws, members with the forced term, transformed back."""
+    cube = orders_cube(spark, sf_dir).withColumn("value", F.col("value") / 1000)
+    lam = normalize.best_exponents(cube, ["cell", "month"])
+    normal = normalize.transform(cube, lam, ["cell", "month"], "boxcox")
+    own = modes(spark, sf_dir)
+    fit = regress.smoothed(regress.monthly_fit(normal, regress.hat_table(own, PREDICTORS)))
+    forced = regress.forced(regress.monthly_fit(normal, regress.hat_table(own, ["constant", "gmt"])), own, "gmt")
+    draws = noise(spark, regress.fitted(normal, fit, own, PREDICTORS))
+    full = ensemble.members(draws, fit, shifted_modes(spark, sf_dir), ["enso", "pdo_orth"], forced)
+    back = normalize.transform(full.withColumn("month", (F.col("t") % 12 + 1).cast("int")), lam, ["cell", "month"], "boxcox", back=True)
+    return back.select("cell", "member", "t", r("value", 3).alias("value"))
+
+
+RESIDUAL_LENGTHS = """
+rlags AS (SELECT f.cell, f.month, f.t, residual, lag(residual) OVER (PARTITION BY f.cell, f.month ORDER BY f.t) AS last FROM fits f JOIN (SELECT cell FROM cube GROUP BY cell HAVING arg_max_null(value, t) IS NOT NULL) h ON h.cell = f.cell),
+rrho AS (SELECT cell, month, count(*) AS n, corr(residual, last) AS rho FROM rlags GROUP BY ALL)"""
+
+
+@query("residual_block_length", "SELECT cell, CAST(month AS INT) AS month, CAST(CASE WHEN rho IS NULL OR isnan(rho) OR rho <= -1 THEN floor(sqrt(n)) ELSE list_max(list_filter(range(0, n + 1), lambda l: l <= pow(n - l + 1, 2.0 / 3 * (1 - (1 - rho) / (1 + rho))))) END AS INT) AS length FROM rrho", (CUBE, DRIVERS, FIT, SMOOTH, RESIDUAL_LENGTHS))
+def residual_block_length(spark, sf_dir):
+    """Lengths from residuals, for cells whose last step has a value."""
+    there = align.ends(orders_cube(spark, sf_dir), ["cell"]).where("has_data").select("cell")
+    residuals = all_fitted(spark, sf_dir)[1].join(there, "cell", "left_semi")
+    rho = ensemble.lag_correlation(residuals, ["cell", "month"], order="t", value="residual")
+    return rho.select("cell", "month", ensemble.block_length(F.col("n"), F.col("rho")).alias("length"))
+
+
+# -- ends, heads, keys, regions -------------------------------------------------------------------------------
+
+
+@query("series_ends", "SELECT cell, round(arg_min_null(value, t), 6) AS first_value, round(arg_max_null(value, t), 6) AS last_value, arg_max_null(value, t) IS NOT NULL AS has_data, count(value) AS n_values, count(DISTINCT CASE WHEN value IS NOT NULL THEN year END) AS n_years FROM cube GROUP BY cell", (CUBE,))
+def series_ends(spark, sf_dir):
+    cube = orders_cube(spark, sf_dir)
+    years = cube.where("value is not null").select("cell", "year").distinct().groupBy("cell").agg(F.count("*").alias("n_years"))
+    return align.ends(cube, ["cell"]).join(years, "cell", "left").select("cell", r("first_value").alias("first_value"), r("last_value").alias("last_value"), "has_data", "n_values", F.coalesce("n_years", F.lit(0).cast("long")).alias("n_years"))
+
+
+@query("aligned_head", "SELECT cell, CAST(t - 3 AS INT) AS t, CAST(month AS INT) AS month, round(value, 6) AS value FROM cube WHERE t BETWEEN 3 AND 26", (CUBE,))
+def aligned_head(spark, sf_dir):
+    return align.from_first(orders_cube(spark, sf_dir), F.col("month") == 4, 24, by=["cell"]).select("cell", "t", "month", r("value").alias("value"))
+
+
+@query("climatology_added_back", "SELECT cell, t, round(value - avg(value) OVER (PARTITION BY cell, month) + avg(value) OVER (PARTITION BY cell, month), 4) AS value FROM cube", (CUBE,))
+def climatology_added_back(spark, sf_dir):
+    cube = orders_cube(spark, sf_dir)
+    mean = cube.groupBy("cell", "month").agg(F.avg("value").alias("mean"))
+    departures = cube.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("cell", "month")))
+    return units.with_climatology(departures, mean, ["cell"]).select("cell", "t", r("value", 4).alias("value"))
+
+
+@query("month_end_range", "SELECT CAST(n_nationkey AS BIGINT) AS cell, CAST(last_day(DATE '1999-11-15' + to_months(CAST(k AS INT))) AS DATE) AS month_end FROM nation CROSS JOIN (SELECT unnest(range(25)) AS k) WHERE k < n_nationkey + 1")
+def month_end_range(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("cell"), F.explode(timeaxis.month_ends(F.lit("1999-11-15").cast("date"), F.col("n_nationkey") + 1)).alias("month_end"))
+
+
+@query("half_even_rounding", "SELECT o_orderkey, round_even(o_orderkey * 0.125::DOUBLE, 2) AS value, o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-12-31' AS inside FROM orders")
+def half_even_rounding(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", timeaxis.rounded(F.col("o_orderkey") * F.lit(0.125), 2).alias("value"), timeaxis.within(F.col("o_orderdate"), "1996-03", "1997").alias("inside"))
+
+
+@query("rounded_key_join", "SELECT CAST(n_nationkey AS BIGINT) AS cell, t, round(value, 6) AS value FROM cube JOIN nation ON cell = n_nationkey WHERE year IN (SELECT DISTINCT year(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')", (CUBE,))
+def rounded_key_join(spark, sf_dir):
+    """Two grids whose latitudes differ in the last digits, joined; years by a semi-join to the years that there are."""
+    cells = align.rounded_keys(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("own"), (F.lit(-60.0) + 5 * F.col("n_nationkey") + 1e-7).alias("lat")), "lat")
+    years = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select(F.year("o_orderdate").alias("year"))
+    cube = align.in_years(align.rounded_keys(orders_cube(spark, sf_dir), "lat"), years)
+    return cube.join(cells, "lat").select(F.col("own").alias("cell"), "t", r("value").alias("value"))
+
+
+@query("merged_variables", "SELECT CAST(coalesce(f.cell, o.cell) AS BIGINT) AS cell, CAST(coalesce(f.t, o.t) AS INT) AS t, f.n AS filled, o.n AS open FROM (SELECT c_nationkey AS cell, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY ALL) f FULL JOIN (SELECT c_nationkey AS cell, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY ALL) o ON o.cell = f.cell AND o.t = f.t")
+def merged_variables(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("cell"), months_since(F.col("o_orderdate")).alias("t"), "o_orderstatus").agg(F.count("*").alias("value"))
+    return files.merged({name: rows.where(F.col("o_orderstatus") == s) for name, s in (("filled", "F"), ("open", "O"))}, ["cell", "t"])
+
+
+@query(
+    "regional_season_mean",
+    "SELECT label, round(sum(value * w) / sum(w), 6) AS mean FROM (SELECT label, value, least(greatest(cos(radians(-60.0 + 5 * cell)), 0), 1) AS w FROM seasonal n WHERE season = 'DJF' AND season_year BETWEEN 1996 AND 2000 AND (SELECT count(*) FROM (VALUES " + ", ".join(f"({a + 360}, {b}, {c + 360}, {d})" for (a, b), (c, d) in zip(RING, RING[1:] + RING[:1])) + ") e(x1, y1, x2, y2) WHERE (y1 > -60.0 + 5 * n.cell) <> (y2 > -60.0 + 5 * n.cell) AND (n.cell * 37) % 120 < (x2 - x1) * (-60.0 + 5 * n.cell - y1) / (y2 - y1) + x1) % 2 = 1) GROUP BY label",
+    (CUBE, SEASONS),
+)
+def regional_season_mean(spark, sf_dir):
+    """Seasonal means over the cells in a polygon, weighted by the cosine of latitude."""
+    rows = seasonal(orders_cube(spark, sf_dir)).where((F.col("season") == "DJF") & F.col("season_year").between(1996, 2000)).withColumns({"lat": F.lit(-60.0) + 5 * F.col("cell"), "lon": (F.col("cell") * 37 % 120).cast("double")})
+    inside = rows.where(align.in_polygon(rows, RING, 360.0))
+    return align.weighted_mean(inside, ["label"], "value", align.cos_weight(F.col("lat"))).select("label", r("mean").alias("mean"))
+
+
+HANN21 = """
+hann AS (SELECT k, (0.5 - 0.5 * cos(2 * pi() * (k + 10) / 20)) / 10 AS w FROM (SELECT unnest(range(-10, 11)) AS k)),
+smooth_amo AS (SELECT d.t, sum(e.amo * w) AS x FROM drivers d JOIN hann ON TRUE JOIN drivers e ON e.t = d.t + k GROUP BY d.t HAVING count(*) = 21),
+index21 AS (SELECT t, x / stddev_pop(x) OVER () AS x FROM smooth_amo)"""
+
+
+@query("mode_pattern", "SELECT cell, lon, CAST(month AS INT) AS month, round(sum(a * x) / sum(x * x), 3) AS slope FROM (SELECT cell, (cell * 37 - 180 + 360) % 360 AS lon, t, month, CASE WHEN avg(value) OVER (PARTITION BY cell, month) >= 140000 THEN value - avg(value) OVER (PARTITION BY cell, month) END AS a FROM cube) c JOIN index21 USING (t) WHERE a IS NOT NULL GROUP BY ALL", (CUBE, DRIVERS, HANN21))
+def mode_pattern(spark, sf_dir):
+    """Regression through the origin of departures on a smoothed index of unit deviation, without the cells and months whose climatology is below a threshold, on longitudes from 0 to 360."""
+    mean = F.avg("value").over(Window.partitionBy("cell", "month"))
+    cube = orders_cube(spark, sf_dir).withColumn("_mean", mean)
+    own = align.masked(cube.withColumn("value", F.col("value") - F.col("_mean")), "value", F.col("_mean") >= 140000)
+    smooth = linop.hann_smoothed(modes(spark, sf_dir).select("t", "amo"), 21, "amo").select("t", F.col("smooth").alias("index"))
+    slope = regress.through_origin(own, regress.standardised(smooth, ["index"]), "index", ["cell", "month"])
+    return slope.select("cell", align.recentred(F.col("cell") * 37 - 180).alias("lon"), "month", r("slope", 3).alias("slope"))
+
+
+@query("surrogate_modes")
+def surrogate_modes(spark, sf_dir):
+    """Surrogates of all modes; the slow one is filtered again."""
+    return spectra.low_passed(spectra.surrogates(mode_series(spark, sf_dir), MEMBERS, cycle={"enso": 12}), ["amo"], MONTHS, 0.05)
+
+
+#: The survey's inventory numbers that each query exercises. Unit tests alone cover A4, A6 to A12, A14, B1 to B7, C1, D13, G1, L2, N8 (sources, store, runs, transforms).
+COVERS = {
+    "season_summary": "A1 A2 A3 E6 E7 E11 F8",
+    "return_levels": "F8 F11 G3 G4 D7",
+    "pooled_return_levels": "E15 C19",
+    "monthly_climatology": "E3",
+    "monthly_anomaly": "D4 E2",
+    "seasonal_mean_qsdec": "E11 I9 I10 I11",
+    "season_year_filter": "C5 C8 I11",
+    "metric_pivot": "C20 D7",
+    "stacked_metrics": "H2 H3",
+    "hourly_climatology": "A1 E3",
+    "lagged_predictors": "F1 D1 C12 C4",
+    "gram_schmidt_index": "N1 E10",
+    "standardised_modes": "E4",
+    "nearest_cell_series": "C16 N17",
+    "area_weighted_region_mean": "E9 I3",
+    "cells_in_region": "D10",
+    "component_sum": "D6 D7",
+    "masked_band": "C9 C10",
+    "trimmed_series": "C12 C15 F7",
+    "misaligned_steps": "D11",
+    "unit_conversion": "I16 I18 I20",
+    "calendar_columns": "I1 I5 I9 I12 I13 I14 I15",
+    "monthly_ols_coeffs": "N2 E17 C6",
+    "harmonic_smoothed_coeffs": "N3 I6 I17 C3",
+    "fitted_residuals": "N4 D2 D3 D5 D12 C2",
+    "forced_component": "N5",
+    "origin_regression_pattern": "N19",
+    "boxcox_lambda_grid": "N6 I4 I8 E12",
+    "boxcox_roundtrip": "N7 I2 I7",
+    "wilks_block_size": "N10 E8 F2",
+    "block_to_use": "E14 N10",
+    "bootstrap_members": "N13 D9 F10 L1",
+    "synthetic_members": "N14 C13 C21",
+    "ensemble_mean_signal": "E1 E2",
+    "hann_smooth": "F3",
+    "lowpass_index": "F4",
+    "band_variance": "F6 F7 E5 N20",
+    "iaaft_surrogates": "N11 F9 L3 L4",
+    "multitaper_spectrum": "N15",
+    "surrogate_envelope": "E16",
+    "lfca_components": "N16 E18 F5 G6",
+    "forced_signal": "N18 H4 H5 E1 E2 I19",
+    "nested_metric_mean": "E19 I24",
+    "named_metrics": "N20 I22 I23 I24",
+    "boxcox_refined": "N6",
+    "borrowed_exponents": "N9 N7",
+    "transformed_members": "N14 N5 N7 N9",
+    "residual_block_length": "N10 C11",
+    "series_ends": "C11 E13 F12 F13",
+    "aligned_head": "C14 G5",
+    "climatology_added_back": "I21",
+    "month_end_range": "I15",
+    "half_even_rounding": "I1 C7",
+    "rounded_key_join": "C17 D8",
+    "merged_variables": "A5",
+    "regional_season_mean": "N21 E9 D10 E11",
+    "mode_pattern": "N19 F3 G2 B9",
+    "surrogate_modes": "N12 L3",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIRST_YEAR, MONTHS = 1995, 72
@@ -47,8 +47,8 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy(months_since(F.col("o_orderdate")).alias("t")).agg(F.count("*").cast("double").alias("gmt"))
     axis = spark.range(MONTHS).select(F.col("id").cast("int").alias("t"))
     both = axis.join(items, "t", "left").join(orders, "t", "left")
-    means = both.agg(*[F.avg(c).alias(f"_{c}") for c in ("enso", "pdo", "amo", "gmt")])
-    return _calendar(both.crossJoin(means).select("t", *[(F.coalesce(F.col(c), F.col(f"_{c}")) - F.col(f"_{c}")).alias(c) for c in ("enso", "pdo", "amo", "gmt")]))
+    mean = lambda c: F.avg(c).over(Window.partitionBy())  # noqa: E731  the axis has 72 rows
+    return _calendar(both.select("t", *[(F.coalesce(F.col(c), mean(c)) - mean(c)).alias(c) for c in ("enso", "pdo", "amo", "gmt")]))
 
 
 def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,3 +57,13 @@ def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = events.groupBy(F.col("event_type").alias("cell"), ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("int").alias("t")).agg(F.avg("value").alias("value"))
     keys = events.select(F.col("event_type").alias("cell")).distinct()
     return densified(keys, filled, ["cell"], 720).withColumns({"cycle": F.floor(F.col("t") / 24).cast("int"), "phase": (F.col("t") % 24).cast("int")})
+
+
+def members_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly mean order value by region for each order priority, as the members 1 to 5 of an ensemble: member, cell, t, value, year, month."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2000-12-31 23:59:59.999999").cast("timestamp_ntz")))
+    nations = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").cast("long").alias("cell"))
+    member = F.substring("o_orderpriority", 1, 1).cast("int").alias("member")
+    filled = orders.join(nations, F.col("o_custkey") == F.col("c_custkey")).groupBy(member, "cell", months_since(F.col("o_orderdate")).alias("t")).agg(F.avg("o_totalprice").alias("value"))
+    keys = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("cell"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("member"))
+    return _calendar(densified(keys, filled, ["member", "cell"], MONTHS))
