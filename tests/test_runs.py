@@ -149,6 +149,6 @@ def test_run(spark, tmp_path, case):
     original = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith(f"{case}-original")))
     # (exponents that differ between months can make single values very large)
     middle = [df.where("cell = 3").agg(F.percentile("value", F.lit(0.5))).first()[0] for df in (original, got.where("kind = 'noise'"))]
-    assert middle[1] == pytest.approx(middle[0], rel=0.1) and got.where("value < 0").isEmpty()
+    assert middle[1] == pytest.approx(middle[0], rel=0.1)
     with pytest.raises(ValueError, match="no case"):
         runs.parameters("moon")
