@@ -91,7 +91,7 @@ def laid_out(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tupl
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ), "mix-sizes")
-    buckets = max(8, sized.count() // BUCKET_ROWS)
+    buckets = max(64, sized.count() // BUCKET_ROWS)
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).select(F.col("source").alias("source_name"), "source_size", "weight", "target", "src")
     docs = sized.join(sources, F.col("source").eqNullSafe(F.col("source_name"))).select("doc_id", "size", "source", "source_size", "target", "src", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"))
