@@ -103,6 +103,11 @@ def chosen(labelled: DataFrame, docs_a_lang: int) -> tuple[DataFrame, dict[str,
     return labelled.where(F.pmod(place, F.lit(1 << 40)) < least[F.col("lang")]).dropDuplicates(["lang", "seed", "text"]), counts
 
 
+def _grams(n: int) -> Column:
+    """All strings of n characters of the column marked."""
+    return F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i: F.substr("marked", i, F.lit(n)))
+
+
 def train(labelled: DataFrame, docs_a_lang: int = DOCS_A_LANG, max_n: int = MAX_N) -> Model | None:
     """labelled: text, lang, seed (a stable number for each row). None if there is nothing to learn."""
     labelled, shares = chosen(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), docs_a_lang)
@@ -118,7 +123,7 @@ def train(labelled: DataFrame, docs_a_lang: int = DOCS_A_LANG, max_n: int = MAX_
     marked = words.withColumn("marked", F.concat(F.lit(" "), "word", F.lit(" ")))
     gram_rows, gram_totals = [], {}
     for n in range(1, max_n + 1):
-        own = marked.where(F.length("marked") >= n).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i, n=n: F.substr("marked", i, F.lit(n)))).alias("gram"), "n")
+        own = marked.where(F.length("marked") >= n).select("lang", F.explode(_grams(n)).alias("gram"), "n")
         gram_rows.append(_columns(own.where(F.trim("gram") != "").groupBy("gram", "lang").agg(F.sum("n").alias("n"))))
         gram_totals[n] = {}
         for _, lang, k in gram_rows[-1]:
