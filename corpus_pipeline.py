@@ -61,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash of the text draws for each of them.
     """
     mixed = written(mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0").withColumn("share", F.col("taken") / F.col("size")), "shares")
-    buckets = F.lit(max(1, mixed.count() // BUCKET_DOCS))
+    buckets = F.lit(max(64, mixed.count() // BUCKET_DOCS))
     mixed = mixed.withColumns({"part": F.col("share") - F.floor("share"), "bucket": F.pmod(F.xxhash64("doc_id", F.lit(ROUNDING_SEED)), buckets)})
     unit = lambda h: F.pmod(h, F.lit(1 << 53)) / float(1 << 53)
     total = unit(F.xxhash64("source", "bucket", F.lit(ROUNDING_SEED))) + F.sum("part").over(Window.partitionBy("source", "bucket").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
