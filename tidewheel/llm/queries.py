@@ -1,8 +1,8 @@
-"""The queries of the ten operators, and their SQL where SQL can express them."""
+"""The queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, lmscore, mixing, passages, quality, sharding, simhash, warc
+from . import ann, bpe, crosstok, langid, lmscore, mixing, passages, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_dictionary_warc": warc.op1_dictionary_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_run_length_passages": passages.op8_run_length_passages,
     "op9_block_mixture": mixing.op9_block_mixture,
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
+    "op12_token_alignment": crosstok.op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
