@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, crosstok, langid, lmscore, mixing, passages, quality, sharding, simhash, warc
+from . import ann, bpe, crosstok, langid, lmscore, mixing, passages, quality, sharding, simhash, trie, warc
 
 QUERIES = {
     "op1_dictionary_warc": warc.op1_dictionary_warc,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_run_length_passages": passages.op8_run_length_passages,
     "op9_block_mixture": mixing.op9_block_mixture,
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_token_alignment": crosstok.op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op1_dictionary_warc": warc.OP1_SQL,
     "op6_threshold_rules": quality.OP6_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
 }
