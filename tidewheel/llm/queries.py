@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, crosstok, langid, lmscore, mixing, passages, quality, sharding, simhash, trie, warc
+from . import ann, bpe, crosstok, langid, lmscore, maintext, mixing, passages, quality, sharding, simhash, trie, warc
 
 QUERIES = {
     "op1_dictionary_warc": warc.op1_dictionary_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_fixed_virtual_slots": sharding.op10_fixed_virtual_slots,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_token_alignment": crosstok.op12_token_alignment,
+    "op13_template_text": maintext.op13_template_text,
 }
 
 ORACLES: dict[str, str] = {
