@@ -107,7 +107,19 @@ def test_segments_that_are_not_given_back():
     assert crosstok.Aligned(both, ["▁"]).links().size == 0
 
 
-def test_ranks():
+def test_both_ways_to_encode_agree(raw):
+    both = crosstok.tokenizers(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    texts = [t for _, t in ODD] + [r[1][:3000] for r in raw if r[1]]
+    segments = sorted({x for t in texts for x in crosstok.CUT.split(t)})
+    assert both.ranks
+    ranks, both.ranks = both.ranks, None
+    slow = both.encoded(segments)
+    both.ranks = ranks
+    assert both.encoded(segments) == slow
+    assert [x.ids for x in both.a.encode_batch([" " + t for t in texts], add_special_tokens=False)] == [sum(x, []) for x in ([ranks.encode_ordinary(" " + y) for y in crosstok.CUT.split(t)] for t in texts)]
+
+
+def test_bitset_ranks():
     import numpy as np
 
     places = np.array([0, 3, 63, 64, 130])
