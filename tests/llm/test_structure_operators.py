@@ -381,8 +381,8 @@ def check_mix(got, rows):
         assert r["target"] == pytest.approx(targets[r["source"]])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    for s, t in targets.items():
-        assert abs(taken[s] - t) <= max(0.03 * t, 2 * mixing.BLOCK_WORDS)
+    for s, t in targets.items():  # half a slot, and the last block of each pass may be short
+        assert abs(taken[s] - t) <= max(0.01 * t, 4 * min(mixing.BLOCK_WORDS, max(1, sizes[s] // mixing.LEAST_BLOCKS)))
 
 
 def test_mixing(docs, raw, empty):
@@ -398,7 +398,10 @@ def test_mixing_query(spark):
     check_mix(mixing.op9_block_mixture(spark, sf).collect(), rows)
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 1}, {"a": 5, "b": 5, "c": 5, "d": 5, None: 900}, {"x": 7}, {"x": 0, "y": 4}])
+TIED = [{f"s{k:02}": 1000 for k in range(n)} for n in (2, 3, 6, 7, 12, 60)] + [{f"s{k}": n for k, n in enumerate([1000, 900, 1000, 900, 800, 1000])}, {None: 30, **{f"s{k:02}": 30 for k in range(59)}}]
+
+
+@pytest.mark.parametrize("sizes", [*TIED, {"a": 10, "b": 1000, "c": 1}, {"a": 5, "b": 5, "c": 5, "d": 5, None: 900}, {"x": 7}, {"x": 0, "y": 4}])
 def test_targets(spark, sizes):
     got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
     want = targets_of(sizes)
@@ -408,7 +411,8 @@ def test_targets(spark, sizes):
 @pytest.mark.parametrize("n_blocks", [1, 2, 3, 5, 7, 50, 1000])
 def test_mix_permutation_visits_each_block_once_a_pass(spark, n_blocks):
     n_slots = n_blocks * 2 + n_blocks // 2
-    sources = spark.createDataFrame([("a", 64 * n_blocks, 1, 64.0 * n_slots, 1)], "source string, source_size long, weight int, target double, src int")
+    words = 1 if n_blocks < 64 else 64
+    sources = spark.createDataFrame([("a", words * n_blocks, 1, 1.0 * words * n_slots, 1)], "source string, source_size long, weight int, target double, src int")
     rows = mixing.slots(sources).orderBy("slot").collect()
     assert [r["slot"] for r in rows] == list(range(n_slots)) and max(Counter((r["pass_no"], r["block"]) for r in rows).values()) == 1
     assert all(0 <= r["block"] < n_blocks for r in rows)
@@ -419,7 +423,7 @@ def test_mix_permutation_visits_each_block_once_a_pass(spark, n_blocks):
 
 
 def test_mix_counts_by_output_shard(spark):
-    sources = spark.createDataFrame([("a", 64 * 4000, 1, 64.0 * 4000, 1), ("b", 64 * 10, 2, 64.0 * 20, 2)], "source string, source_size long, weight int, target double, src int")
+    sources = spark.createDataFrame([("a", 64 * 4000, 1, 64.0 * 4000, 1), ("b", 10, 2, 20.0, 2)], "source string, source_size long, weight int, target double, src int")
     counts = {(r["src"], r["shard"]): r["n"] for r in mixing.shard_counts(sources).collect()}
     assert sum(n for (s, _), n in counts.items() if s == 1) == 4000 and sum(n for (s, _), n in counts.items() if s == 2) == 20
     own = [counts.get((1, s), 0) for s in range(16)]
@@ -427,6 +431,16 @@ def test_mix_counts_by_output_shard(spark):
     assert counts == Counter((r["src"], r["shard"]) for r in mixing.slots(sources).collect())
 
 
+def test_small_and_tied_sources(spark):
+    """Six equal sources, and sources of few words that are taken less than half."""
+    rows = [(100 * k + j, " ".join(["w"] * 100), None, f"s{k}") for k in range(6) for j in range(10)]
+    check_mix(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect(), rows)
+    rows = [(1, "a b c", None, "a"), (2, "d e f g", None, "a"), (3, " ".join("xyz" * 20), None, "b"), (4, " ".join("xyz" * 30), None, "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    check_mix(got, rows)
+    assert sum(r["taken"] for r in got if r["source"] == "a") > 0
+
+
 def test_the_mix_has_the_words_that_are_taken(docs):
     taken, size = Counter(), Counter()
     for r in mixing.mix(docs).collect():
@@ -484,6 +498,14 @@ def test_a_stored_map_is_loaded_and_edited(spark, tmp_path):
 
 
 def test_slot_maps_are_edited_until_no_move_helps():
+    # no move helps: 6 + 6 and 4 + 4 differ by less than any slot; a swap makes them equal
+    assert sharding.rebalanced([0, 0, 1, 1], [6, 6, 4, 4], 2) in ([0, 1, 0, 1], [0, 1, 1, 0], [1, 0, 0, 1], [1, 0, 1, 0])
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = rng.integers(1, 4000, 60).tolist()
+        even = sharding.rebalanced(sharding.first_map(60, 5), sizes, 5)
+        load = np.bincount(even, weights=sizes, minlength=5)
+        assert load.max() - load.min() <= 0.02 * load.mean() and sharding.rebalanced(even, sizes, 5) == even
     assert sharding.rebalanced([0, 1, 2, 3], [5, 5, 5, 5], 2) in ([0, 1, 0, 1], [0, 1, 1, 0])
     even = sharding.rebalanced(sharding.first_map(16, 4), [9] * 4 + [1] * 12, 4)
     load = Counter()

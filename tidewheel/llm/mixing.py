@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
-The words of a source, document after document, are packed into blocks of fixed length. Each source
-gets as many slots as its target asks for. Its slots are drawn to the output shards one by one, so a
-source's counts over the shards are multinomial given its total, which stays exact (and no block is
-taken more often than passes allow). A shard's slots of a source are a range of the source's slots;
+The words of a source, document after document, are packed into blocks of fixed length (64 words;
+fewer in sources that would have less than 64 blocks). Each source gets as many slots as its target asks
+for. Its slots are drawn to the output shards one by one, so a source's counts over the shards are
+multinomial given its total, which stays exact (and no block is taken more often than passes allow). A shard's slots of a source are a range of the source's slots;
 slots are mapped to blocks through a keyed pseudorandom permutation of the source's block indexes (a
 Feistel network over a grid just larger than their number, walked until it hits an index), one for
 every pass over the source, and joined with the blocks by index. ``assembled`` is the mix itself;
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import WORD, table, written
 
 BLOCK_WORDS = 64
+#: A source has so many blocks at least, or a block for each word: small sources are packed into smaller blocks, so that whole blocks come near their targets too.
+LEAST_BLOCKS = 64
 OUTPUT_SHARDS = 16
 MOST_PASSES = 3
 BUCKET_ROWS = 20_000
@@ -42,14 +44,15 @@ def source_targets(sizes: DataFrame, most: int = MOST_PASSES) -> DataFrame:
     The table has one row per source.
     """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sizes.withColumn("weight", F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)) + 1)
-    by_full = Window.orderBy("full_at", F.col("source").asc_nulls_last())
+    ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", F.pmod(F.col("place") - 1, F.lit(3)) + 1)
+    by_full = Window.orderBy("full_at", "place")
     levels = ranked.withColumn("full_at", most * F.col("source_size") / F.col("weight")).withColumns({
         "total": F.sum("source_size").over(everything),
         "filled": F.coalesce(F.sum(most * F.col("source_size")).over(by_full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "weights": F.sum("weight").over(by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
     }).withColumn("level", (F.col("total") - F.col("filled")) / F.col("weights"))
-    level = F.min_by(F.when(F.col("full_at") > F.col("level"), F.col("level")), F.when(F.col("full_at") > F.col("level"), F.col("full_at"))).over(everything)
+    # of sources that fill up at the same level, the first has the running sums that leave out none of them
+    level = F.min_by(F.when(F.col("full_at") > F.col("level"), F.col("level")), F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "place"))).over(everything)
     return levels.withColumn("last_level", level).select(
         "source", "source_size", "weight",
         F.least(most * F.col("source_size").cast("double"), F.coalesce(F.col("weight") * F.col("last_level"), most * F.col("source_size").cast("double"))).alias("target"),
@@ -85,6 +88,11 @@ def _block_of(place: Column, pass_no: Column, seed: int) -> Column:
     return F.when(once < n, once).when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk did not end")))
 
 
+def block_length(block_words: int) -> Column:
+    """Words of a source's blocks."""
+    return F.greatest(F.lit(1).cast("long"), F.least(F.lit(block_words).cast("long"), F.floor(F.col("source_size") / LEAST_BLOCKS)))
+
+
 def laid_out(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in their source's stream of words, and the source table."""
     sized = written(df.select(
@@ -112,7 +120,7 @@ def _numbered(ranges: DataFrame, first: Column, count: Column, name: str) -> Dat
 
 def shard_counts(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
     """(src, shard, n_blocks, first, n): how many of a source's slots each output shard has, and the first of them. Each slot is a draw of one of the shards."""
-    planned = sources.where("source_size > 0 and target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    planned = sources.where("source_size > 0 and target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block_length(block_words)).cast("long"))
     planned = planned.withColumn("n_slots", F.least(MOST_PASSES * F.col("n_blocks"), F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long"))).select("src", "n_blocks", "n_slots")
     drawn = _numbered(planned, F.lit(0).cast("long"), F.col("n_slots"), "draw")
     counts = drawn.groupBy("src", "n_blocks", F.pmod(F.xxhash64("src", "draw", F.lit(seed + 2)), F.lit(output_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
@@ -129,10 +137,10 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, out
 
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
     """placed, cut at block ends: block (null for documents without words), begin (a place among the source's words) and words."""
-    end = F.col("start") + F.col("size")
-    pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)))))
-    begin = F.greatest("start", F.col("block") * block_words)
-    return pieces.withColumns({"begin": begin, "words": F.coalesce(F.least(end, (F.col("block") + 1) * block_words) - begin, F.lit(0))})
+    end, length = F.col("start") + F.col("size"), block_length(block_words)
+    pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length)))))
+    begin = F.greatest("start", F.col("block") * length)
+    return pieces.withColumns({"begin": begin, "words": F.coalesce(F.least(end, (F.col("block") + 1) * length) - begin, F.lit(0))})
 
 
 def assembled(df: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 9, output_shards: int = OUTPUT_SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -17,12 +17,16 @@ empty table gives no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, table
 
 VSLOTS = 4096
+#: Slots are swapped until shards' loads differ by this share of their mean at most, or no swap helps.
+EVEN = 0.001
 #: Rows of a bucket, within which places are counted; and equal rows that are numbered at once.
 BUCKET_ROWS, AT_ONCE = 20_000, 4096
 
@@ -35,10 +39,10 @@ def first_map(vslots: int, shards: int) -> list[int]:
 def rebalanced(slot_shard: list[int], slot_bytes: list[int], shards: int) -> list[int]:
     """The map edited so that shards hold nearly equal bytes.
 
-    Each edit moves one slot from the heaviest shard to the lightest: the slot whose bytes come
-    closest to half of the difference. The sum of the shards' squared loads falls with every edit, so
-    it comes to an end: where no move makes the difference smaller. Slots of a shard that no longer
-    exists are moved first.
+    An edit moves one slot from the heaviest shard to the lightest, the slot whose bytes come closest
+    to half of the difference. Where no move makes the difference smaller and it is over EVEN of the
+    mean load, two slots of these shards are swapped that do. The sum of the shards' squared loads
+    falls with every edit, so it comes to an end. Slots of a shard that no longer exists are moved first.
     """
     out = [s if s < shards else v % shards for v, s in enumerate(slot_shard)]
     held: list[set[int]] = [set() for _ in range(shards)]
@@ -50,13 +54,31 @@ def rebalanced(slot_shard: list[int], slot_bytes: list[int], shards: int) -> lis
         high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[high] - load[low]
         fit = min((v for v in held[high] if 0 < slot_bytes[v] < gap), key=lambda v: (abs(2 * slot_bytes[v] - gap), v), default=None)
+        back = None
         if fit is None:
-            return out
-        held[high].remove(fit)
-        held[low].add(fit)
-        load[high] -= slot_bytes[fit]
-        load[low] += slot_bytes[fit]
-        out[fit] = low
+            if gap <= EVEN * sum(load) / shards or (swap := _best_swap(held[high], held[low], slot_bytes, gap)) is None:
+                return out
+            fit, back = swap
+        for slot, there, here in ((fit, high, low), (back, low, high)):
+            if slot is not None:
+                held[there].remove(slot)
+                held[here].add(slot)
+                load[there] -= slot_bytes[slot]
+                load[here] += slot_bytes[slot]
+                out[slot] = here
+
+
+def _best_swap(high: set[int], low: set[int], slot_bytes: list[int], gap: int) -> tuple[int, int] | None:
+    """A slot of each shard whose bytes differ by nearly half of gap."""
+    others = sorted((slot_bytes[v], v) for v in low)
+    best = None
+    for v in high:
+        at = bisect_left(others, (slot_bytes[v] - gap / 2,))
+        for b, w in others[max(0, at - 1) : at + 1]:
+            more = slot_bytes[v] - b
+            if 0 < more < gap:
+                best = min(best or (gap, 0, 0), (abs(2 * more - gap), v, w))
+    return best and best[1:]
 
 
 def _numbers(values: list[int], kind: str) -> Column:
