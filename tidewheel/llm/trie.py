@@ -113,7 +113,11 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     while one.limit(1).count():
         levels.append(one)
         # members learn whether their class goes on, and its smallest conversation
-        told = written(members.join(one.hint("merge").select("q1", "q2", "conv_id", "n_seqs", "chars"), ["q1", "q2"]), "trie-told")
+        if depth:
+            told = members.join(one.hint("merge").select("q1", "q2", "conv_id", "n_seqs", "chars"), ["q1", "q2"])
+        else:  # the root is one row
+            told = members.withColumns({c: F.lit(v).cast("long") for c, v in one.select("conv_id", "n_seqs", "chars").first().asDict().items()})
+        told = written(told, "trie-told")
         singles.append(told.where("n_seqs = 1").select("seq", "w", "n", "total", "cum", "chars", F.lit(depth).cast("long").alias("retired")))
         ends.append(told.where(F.col("n") == depth).select("seq", "w", "conv_id", F.lit(depth).cast("long").alias("depth")))
         ends.append(told.where((F.col("n_seqs") == 1) & (F.col("n") > depth)).select("seq", "w", F.col("seq").alias("conv_id"), F.col("n").alias("depth")))
