@@ -1,6 +1,7 @@
 """Files as sources, and runs from a cube to stored members."""
 
 import json
+from datetime import date
 
 import numpy as np
 import pytest
@@ -114,12 +115,16 @@ def test_filtered_cells_equal_the_weight_table(spark):
     assert one.keys() == other.keys() and all(v is None if c == 2 else v == pytest.approx(other[c, t]) for (c, t), v in one.items())
 
 
-def test_step_products_are_matrix_products(spark):
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_step_products_are_matrix_products(spark, kind):
     rng = np.random.default_rng(5)
     x, w = rng.normal(size=(7, 4)), rng.uniform(0.2, 1, 7)
-    rows = spark.createDataFrame([("g" if k < 5 else "h", k, float(w[k]), x[k].tolist()) for k in range(7)], "member string, cell int, weight double, x array<double>").repartition(3)
-    got = spectra.step_products(rows, ["member"], 4).collect()
-    for name, at in (("g", slice(0, 5)), ("h", slice(5, 7))):
+    names = {"string": ("g", "h"), "int": (3, 4), "date": (date(2001, 1, 1), date(2001, 2, 1))}[kind]
+    rows = spark.createDataFrame([(names[k >= 5], k, float(w[k]), x[k].tolist()) for k in range(7)], f"member {kind}, cell int, weight double, x array<double>").repartition(3)
+    got = spectra.step_products(rows, ["member"], 4)
+    assert got.schema["member"].dataType == rows.schema["member"].dataType
+    got = got.collect()
+    for name, at in ((names[0], slice(0, 5)), (names[1], slice(5, 7))):
         own = sorted((r["i"], r["mixed"], r["gram"]) for r in got if r["member"] == name)
         assert np.array([r[1] for r in own]) == pytest.approx(x[at].T @ (x[at] * w[at, None]))
         assert np.array([r[2] for r in own]) == pytest.approx((x[at] * w[at, None]).T @ (x[at] * w[at, None]))

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .linop import filter_matrix
 
@@ -129,13 +130,14 @@ def envelope(spectra: DataFrame, keys: list[str]) -> DataFrame:
 def step_products(rows: DataFrame, groups: list[str], steps: int) -> DataFrame:
     """rows (groups, cell, weight, x: a series as an array) to groups, i, mixed, gram: row i of the steps x steps sums of products of two steps over cells, weighted once and twice. One matrix product for each batch of cells; what crosses the network are steps rows a batch and group."""
     kinds = [rows.schema[g].dataType.simpleString() for g in groups]
+    typed = [to_arrow_type(rows.schema[g].dataType) for g in groups]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
 
         def summed() -> Iterator[pa.RecordBatch]:
             for name, (mixed, gram) in sums.items():
-                yield pa.RecordBatch.from_arrays([*(pa.array([v] * steps) for v in name), pa.array(np.arange(steps, dtype=np.int32)), pa.array(list(mixed)), pa.array(list(gram))], names=[*groups, "i", "mixed", "gram"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * steps, kind) for v, kind in zip(name, typed)), pa.array(np.arange(steps, dtype=np.int32)), pa.array(list(mixed)), pa.array(list(gram))], names=[*groups, "i", "mixed", "gram"])
             sums.clear()
 
         for batch in batches:
