@@ -71,19 +71,26 @@ def test_member_store(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(member" in one._jdf.queryExecution().toString()
 
 
-def test_results_are_kept_by_parameters(spark, tmp_path):
-    calls = []
-
-    def make():
-        calls.append(1)
-        return spark.range(5)
-
-    a, b = store.Parameters(), store.Parameters(seed=9)
-    for p in (a, a, b):
-        assert store.kept(spark, str(tmp_path), "x", p, make).count() == 5
-    assert len(calls) == 2
-    store.write_parameters(spark, a, str(tmp_path / "p"))
-    assert '"seed": 123' in spark.read.text(str(tmp_path / "p")).first()[0]
+def test_results_are_kept_by_what_they_depend_on(spark, tmp_path):
+    """Other input, other parameters or another stage before give another result; an interrupted one is made anew."""
+    stages = store.Stages(spark, str(tmp_path / "kept"))
+    spark.range(5).write.parquet(str(tmp_path / "a"))
+    spark.range(9).write.parquet(str(tmp_path / "b"))
+    a, b = (store.fingerprint(spark, str(tmp_path / x)) for x in "ab")
+    assert a == store.fingerprint(spark, str(tmp_path / "a")) != b
+    read = lambda x, **more: stages.kept("x", lambda: spark.read.parquet(str(tmp_path / x)), {"a": a, "b": b}[x], more)
+    assert [read("a").rows.count(), read("b").rows.count(), read("a").rows.count(), read("a", seed=9).rows.count()] == [5, 9, 5, 5]
+    assert stages.made == ["x", "x", "x"]
+    after = lambda x: stages.kept("sum", lambda: x.rows.agg(F.sum("id").alias("s")), x)
+    assert [after(read("a")).rows.first()[0], after(read("b")).rows.first()[0]] == [10, 36]
+    # a job that was cut off leaves a folder without a marker
+    path = stages.path("x", read("b").digest)
+    (tmp_path / "kept" / path.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    (tmp_path / "kept" / path.rsplit("/", 1)[1] / "_temporary").mkdir()
+    assert read("b").rows.count() == 9 and stages.made.count("x") == 4
+    # changed files are other files
+    spark.range(7).write.mode("append").parquet(str(tmp_path / "a"))
+    assert store.fingerprint(spark, str(tmp_path / "a")) != a
 
 
 def test_cubes_have_every_step(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import timeaxis
 from tidewheel.operators import align, ensemble, linop, metrics, normalize, spectra
 from tidewheel.plans import runs
-from tidewheel.sources import files
+from tidewheel.sources import files, store
 
 
 def write(spark, rows, schema, path):
@@ -140,20 +140,92 @@ def test_low_passed_surrogates(spark):
     assert series(got, "amo") == pytest.approx(linop.zero_phase(series(before, "amo"), 3, 0.1))
 
 
+SF = "/root/testdata/sf0.01"
+
+
 @pytest.mark.parametrize("case", ["orders", "orders_transformed"])
 def test_run(spark, tmp_path, case):
-    sf = "/root/testdata/sf0.01"
-    got = runs.run(spark, sf, case, str(tmp_path))
+    got = runs.run(spark, SF, case, str(tmp_path))
     p = runs.parameters(case)
     assert got.count() == 2 * p.members * 25 * 72
     assert {(r["variable"], r["kind"], r["member"]) for r in got.select("variable", "kind", "member").distinct().collect()} == {("order_value", k, m) for k in ("full", "noise") for m in range(p.members)}
-    assert json.loads(spark.read.text(str(tmp_path / f"parameters-{case}")).first()[0])["variable"] == "order_value"
+    assert json.loads(spark.read.text(str(tmp_path / f"parameters-{case}")).first()[0])["variables"][0]["name"] == "order_value"
     names = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
-    assert {f"{case}-{n}" for n in ("original", "beta", "fitted", "climatology", "surrogates", "block-lengths")} <= names
+    assert {"original", "beta", "fitted", "climatology", "surrogates", "block-lengths", "members"} <= names
     # the middle of what was kept comes back, in the units of the input
-    original = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith(f"{case}-original")))
+    original = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith("original")))
     # (exponents that differ between months can make single values very large)
     middle = [df.where("cell = 3").agg(F.percentile("value", F.lit(0.5))).first()[0] for df in (original, got.where("kind = 'noise'"))]
     assert middle[1] == pytest.approx(middle[0], rel=0.1)
     with pytest.raises(ValueError, match="no case"):
         runs.parameters("moon")
+
+
+def test_joint_run(spark, tmp_path):
+    """Two variables share their draws; what they share isn't made twice; the lag leaves out the first year."""
+    stages, inputs = store.Stages(spark, str(tmp_path)), store.fingerprint(spark, f"{SF}/orders.parquet")
+    p = runs.parameters("joint")
+    members = runs.joint(spark, SF, p, stages, inputs).rows
+    assert members.count() == 2 * 2 * p.members * 25 * 60
+    # a residual of the same step is drawn for both variables
+    fits = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith("fitted")))
+    assert {r["t"] for r in fits.select("t").distinct().collect()} == set(range(60))
+    own = members.where("kind = 'noise' and variable = 'order_count' and cell = 4")
+    counts = {(r["member"], r["t"]): r["value"] for r in own.collect()}
+    logs = {(r["member"], r["t"]): r["value"] for r in members.where("kind = 'noise' and variable = 'order_value' and cell = 4").collect()}
+    back = {v: {r["t"]: (r["fitted"], r["residual"]) for r in fits.where(f"variable = '{v}' and cell = 4").collect()} for v in ("order_count", "order_value")}
+    from_t = {k: min(range(60), key=lambda s: abs(back["order_count"][k[1]][0] + back["order_count"][s][1] - v)) for k, v in counts.items()}
+    for (m, t), v in logs.items():
+        assert np.log(v) == pytest.approx(back["order_value"][t][0] + back["order_value"][from_t[m, t]][1], abs=1e-6)
+    # the block is the largest over the variables
+    lengths = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith("block-lengths"))).where("abs(lat) > 30 or abs(lat) < 10").toPandas()
+    block = 12 * max(1, max(int(np.quantile(g["length"], 0.97)) for _, g in lengths.groupby("variable")))
+    jumps = [(from_t[0, t] - from_t[0, t - 1]) % 60 for t in range(1, 60)]
+    assert all(j == 1 for k, j in enumerate(jumps, 1) if k % block)
+    made = list(stages.made)
+    runs.joint(spark, SF, p, stages, inputs)
+    assert stages.made == made
+    names = ["IQ_range", "max_val", "33yr_event", "var_low", "var_high"]
+    metrics_kept = runs.metric_run(stages, runs.joint(spark, SF, p, stages, inputs), names, 60).rows
+    # a cell that misses a month has no return level, but a row for each other metric
+    empty = members.groupBy("variable", "kind", "cell").agg(F.count("value").alias("n")).where("n = 0").count()
+    assert metrics_kept.count() == 2 * 2 * 25 * len(names) - empty
+
+
+def test_two_inputs_in_one_folder(spark, tmp_path):
+    a = runs.run(spark, SF, "regions", str(tmp_path))
+    b = runs.run(spark, "/root/testdata/sf0.001", "regions", str(tmp_path))
+    again = runs.run(spark, SF, "regions", str(tmp_path))
+    total = lambda df: df.agg(F.sum("value")).first()[0]
+    assert total(a) == total(again) != total(b)
+
+
+def test_exponents_are_those_of_the_first_member(spark, tmp_path):
+    runs.run(spark, SF, "member_2", str(tmp_path))
+    kept = spark.read.parquet(next(str(x) for x in tmp_path.iterdir() if x.name.startswith("exponents")))
+    first = runs.source(spark, SF, "member_value", 1).withColumn("variable", F.lit("member_value"))
+    want = {(r["cell"], r["month"]): r["lam"] for r in normalize.best_exponents(first, ["variable", "cell", "month"], refine=2).collect()}
+    assert {(r["cell"], r["month"]): r["lam"] for r in kept.collect()} == want
+
+
+def test_lagged_surrogates_go_round(spark):
+    rows = spark.createDataFrame([(0, "enso", t, float(t)) for t in range(12)], "member int, mode string, t int, value double")
+    assert {r["t"]: r["value"] for r in ensemble.turned(rows, 3, 12).collect()} == {t: float((t - 3) % 12) for t in range(12)}
+
+
+@pytest.mark.parametrize("kind", ["low", "high"])
+def test_recursion_equals_the_matrix(spark, kind):
+    x = np.random.default_rng(2).normal(size=(40, 1176))
+    for reflect in (False, True):
+        assert linop.recursion(3, 0.2, kind, reflect=reflect)(x) == pytest.approx(x @ linop.filter_matrix(1176, 3, 0.2, kind, reflect=reflect).T, abs=1e-9)
+    rows = spark.createDataFrame([(c, t, float(v) if c or t else None) for c in range(3) for t, v in enumerate(x[c, :72])], "cell int, t int, value double")
+    got = linop.filtered(rows, linop.recursion(3, 0.2, kind), ["cell"], first=2, last=70, steps=72).toPandas().sort_values(["cell", "t"])
+    assert got[got.cell == 0].filtered.isna().all() and set(got.t) == set(range(2, 71))
+    assert got[got.cell == 1].filtered.to_numpy() == pytest.approx((linop.filter_matrix(72, 3, 0.2, kind) @ x[1, :72])[2:71])
+
+
+def test_filters_by_phase():
+    x = np.random.default_rng(3).normal(size=24 * 30)
+    got = linop.phase_filter_matrix(720, 24, 3, 0.2) @ x
+    for k in range(24):
+        assert got[k::24] == pytest.approx(linop.zero_phase(x[k::24], 3, 0.2, padding="even"))

@@ -27,6 +27,34 @@ def nearest_cell(cells: DataFrame, lat: float, lon: float) -> DataFrame:
     return cells.orderBy(F.abs(F.col("lat") - lat), "lat", F.abs(F.col("lon") - lon), "lon").limit(1)
 
 
+def nearest_on_axis(points: DataFrame, axis: DataFrame, column: str) -> DataFrame:
+    """points with nearest_<column>: the axis's value (axis has the same column) that is nearest to each; of two as near the smaller.
+
+    Values and points meet in buckets as wide as the axis's largest step, where a point's nearest value is
+    in its own bucket or one beside it. Points beyond the ends go to the buckets of the ends. Only the
+    axis, a grid's coordinates along one direction, is ever sorted whole. Points without a coordinate have null.
+    """
+    values = axis.select(F.col(column).cast("double").alias("_v")).where("_v is not null").distinct()
+    step = F.col("_v") - F.lag("_v").over(Window.orderBy("_v"))
+    width, low, high = values.withColumn("_step", step).agg(F.coalesce(F.max("_step"), F.lit(1.0)), F.min("_v"), F.max("_v")).first()
+    name = f"nearest_{column}"
+    if low is None:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    bucket = lambda x: F.floor((x - low) / width).cast("long")
+    around = values.select("_v", F.explode(F.sequence(bucket(F.col("_v")) - 1, bucket(F.col("_v")) + 1)).alias("_b"))
+    asked = points.select(F.col(column).cast("double").alias("_p")).where("_p is not null").distinct()
+    near = asked.withColumn("_b", bucket(F.least(F.greatest(F.col("_p"), F.lit(low)), F.lit(high)))).join(around, "_b")
+    found = near.groupBy("_p").agg(F.min(F.struct(F.abs(F.col("_v") - F.col("_p")).alias("far"), "_v"))["_v"].alias(name))
+    return points.join(found, F.col(column).cast("double").eqNullSafe(F.col("_p")), "left").drop("_p")
+
+
+def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """points (with lat and lon) and the cell of a grid that is nearest along each axis."""
+    found = nearest_on_axis(nearest_on_axis(points, cells, "lat"), cells, "lon")
+    at = cells.select("cell", F.col("lat").cast("double").alias("nearest_lat"), F.col("lon").cast("double").alias("nearest_lon"))
+    return found.join(at, ["nearest_lat", "nearest_lon"], "left").select(*points.columns, "cell")
+
+
 def in_polygon(cells: DataFrame, ring: list[tuple[float, float]], shift: float = 0.0) -> Column:
     """Even-odd rule for (lon, lat) against a closed ring of vertices, as one expression; shift is added to the ring's longitudes. A cell on an edge belongs to one side of it."""
     x, y = F.col("lon"), F.col("lat")

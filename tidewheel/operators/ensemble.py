@@ -70,6 +70,11 @@ def noise_members(noise: DataFrame, fits: DataFrame, cell: str = "cell") -> Data
     return noise.join(fits.select(cell, "t", "fitted"), [cell, "t"]).select(cell, "member", "t", (F.col("fitted") + F.col("noise")).alias("value"))
 
 
+def turned(surrogates: DataFrame, lag: int, steps: int) -> DataFrame:
+    """(member, mode, t, value) with every series lag steps later, round the end of its axis."""
+    return surrogates if not lag else surrogates.withColumn("t", F.pmod(F.col("t") + lag, F.lit(steps)).cast("int"))
+
+
 def rescaled(surrogates: DataFrame, modes: list[str]) -> DataFrame:
     """Every member's modes with a standard deviation of one."""
     return surrogates.withColumns({m: F.try_divide(F.col(m), F.stddev_pop(m).over(Window.partitionBy("member"))) for m in modes})

@@ -2,13 +2,14 @@
 
 A filter of fixed length is a matrix. ``applied`` joins its rows (t_out, t_in, w) with the series and
 sums: for short axes and few series. ``filtered`` has each series as an array and multiplies batches of
-cells by the matrix, so a cell costs as many values as it has steps. The matrix doesn't grow with the cells.
+cells by the matrix, or, where the axis is long, runs the recursion over time for a batch of cells at
+once (``recursion``), so a cell costs as many operations as it has steps.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,36 @@ def filter_matrix(n: int, order: int, cutoff: float, kind: str = "low", padding:
     return zero_phase(np.concatenate([unit[::-1], unit, unit[::-1]]), order, cutoff, kind, padding)[n : 2 * n]
 
 
+def phase_filter_matrix(steps: int, phases: int, order: int, cutoff: float, padding: str = "even") -> np.ndarray:
+    """The filter run on each phase of a cycle alone (every January, every February), as one steps x steps matrix: phases filters interleaved. cutoff is in units of a phase's own Nyquist frequency."""
+    out = np.zeros((steps, steps))
+    for k in range(phases):
+        own = np.arange(k, steps, phases)
+        out[np.ix_(own, own)] = filter_matrix(len(own), order, cutoff, padding=padding)
+    return out
+
+
+def recursion(order: int, cutoff: float, kind: str = "low", padding: str = "odd", reflect: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """The filter as a function of a batch of series (rows): all series advance together, step by step, so a series costs as many operations as it has steps."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n, x = x.shape[1], np.ascontiguousarray(x.T)
+        if not reflect:
+            return zero_phase(x, order, cutoff, kind, padding).T
+        return zero_phase(np.concatenate([x[::-1], x, x[::-1]]), order, cutoff, kind, padding)[n : 2 * n].T
+
+    return run
+
+
+#: Axes up to so many steps are filtered by a matrix, longer ones by recursion.
+MATRIX_STEPS = 512
+
+
+def band_filter(steps: int, order: int, cutoff: float, kind: str = "low", reflect: bool = False) -> np.ndarray | Callable[[np.ndarray], np.ndarray]:
+    """The cheaper of the two forms for an axis of this length; they agree up to rounding."""
+    return filter_matrix(steps, order, cutoff, kind, reflect=reflect) if steps <= MATRIX_STEPS else recursion(order, cutoff, kind, reflect=reflect)
+
+
 def harmonic_matrix() -> np.ndarray:
     """Mean, annual and semi-annual harmonics of twelve values at mid-month."""
     t = np.array(MID_MONTH_DAYS) / 365
@@ -109,22 +140,32 @@ def applied(df: DataFrame, weights: DataFrame, keys: list[str], value: str = "va
     return out.select(*keys, order, (F.when(F.col("_n") == steps, F.col("filtered")) if steps else F.col("filtered")).alias("filtered"))
 
 
-def filtered(df: DataFrame, matrix: np.ndarray, keys: list[str], value: str = "value", order: str = "t", first: int = 0, last: int | None = None) -> DataFrame:
-    """keys, order, filtered, for the steps from first to last. Series that miss a value have null throughout; steps count from 0."""
-    steps, last = matrix.shape[1], matrix.shape[0] - 1 if last is None else last
+def filtered(df: DataFrame, operator: np.ndarray | Callable[[np.ndarray], np.ndarray], keys: list[str], value: str = "value", order: str = "t", first: int = 0, last: int | None = None, steps: int | None = None) -> DataFrame:
+    """keys, order, filtered, for the steps from first to last. Series that miss a value have null throughout; steps count from 0. operator: a matrix, or a function of a batch of series (rows; then the number of steps is needed)."""
+    return several_filtered(df, {"filtered": operator}, keys, value, order, first, last, steps)
+
+
+def several_filtered(df: DataFrame, operators: dict[str, np.ndarray | Callable[[np.ndarray], np.ndarray]], keys: list[str], value: str = "value", order: str = "t", first: int = 0, last: int | None = None, steps: int | None = None) -> DataFrame:
+    """The same for several operators in one pass: keys, order and a column for each."""
+    steps = steps or next(o.shape[1] for o in operators.values() if isinstance(o, np.ndarray))
+    last = steps - 1 if last is None else last
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).alias("_v")))).alias("_s"), F.count(value).alias("_n"))
     rows = rows.select(*keys, F.when(F.col("_n") == steps, F.col("_s._v")).alias("_x"))
-    kept = np.ascontiguousarray(matrix[first : last + 1])
+    apply = {name: (lambda x, m=np.ascontiguousarray(o[first : last + 1].T): x @ m) if isinstance(o, np.ndarray) else (lambda x, f=o: f(x)[:, first : last + 1]) for name, o in operators.items()}
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("_x")
-            out = np.full((len(x), len(kept)), np.nan)
             some = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
-            if len(some):
-                out[some] = x.drop_null().flatten().to_numpy().reshape(-1, steps) @ kept.T
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(list(out))], names=[*keys, "_y"])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", _y array<double>"
-    each = rows.mapInArrow(multiply, schema).select(*keys, F.posexplode("_y").alias("_p", "_f"))
-    return each.select(*keys, (F.col("_p") + first).cast("int").alias(order), F.when(~F.isnan("_f"), F.col("_f")).alias("filtered"))
+            own = x.drop_null().flatten().to_numpy().reshape(-1, steps) if len(some) else None
+            cols = []
+            for f in apply.values():
+                out = np.full((len(x), last + 1 - first), np.nan)
+                if own is not None:
+                    out[some] = f(own)
+                cols.append(pa.array(list(out), pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, *(f"_{n}" for n in apply)])
+
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", _{n} array<double>" for n in apply)
+    each = rows.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip(*[f"_{n}" for n in apply])).alias("_p", "_of"))
+    return each.select(*keys, (F.col("_p") + first).cast("int").alias(order), *[F.when(~F.isnan(F.col("_of")[f"_{n}"]), F.col("_of")[f"_{n}"]).alias(n) for n in apply])

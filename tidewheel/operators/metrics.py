@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linop import filter_matrix, filtered
+from . import selection
+from .linop import band_filter, several_filtered
 
 #: Fixed value: Gringorten's plotting position.
 B = 0.44
@@ -32,6 +33,29 @@ def return_levels(df: DataFrame, keys: list[str], years: list[int], value: str =
     return wanted.where(F.col("_k") == recurrence_rank(F.col("_n"), F.col("return_period"))).select(*keys, "return_period", F.col(value).alias("level"))
 
 
+def wanted_ranks(counts: DataFrame, years: list[int]) -> DataFrame:
+    """counts (keys, n) with return_period and rank (from the smallest value)."""
+    each = counts.withColumn("return_period", F.explode(F.array(*[F.lit(y) for y in years])))
+    return each.withColumn("rank", F.col("n") + 1 - recurrence_rank(F.col("n"), F.col("return_period")))
+
+
+def pooled_return_levels(df: DataFrame, keys: list[str], years: list[int], value: str = "value") -> DataFrame:
+    """The same rows as ``return_levels`` by distributed selection, for keys that pool more values than a task should have."""
+    dealt = selection.dealt(df, keys, value)
+    wanted = wanted_ranks(dealt.counts(), years).select(*keys, "return_period", "rank")
+    return dealt.at_ranks(wanted).select(*keys, "return_period", F.col(value).alias("level"))
+
+
+def pooled_quantiles(df: DataFrame, keys: list[str], probabilities: list[float], value: str = "value") -> DataFrame:
+    """keys, probability, quantile (linear between ranks) by distributed selection."""
+    dealt = selection.dealt(df, keys, value)
+    at = F.col("probability") * (F.col("n") - 1)
+    counts = dealt.counts().withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    wanted = counts.select(*keys, "probability", (at - F.floor(at)).alias("part"), F.explode(F.array_distinct(F.array(F.floor(at) + 1, F.ceil(at) + 1))).alias("rank"))
+    low, high = F.min_by(value, "rank"), F.max_by(value, "rank")
+    return dealt.at_ranks(wanted).groupBy(*keys, "probability").agg((low + F.max("part") * (high - low)).alias("quantile"))
+
+
 def spread(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, iq_range, max_val, var: of the values that are there."""
     return df.groupBy(*keys).agg((F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iq_range"), F.max(value).alias("max_val"), F.var_pop(value).alias("var"))
@@ -40,11 +64,9 @@ def spread(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
 def band_variance(df: DataFrame, keys: list[str], steps: int, cutoff: float = 0.1, order: int = 3, value: str = "value") -> DataFrame:
     """keys, var_low, var_high: variance below and above cutoff (in cycles a step), of the series between its mirror images, without int(1 / (2 cutoff)) steps at each end."""
     edge = int(1 / (2 * cutoff))
-    out = None
-    for kind in ("low", "high"):
-        own = filtered(df, filter_matrix(steps, order, 2 * cutoff, kind, reflect=True), keys, value, first=edge, last=steps - 1 - edge).groupBy(*keys).agg(F.var_pop("filtered").alias(f"var_{kind}"))
-        out = own if out is None else out.join(own, keys)
-    return out
+    bands = {kind: band_filter(steps, order, 2 * cutoff, kind, reflect=True) for kind in ("low", "high")}
+    own = several_filtered(df, bands, keys, value, first=edge, last=steps - 1 - edge, steps=steps)
+    return own.groupBy(*keys).agg(*[F.var_pop(kind).alias(f"var_{kind}") for kind in bands])
 
 
 def recurrence_years(name: str) -> int:

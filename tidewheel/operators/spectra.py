@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .linop import filter_matrix
+from .linop import filter_matrix, phase_filter_matrix
 
 MOST_ROUNDS, TOLERANCE = 1000, 1e-8
 
@@ -74,52 +75,130 @@ def low_passed(surrogates: DataFrame, modes: list[str], steps: int, cutoff: floa
     return surrogates.select("member", "mode", "t", "value").groupBy("member", "mode").applyInPandas(run, "member int, mode string, t int, value double")
 
 
+def _tridiagonal_vectors(d: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
+    """The eigenvectors (columns) of the k largest eigenvalues, in descending order, of a symmetric tridiagonal matrix.
+
+    Eigenvalues by bisection on Sturm counts, all k at once; vectors by inverse iteration, k solutions
+    of a tridiagonal system at a time. No n x n matrix is made.
+    """
+    n = len(d)
+    spread = np.abs(np.append(e, 0)) + np.abs(np.insert(e, 0, 0))
+    low, high = np.full(k, (d - spread).min()), np.full(k, (d + spread).max())
+    tiny = np.finfo(float).eps * max(abs(low[0]), abs(high[0]), 1e-300)
+    wanted = n - 1 - np.arange(k)  # so many eigenvalues lie below
+    squares = e * e
+    while (high - low > 4 * tiny).any():
+        mid = (low + high) / 2
+        if (mid <= low).all() or (mid >= high).all():
+            break
+        q = d[0] - mid
+        below = (q < 0).astype(np.int64)
+        for i in range(1, n):
+            q = d[i] - mid - squares[i - 1] / np.where(np.abs(q) < tiny, np.copysign(tiny, q), q)
+            below += q < 0
+        more = below > wanted
+        high, low = np.where(more, mid, high), np.where(more, low, mid)
+    values = (low + high) / 2
+    x = np.random.default_rng(0).normal(size=(n, k))
+    for _ in range(4):
+        x = _solved(d, e, values, x, tiny)
+        for j in range(k):  # values lie apart, but rounding may mix neighbours
+            x[:, j] -= x[:, :j] @ (x[:, :j].T @ x[:, j])
+            x[:, j] /= np.linalg.norm(x[:, j])
+    return x
+
+
+def _solved(d: np.ndarray, e: np.ndarray, shifts: np.ndarray, rhs: np.ndarray, tiny: float) -> np.ndarray:
+    """Solutions of (T - shift) x = rhs, a column for each shift, by elimination with row exchanges."""
+    n, k = rhs.shape
+    u0, u1, u2, y = np.empty((n, k)), np.zeros((n, k)), np.zeros((n, k)), np.empty((n, k))
+    a, b, c, r = d[0] - shifts, np.full(k, e[0] if n > 1 else 0.0), np.zeros(k), rhs[0].copy()  # the row in hand
+    for i in range(n - 1):
+        low, mid = np.full(k, e[i]), d[i + 1] - shifts
+        high = np.full(k, e[i + 1] if i + 2 < n else 0.0)
+        swap = np.abs(low) > np.abs(a)
+        p0, p1, p2, pr = np.where(swap, low, a), np.where(swap, mid, b), np.where(swap, high, c), np.where(swap, rhs[i + 1], r)
+        s0, s1, s2, sr = np.where(swap, a, low), np.where(swap, b, mid), np.where(swap, c, high), np.where(swap, r, rhs[i + 1])
+        p0 = np.where(np.abs(p0) < tiny, tiny, p0)
+        f = s0 / p0
+        u0[i], u1[i], u2[i], y[i] = p0, p1, p2, pr
+        a, b, c, r = s1 - f * p1, s2 - f * p2, np.zeros(k), sr - f * pr
+    u0[-1], y[-1] = np.where(np.abs(a) < tiny, tiny, a), r
+    x = np.empty((n, k))
+    for i in range(n - 1, -1, -1):
+        x[i] = (y[i] - (u1[i] * x[i + 1] if i + 1 < n else 0) - (u2[i] * x[i + 2] if i + 2 < n else 0)) / u0[i]
+    return x
+
+
+@lru_cache(maxsize=16)
 def tapers(n: int, nw: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k most concentrated sequences (columns) and their concentrations."""
+    """The k most concentrated sequences (columns) and their concentrations, worked out once for each length."""
     half = nw / n
     t = np.arange(n)
-    matrix = np.diag(((n - 1 - 2 * t) / 2) ** 2 * np.cos(2 * np.pi * half)) + np.diag(t[1:] * (n - t[1:]) / 2, 1) + np.diag(t[1:] * (n - t[1:]) / 2, -1)
-    v = np.linalg.eigh(matrix)[1][:, ::-1][:, :k]
-    a = 2 * half * np.sinc(2 * half * (t[:, None] - t[None, :]))
-    return v, np.einsum("ik,ij,jk->k", v, a, v)
+    v = _tridiagonal_vectors(((n - 1 - 2 * t) / 2) ** 2 * np.cos(2 * np.pi * half), t[1:] * (n - t[1:]) / 2, k)
+    # the quadratic form of a Toeplitz matrix, from the sequences' autocorrelations
+    power = np.abs(np.fft.rfft(v, 2 * n, axis=0)) ** 2
+    own = np.fft.irfft(power, 2 * n, axis=0)[:n]
+    kernel = 2 * half * np.sinc(2 * half * t)
+    return v, kernel[0] * own[0] + 2 * kernel[1:] @ own[1:]
+
+
+#: Series that are transformed at once.
+SERIES_AT_ONCE = 256
 
 
 def multitaper(x: np.ndarray, dt: float = 1.0, nw: float = 3.0) -> dict[str, np.ndarray]:
-    """Frequencies, adaptive power and its 95 % factors. The mean stays, at frequency 0."""
-    n = len(x)
+    """Frequencies, adaptive power and its 95 % factors of a series, or of each row of a batch. The mean stays, at frequency 0."""
+    one_series, x = x.ndim == 1, np.atleast_2d(x)
+    n = x.shape[1]
     k = max(1, min(round(2 * nw), n) - 1)
     v, concentration = tapers(n, nw, k)
-    power = np.abs(np.fft.fft(v * x[:, None], axis=0)) ** 2
-    variance = float(x @ x) / n
-    s = power[:, : min(2, k)].mean(axis=1)
-    weights = np.ones_like(power)
+    one = n // 2 + 1
+    power = np.abs(np.fft.fft(x[:, :, None] * v, axis=1)) ** 2
+    variance = ((x * x).sum(axis=1) / n)[:, None, None]
+    s = power[:, :, : min(2, k)].mean(axis=2)
+    weights, going = np.ones_like(power), np.ones(len(x), bool)
     for _ in range(1000):
-        weights = s[:, None] / (s[:, None] * concentration + variance * (1 - concentration) + 1e-300)
-        scale = weights**2 * concentration
-        fresh = (scale * power).sum(axis=1) / np.maximum(scale.sum(axis=1), 1e-300)
-        done = np.abs(fresh - s).sum() / n <= 5e-4 * variance / n
-        s = fresh
-        if done:
+        # a series stays as it is once it has settled, whatever the batch
+        own = np.flatnonzero(going)
+        weights[own] = s[own, :, None] / (s[own, :, None] * concentration + variance[own] * (1 - concentration) + 1e-300)
+        scale = weights[own] ** 2 * concentration
+        fresh = (scale * power[own]).sum(axis=2) / np.maximum(scale.sum(axis=2), 1e-300)
+        going[own] = np.abs(fresh - s[own]).sum(axis=1) / n > 5e-4 * variance[own, 0, 0] / n
+        s[own] = fresh
+        if not going.any():
             break
     scale = weights**2 * concentration
-    freedom = 2 * scale.sum(axis=1) ** 2 / np.maximum((scale**2).sum(axis=1), 1e-300)
+    freedom = 2 * scale.sum(axis=2) ** 2 / np.maximum((scale**2).sum(axis=2), 1e-300)
     spread = 2 / (9 * np.maximum(freedom, 1e-12))
-    one = n // 2 + 1
     # fixed value: 1.96, the two-sided 95 % point of the normal distribution
-    return {"frequency": np.arange(one) / (n * dt), "power": s[:one], "upper": (1 / (1 - spread - 1.96 * np.sqrt(spread)) ** 3)[:one], "lower": (1 / (1 - spread + 1.96 * np.sqrt(spread)) ** 3)[:one]}
+    found = {"power": s[:, :one], "upper": (1 / (1 - spread - 1.96 * np.sqrt(spread)) ** 3)[:, :one], "lower": (1 / (1 - spread + 1.96 * np.sqrt(spread)) ** 3)[:, :one]}
+    return {"frequency": np.arange(one) / (n * dt)} | ({c: a[0] for c, a in found.items()} if one_series else found)
 
 
 def spectra(series: DataFrame, keys: dict[str, str], dt: float = 1.0, nw: float = 3.0) -> DataFrame:
-    """series (keys, t, value) to keys, k, frequency, power, upper, lower. keys: their types by name."""
-
-    def make(own: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(multitaper(own.sort_values("t")["value"].to_numpy(), dt, nw))
-        found.insert(0, "k", np.arange(len(found), dtype=np.int32))
-        for place, name in enumerate(keys):
-            found.insert(place, name, own[name].iloc[0])
-        return found
-
-    return series.groupBy(*keys).applyInPandas(make, ", ".join(f"{n} {t}" for n, t in keys.items()) + ", k int, frequency double, power double, upper double, lower double")
+    """series (keys, t, value) to keys, k, frequency, power, upper, lower. keys: their types by name. Series come as arrays and are transformed in batches; those of one length share their tapers. A missing value makes a series' power missing."""
+    names = list(keys)
+    rows = series.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_s")).select(*names, F.col("_s.value").alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, SERIES_AT_ONCE):
+                batch = whole.slice(first, SERIES_AT_ONCE)
+                lists = batch.column("_x")
+                x = [np.array(v, float) for v in lists.to_pylist()]
+                found: list = [None] * len(x)
+                for n in {len(v) for v in x}:
+                    own = [i for i, v in enumerate(x) if len(v) == n]
+                    got = multitaper(np.stack([x[i] for i in own]), dt, nw)
+                    for place, i in enumerate(own):
+                        found[i] = (got["frequency"], *(got[c][place] for c in ("power", "upper", "lower")))
+                cols = [pa.array([f[c] for f in found], pa.list_(pa.float64())) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "frequency", "power", "upper", "lower"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in keys.items()) + ", frequency array<double>, power array<double>, upper array<double>, lower array<double>"
+    each = rows.mapInArrow(run, schema).select(*names, F.posexplode(F.arrays_zip("frequency", "power", "upper", "lower")).alias("k", "of"))
+    return each.select(*names, "k", "of.*")
 
 
 def envelope(spectra: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,18 +240,23 @@ def step_products(rows: DataFrame, groups: list[str], steps: int) -> DataFrame:
     return sums.groupBy(*groups, "i").agg(rows_of.alias("of")).select(*groups, "i", F.col("of.mixed").alias("mixed"), F.col("of.gram").alias("gram"))
 
 
-def low_frequency_components(series: DataFrame, groups: list[str], steps: int, retained: int, kept: int, cutoff: float, order: int = 3) -> tuple[DataFrame, DataFrame]:
+def low_frequency_components(series: DataFrame, groups: list[str], steps: int, retained: int, kept: int, cutoff: float, order: int = 3, phases: int | None = None, mask: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Patterns (groups, cell, component, pattern) and series (groups, t, component, value).
 
     series: groups, cell, t from 0 to steps - 1, value (without its cycle), weight (the root of the
     cell's area). Cells that miss a value take no part. The products of two steps are summed over
     cells, once unweighted by weighted and once weighted by weighted (``step_products``); the rest works
     on steps x steps numbers. A component's sign is such that its last five steps lie above its first five.
+    phases: the filter runs on each phase of a cycle of so many steps alone, evenly reflected at its ends,
+    and cutoff is in cycles of a phase; without, on the whole axis, oddly reflected. mask: a table of the
+    cells that take part.
     """
+    if mask is not None:
+        series = series.join(mask.select("cell").distinct(), "cell", "left_semi")
     rows = series.groupBy(*groups, "cell", "weight").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s"), F.count("value").alias("n"), F.avg("value").alias("mean")).where(F.col("n") == steps)
     rows = rows.select(*groups, "cell", "weight", F.transform("s", lambda p: p["value"] - F.col("mean")).alias("x"))
     products = step_products(rows, groups, steps)
-    slow = filter_matrix(steps, order, 2 * cutoff, padding="even")
+    slow = phase_filter_matrix(steps, phases, order, 2 * cutoff) if phases else filter_matrix(steps, order, 2 * cutoff)
 
     def decompose(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("i")

@@ -646,7 +646,7 @@ COVERS = {
     "multitaper_spectrum": "N15",
     "surrogate_envelope": "E16",
     "lfca_components": "N16 E18 F5 G6",
-    "forced_signal": "N18 H4 H5 E1 E2 I19",
+    "forced_signal": "N18 H4 H5 E1 E2",
     "nested_metric_mean": "E19 I24",
     "named_metrics": "N20 I22 I23 I24",
     "boxcox_refined": "N6",
@@ -664,3 +664,7 @@ COVERS = {
     "mode_pattern": "N19 F3 G2 B9",
     "surrogate_modes": "N12 L3",
 }
+
+from . import extended  # noqa: E402  registers its queries; it uses what stands above
+
+COVERS |= extended.COVERS

@@ -26,9 +26,9 @@ def _calendar(df: DataFrame) -> DataFrame:
 
 
 def orders_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly mean order value by nation, 1995 to 2000: cell, region, lat (a stand-in), t, value, year, month."""
+    """Monthly mean order value by nation, 1995 to 2000: cell, region, lat (a stand-in), t, value, n_orders, year, month."""
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2000-12-31 23:59:59.999999").cast("timestamp_ntz")))
-    filled = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("cell"), months_since(F.col("o_orderdate")).alias("t")).agg(F.avg("o_totalprice").alias("value"))
+    filled = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("cell"), months_since(F.col("o_orderdate")).alias("t")).agg(F.avg("o_totalprice").alias("value"), F.count("*").alias("n_orders"))
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("cell"), F.col("n_regionkey").cast("long").alias("region"), (F.lit(-60.0) + 5 * F.col("n_nationkey")).alias("lat"))
     return _calendar(densified(keys, filled, ["cell"], MONTHS))
 
