@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewheel.plans import catalogue
+from tidewheel.plans import catalogue, extended  # noqa: F401  registers its queries
 from tidewheel.sources import cubes, store
 from tidewheel.streaming import climatology
 

@@ -664,7 +664,3 @@ COVERS = {
     "mode_pattern": "N19 F3 G2 B9",
     "surrogate_modes": "N12 L3",
 }
-
-from . import extended  # noqa: E402  registers its queries; it uses what stands above
-
-COVERS |= extended.COVERS

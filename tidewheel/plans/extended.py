@@ -1,4 +1,4 @@
-"""More queries with their SQL: joint variables, order statistics, regions, nearest cells, spectra, components."""
+"""More queries with their SQL, registered in the catalogue when this is imported: joint variables, order statistics, regions, nearest cells, spectra, components."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from ..functions import units
 from ..operators import align, ensemble, linop, metrics, normalize, regress, spectra
 from ..sources import regions
 from ..sources.cubes import MONTHS, events_cube, members_cube, orders_cube, table
-from .catalogue import CUBE, DRIVERS, FIT, MEMBERS, MEMBERS_CUBE, PREDICTORS, RESIDUAL_LENGTHS, SMOOTH, _values, mode_series, modes, query, r
+from .catalogue import COVERS, CUBE, DRIVERS, FIT, MEMBERS, MEMBERS_CUBE, PREDICTORS, RESIDUAL_LENGTHS, SMOOTH, _values, mode_series, modes, query, r
 
 # -- several variables in one plan ------------------------------------------------------------------------------
 
@@ -43,7 +43,7 @@ def joint_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "joint_members",
-    "SELECT split_part(cell, '/', 1) AS variable, CAST(split_part(cell, '/', 2) AS BIGINT) AS cell, kind, CAST(member AS INT) AS member, CAST(t AS INT) AS t, round(CASE WHEN cell LIKE 'order_value%' THEN coalesce(exp(v), 0) ELSE v END, 4) AS value FROM (SELECT cell, 'full' AS kind, member, noise.t, b0 + noise + b1 * enso + b2 * pdo_orth AS v FROM noise JOIN surr USING (member, t) JOIN wide ON wide.cell = noise.cell AND month = noise.t % 12 + 1 UNION ALL SELECT cell, 'noise', member, noise.t, fitted + noise FROM noise JOIN fits USING (cell, t))".replace("SELECT cell, 'full'", "SELECT noise.cell, 'full'"),
+    "SELECT split_part(cell, '/', 1) AS variable, CAST(split_part(cell, '/', 2) AS BIGINT) AS cell, kind, CAST(member AS INT) AS member, CAST(t AS INT) AS t, round(CASE WHEN cell LIKE 'order_value%' THEN coalesce(exp(v), 0) ELSE v END, 2) AS value FROM (SELECT cell, 'full' AS kind, member, noise.t, b0 + noise + b1 * enso + b2 * pdo_orth AS v FROM noise JOIN surr USING (member, t) JOIN wide ON wide.cell = noise.cell AND month = noise.t % 12 + 1 UNION ALL SELECT cell, 'noise', member, noise.t, fitted + noise FROM noise JOIN fits USING (cell, t))".replace("SELECT cell, 'full'", "SELECT noise.cell, 'full'"),
     (JOINT, DRIVERS, FIT, SMOOTH, RESIDUAL_LENGTHS, JOINT_BLOCK, JOINT_NOISE),
 )
 def joint_members(spark, sf_dir):
@@ -61,7 +61,7 @@ def joint_members(spark, sf_dir):
     surrogates = ensemble.rescaled(ensemble.turned(moved, LAG, MONTHS).withColumn("month", (F.col("t") % 12 + 1).cast("int")), names)
     kinds = align.stacked({"full": ensemble.members(noise, fit, surrogates, names, cell="series"), "noise": ensemble.noise_members(noise, fits, "series")}, "kind")
     value = F.when(F.col("series.variable") == "order_value", normalize.log_inverse(F.col("value"))).otherwise(F.col("value"))
-    return kinds.select("series.variable", "series.cell", "kind", "member", "t", r(value, 4).alias("value"))
+    return kinds.select("series.variable", "series.cell", "kind", "member", "t", r(value, 2).alias("value"))
 
 
 # -- order statistics of pooled values --------------------------------------------------------------------------
@@ -241,7 +241,7 @@ def forced_precipitation(spark, sf_dir):
     return ensemble.forced_signal(runs.withColumn("value", rate), ["cell"]).select("cell", "t", r("forced", 4).alias("forced"))
 
 
-COVERS = {
+COVERS |= {
     "joint_members": "D13 L1 E14 N9 N14 F1",
     "pooled_order_levels": "E15 F8",
     "pooled_order_quantiles": "E7",
