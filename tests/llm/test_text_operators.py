@@ -151,13 +151,46 @@ def test_scores_count_like_brute_force(docs, raw, empty):
     assert lmscore.score(empty, PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_training_helps_on_held_out_texts(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000")
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_the_registered_model_is_better_than_words_alone(spark, monkeypatch, sf):
+    """At the registered setting, over all held-out texts."""
     total = lambda df: df.where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
-    trained, base = total(lmscore.score(docs, PATH, public_tokenizers.PATTERN, step=2))
+    trained, base = total(lmscore.op4_attention_score(spark, f"/root/testdata/{sf}"))
+    print(sf, trained, base)
     monkeypatch.setattr(lmscore, "ROUNDS", [])
-    untrained, _ = total(lmscore.score(docs, PATH, public_tokenizers.PATTERN))
-    assert trained > 0.98 * base and trained > 0.8 * untrained
+    untrained, _ = total(lmscore.op4_attention_score(spark, f"/root/testdata/{sf}"))
+    assert trained > base and trained > 0.8 * untrained
+
+
+def test_training_grows_with_the_corpus():
+    trained = [n * lmscore.share_for(n) for n in [0, *(int(1.3**k) for k in range(10, 120))]]
+    assert all(b >= a * (1 - 1e-12) for a, b in zip(trained, trained[1:])) and trained[20] == int(1.3**29) and trained[-1] == int(1.3**119) * lmscore.LEAST_SHARE
+
+
+def test_training_windows_are_the_share_asked_for(spark):
+    rng = np.random.default_rng(3)
+    docs = [(int(k), False, lmscore.packed(rng.integers(0, 4000, int(n)).astype(np.uint16))) for k, n in enumerate(rng.integers(1, 3000, 300))]
+    df = spark.createDataFrame(docs, "doc_id long, held_out boolean, slots binary")
+    sizes = [len(lmscore.unpacked(d[2], np.uint16)) for d in docs]
+    windows = sum(-(-n // attention.STRIDE) for n in sizes)
+    for share in (1.0, 0.37, 0.04):
+        rows = lmscore.training_windows(df, share, 5).collect()
+        count = {s: sum(len(lmscore.unpacked(r["inputs"], np.int16)) // attention.WINDOW for r in rows if r["shard"] == s) for s in range(5)}
+        assert abs(sum(count.values()) - share * windows) <= 3 * (windows * share * (1 - share)) ** 0.5
+        assert min(count.values()) > 0.7 * max(count.values())
+    goals = sum(int((lmscore.unpacked(r["targets"], np.int16) >= 0).sum()) for r in lmscore.training_windows(df, 1.0, 5).collect())
+    assert goals == sum(sizes)  # all windows have every token once
+
+
+def test_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(9)
+    weights = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in attention.first_weights(attention.Ranks(rng.integers(0, 50, 6000).astype(float))).items()}
+    text = rng.integers(0, attention.KNOWN, 500).astype(np.int32)
+    scores = set()
+    for k in range(12):
+        others = [rng.integers(0, attention.KNOWN, int(n)).astype(np.int32) for n in rng.integers(1, 900, 40)]
+        scores.add(attention.score(weights, [*others[:k], text, *others[k:]], at_once=int(rng.integers(1, 20)) * 64)[k])
+    assert len(scores) == 1
 
 
 def test_attention_scores_each_token_once_and_sums_to_one():
