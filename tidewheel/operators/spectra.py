@@ -46,17 +46,22 @@ def surrogate(x: np.ndarray, rng: np.random.Generator, cycle: int | None = None)
     return None
 
 
+def settled(x: np.ndarray, seed: int, member: int, mode: str, cycle: int | None = None) -> np.ndarray:
+    """A member's surrogate of a mode, whose seed follows from the seed, the member's number and the mode; what doesn't settle is drawn again."""
+    for attempt in range(100):
+        found = surrogate(x, np.random.default_rng([seed, member, zlib.crc32(mode.encode()), attempt]), cycle)
+        if found is not None:
+            return found
+    raise ValueError(f"no surrogate of {mode} settled")
+
+
 def surrogates(series: DataFrame, members: int, seed: int = 456, cycle: dict[str, int] | None = None) -> DataFrame:
     """series (mode, t, value) to (member, mode, t, value). Each member's seed follows from the seed, its number and the mode, whatever the order of work; what doesn't settle is drawn again."""
 
     def make(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("t")
         member, mode = int(own["member"].iloc[0]), own["mode"].iloc[0]
-        for attempt in range(100):
-            found = surrogate(own["value"].to_numpy(), np.random.default_rng([seed, member, zlib.crc32(mode.encode()), attempt]), (cycle or {}).get(mode))
-            if found is not None:
-                return own[["member", "mode", "t"]].assign(value=found)
-        raise ValueError(f"no surrogate of {mode} settled")
+        return own[["member", "mode", "t"]].assign(value=settled(own["value"].to_numpy(), seed, member, mode, (cycle or {}).get(mode)))
 
     each = series.select("mode", "t", "value").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
     return each.groupBy("member", "mode").applyInPandas(make, "member int, mode string, t int, value double")
