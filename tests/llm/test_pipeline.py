@@ -1,6 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -110,3 +111,15 @@ def test_a_forest_connects_what_is_similar():
     found = [np.unique(np.concatenate([base[k * 20 : k * 20 + 200], base[:1]])) for k in range(6)] + [rng.integers(0, 1 << 63, 50, dtype=np.uint64)]
     a, b = shingles.forest(found, 0.8)
     assert len(a) == 5 and {*a, *b} == set(range(6))
+
+
+def test_run_deletes_what_is_used(spark, tmp_path):
+    """One stage's documents stay for the last stage, which is read lazily; so do that stage's own tables and those of others."""
+    from tidewheel.llm import common
+
+    other = written(spark.range(3), "other")
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    folder = common.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    left = [x for x in os.listdir(folder) if re.match(r"tidewheel-stage-\d", x)]
+    assert len(left) == 1 and left[0].startswith("tidewheel-stage-3")
+    assert found.count() > 0 and other.count() == 3

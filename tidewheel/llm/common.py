@@ -50,9 +50,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all tables that operators have written so far in this process: to be called once results are stored, as they are read lazily."""
-    while _WRITTEN:
-        dropped(spark, _WRITTEN.pop())
+def written_so_far() -> int:
+    """To be given to ``release``."""
+    return len(_WRITTEN)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all tables that operators have written in this process, or those since a number of them: to be called once results are stored, as they are read lazily."""
+    while len(_WRITTEN) > since:
+        dropped(spark, _WRITTEN.pop())

@@ -283,7 +283,8 @@ def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False
     if not alone:
         one_each = one_each.dropDuplicates(KEY)
     marks = repeated_windows(docs, one_each, length, shard_bytes, most_runs, sample_docs, often)
-    lists = marks.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("own")).select(*KEY, F.col("own.start").alias("start"), F.col("own.windows").alias("windows"))
+    # a set: rows without an id and with equal texts all mark the same windows, so a list is bounded by a text
+    lists = marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "windows")).alias("own")).select(*KEY, F.col("own.start").alias("start"), F.col("own.windows").alias("windows"))
     others = [F.col("rest")[c].alias(c) for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
     texts = packed_texts(whole.select(*KEY, F.col("_text").alias("text"), "_id", *[F.struct(*others).alias("rest")] * with_text))
     both = texts.join(lists, KEY, "left").select("_id", "packed", "start", "windows", *["rest"] * with_text)
