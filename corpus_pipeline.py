@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, langid, mixing, passages, shingles, simhash
-from tidewheel.llm.common import SPACES, table, written
+from tidewheel.llm.common import SPACES, dropped, new_path, release, table, written, written_so_far
 
 #: Documents with a lower score than this have no language that is clear enough.
 LEAST_SCORE = 0.5
@@ -91,9 +91,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    """Each stage is stored before the next begins; then what it was made from is deleted."""
+    docs, stored, before = table(spark, sf_dir, "documents"), None, written_so_far()
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        found, path = stage(spark, docs, sf_dir), new_path(spark, f"stage-{k}")
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        release(spark, before)
+        if stored:
+            dropped(spark, stored)
+        stored = path
+    return STAGES[-1][1](spark, docs, sf_dir)
