@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import timeaxis
 from tidewheel.operators import align, ensemble, linop, metrics, normalize, spectra
-from tidewheel.plans import runs
-from tidewheel.sources import files, store
+from tidewheel.plans import products, runs
+from tidewheel.sources import files, regions, store
 
 
 def write(spark, rows, schema, path):
@@ -192,6 +192,31 @@ def test_joint_run(spark, tmp_path):
     assert metrics_kept.count() == 2 * 2 * 25 * len(names) - empty
 
 
+def test_products_of_a_run(spark, tmp_path):
+    """All products are stored, kept and read back by their partitions."""
+    stages, inputs = store.Stages(spark, str(tmp_path)), store.fingerprint(spark, f"{SF}/orders.parquet")
+    members = runs.joint(spark, SF, runs.parameters("orders"), stages, inputs)
+    cells = spark.createDataFrame([(c, -60.0 + 5 * c, 4.0 * c) for c in range(25)], "cell long, lat double, lon double")
+    edges = regions.edges(spark.createDataFrame([("box", 0, k, x, y) for k, (x, y) in enumerate([(-1.0, -31.0), (50.0, -31.0), (50.0, 1.0), (-1.0, 1.0)])], "region string, ring int, seq int, lon double, lat double"))
+    make = lambda: products.write_all(stages, members, cells, edges, 1995, 2000, ["IQ_range", "max_val", "33yr_event"], [5, 50])
+    made = make()
+    before = list(stages.made)
+    assert {n: s.digest for n, s in make().items()} == {n: s.digest for n, s in made.items()} and stages.made == before
+    assert made["seasons"].rows.count() == 2 * 4 * 25 * 4 * 6
+    own = made["seasons"].rows.where("kind = 'full' and cell = 8 and season = 'DJF'").toPandas()
+    assert set(own.season_year) == set(range(1995, 2001))
+    level = made["extremes"].rows.where("kind = 'full' and cell = 8 and season = 'DJF' and return_period = 5").first()["level"]
+    ranked = np.sort(own["value"].to_numpy())[::-1]
+    span = (len(ranked) + 1 - 0.88) / (np.arange(1, len(ranked) + 1) - 0.44)
+    assert level == pytest.approx(ranked[np.argmin(np.abs(span - 5))])
+    assert made["metrics"].rows.where("metric = 'max_val' and kind = 'full' and cell = 8 and season = 'DJF'").first()["value"] == pytest.approx(own.groupby("member")["value"].max().mean())
+    # cells 6 to 12 are in the box
+    box = made["seasons"].rows.where("kind = 'noise' and member = 1 and season = 'JJA' and season_year = 1997 and cell between 6 and 12").toPandas()
+    w = np.cos(np.radians(-60 + 5 * box.cell))
+    assert made["regional"].rows.where("kind = 'noise' and member = 1 and season = 'JJA' and season_year = 1997").first()["mean"] == pytest.approx((w * box.value).sum() / w.sum())
+    assert made["components"].rows.where("part = 'series'").count() == 4 * 3 * 72
+
+
 def test_two_inputs_in_one_folder(spark, tmp_path):
     a = runs.run(spark, SF, "regions", str(tmp_path))
     b = runs.run(spark, "/root/testdata/sf0.001", "regions", str(tmp_path))

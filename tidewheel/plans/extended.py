@@ -9,6 +9,7 @@ from ..functions import units
 from ..operators import align, ensemble, linop, metrics, normalize, regress, spectra
 from ..sources import regions
 from ..sources.cubes import MONTHS, events_cube, members_cube, orders_cube, table
+from . import products
 from .catalogue import COVERS, CUBE, DRIVERS, FIT, MEMBERS, MEMBERS_CUBE, PREDICTORS, RESIDUAL_LENGTHS, SMOOTH, _values, mode_series, modes, query, r
 
 # -- several variables in one plan ------------------------------------------------------------------------------
@@ -165,6 +166,27 @@ def named_band_metrics(spark, sf_dir):
     return found.select("member", "cell", "metric", r("value", 2).alias("value"))
 
 
+MEMBER_SEASONS = """
+mseasons AS (
+  SELECT member, cell, CAST(date_trunc('quarter', make_date(year, month, 1) + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS DATE) AS label, avg(value) AS value FROM members GROUP BY ALL
+), mseasonal AS (
+  SELECT member, cell, CASE WHEN month(label) = 12 THEN 'DJF' WHEN month(label) = 3 THEN 'MAM' WHEN month(label) = 6 THEN 'JJA' ELSE 'SON' END AS season, value FROM mseasons WHERE year(label) + CASE WHEN month(label) = 12 THEN 1 ELSE 0 END BETWEEN 1995 AND 2000
+), mranked AS (SELECT cell, season, value, count(*) OVER (PARTITION BY cell, season) AS n, row_number() OVER (PARTITION BY cell, season ORDER BY value DESC) AS k FROM mseasonal WHERE value IS NOT NULL),
+mwanted AS (SELECT *, greatest(1, least(n, CAST(floor(0.44 + (n + 0.12) / p) AS BIGINT))) AS k1 FROM mranked CROSS JOIN (VALUES (5), (33)) v(p))"""
+
+
+@query(
+    "seasonal_member_metrics",
+    "SELECT cell, season, metric, round(avg(value), 6) AS value FROM (SELECT member, cell, season, 'IQ_range' AS metric, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS value FROM mseasonal GROUP BY ALL UNION ALL SELECT member, cell, season, 'max_val', max(value) FROM mseasonal GROUP BY ALL) GROUP BY ALL UNION ALL SELECT cell, season, p || 'yr_event', round(value, 6) FROM mwanted WHERE k = CASE WHEN abs((n + 0.12) / (least(n, k1 + 1) - 0.44) - p) < abs((n + 0.12) / (k1 - 0.44) - p) THEN least(n, k1 + 1) ELSE k1 END",
+    (MEMBERS_CUBE, MEMBER_SEASONS),
+)
+def seasonal_member_metrics(spark, sf_dir):
+    """Metrics by season: means over members, but events pool the years of all members."""
+    rows = products.seasonal(members_cube(spark, sf_dir), ["member", "cell"], 1995, 2000)
+    found = products.seasonal_metrics(rows, ["cell"], ["IQ_range", "max_val", "5yr_event", "33yr_event"])
+    return found.select("cell", "season", "metric", r("value").alias("value"))
+
+
 @query("member_envelope", "SELECT cell, CAST(t AS INT) AS t, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM members GROUP BY ALL", (MEMBERS_CUBE,))
 def member_envelope(spark, sf_dir):
     """The envelope that spectra of surrogates get, over members' values."""
@@ -250,6 +272,7 @@ COVERS |= {
     "nearest_cells": "C16",
     "point_series_with_modes": "N17 C16",
     "named_band_metrics": "N20 I24",
+    "seasonal_member_metrics": "E15 E19 I23 I24 E11 B5",
     "member_envelope": "E16",
     "cell_spectra": "N15",
     "mode_spectra_with_range": "N15 E16 B9",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.align import weighted_mean
+
 #: Degrees of latitude in a band.
 BAND = 5.0
 
@@ -17,7 +19,7 @@ BAND = 5.0
 def features(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
     """region, ring (a number within the region), seq, lon, lat: the vertices of all polygons of a GeoJSON file's features."""
     one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
-    schema = f"features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     each = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.posexplode("features").alias("place", "f"))
     shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     polygons = F.when(shape == "Polygon", F.array(F.from_json(text, one))).when(shape == "MultiPolygon", F.from_json(text, many))
@@ -45,8 +47,7 @@ def cells_in(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return crossed.groupBy("region", "cell").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1).select("region", "cell")
 
 
-def region_means(series: DataFrame, cells: DataFrame, edges: DataFrame, by: list[str], weight: Column, value: str = "value") -> DataFrame:
-    """region, by, mean: weighted means of series (cell, by, value) over the cells of each region; missing values count in neither sum."""
+def region_means(series: DataFrame, cells: DataFrame, edges: DataFrame, by: list[str], weight: Column, value: str = "value", strict: bool = False) -> DataFrame:
+    """region, by, mean: weighted means of series (cell, by, value) over the cells of each region. Weights of missing values count in the denominator unless strict."""
     own = series.join(cells_in(cells, edges), "cell").join(cells.select("cell", weight.alias("_w")), "cell")
-    there = F.when(F.col(value).isNotNull(), F.col("_w"))
-    return own.groupBy("region", *by).agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum(there)).alias("mean"))
+    return weighted_mean(own, ["region", *by], value, F.col("_w"), strict)
