@@ -73,6 +73,8 @@ CASES = [
     ("<article>1 < 2 and <3 </nosuch> fine <p hidden>no</p><div style='display: none'>no</div></article>", "1 < 2 and <3 fine"),
     ("<form id=page><div><article><p>in a form</p></article></div></form>", "in a form"),
     ('<article><p title="a > b">q</p><img alt="<p>x"/><p>r', "q\n\nr"),
+    ("<div class='menu'>m</div><div class='post'><p>a</p><div class='post-comments'>c</div></div><div class='post-nav'>next</div><p>other</p>", "a"),
+    ("<div id=main><h1>t</h1><p>a</p><div class='ad box'>buy</div><div class='reader-comments'><p>c</p></div></div><div class='sidebar'>s</div>", "t\n\na"),
     ("<ARTICLE><P>caps</P><SCRIPT>x</SCRIPT ></ARTICLE>", "caps"),
 ]
 

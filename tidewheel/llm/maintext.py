@@ -63,7 +63,7 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 #: Words of classes and ids. Those of OWN also hold for articles and for what encloses one; the others only name a part of a page if no article is inside.
 OWN = frozenset("ad ads adslot advert adverts advertisement advertisements advertising comment comments commentlist discussion disqus promo promoted promotion recommendation recommendations recommended related reply replies respond sponsor sponsored widget".split())
 PARTS = frozenset("alert banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup search share sharing sidebar signup skip social subscribe subscription toolbar topbar".split())
-CONTENT = re.compile(r"\b(?:article|entry|post|page|story|main|body)[-_ ]?(?:body|content|text)\b|\b(?:content|story|maintext|articlebody)\b", re.I)
+CONTENT = re.compile(r"\b(?:article|entry|post|page|story|main|body)[-_ ]?(?:body|content|text)\b|\b(?:content|story|maintext|articlebody)\b|(?:^|\s)(?:article|entry|main|post)(?=\s|$)", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)>?|<[!?/][^>]*>?|(?P<text>[^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|$))""", re.I)
