@@ -237,6 +237,36 @@ def test_neighbours_recall_on_fifty_thousand_rows(spark, tmp_path, rank):
     assert np.mean(recall) >= 0.95 and len(got) == 1000
 
 
+def test_visits_are_streamed_past_one_tree_a_shard(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    built = []
+
+    class Counted(ann.VantageTree):
+        def __init__(self, vectors, ids):
+            built.append(len(ids))
+            super().__init__(vectors, ids)
+
+    monkeypatch.setattr(ann, "VantageTree", Counted)
+    # shard 0: rows 0-39, then visits; shard 1: visits alone; shard 2: rows alone; shard 3: rows 40-79, then visits
+    plan = [(0, False, range(40)), (0, True, range(90)), (1, True, range(5)), (2, False, range(80, 90)), (3, False, range(40, 80)), (3, True, range(90))]
+    rows = [(4, leaf, 0, 0, asks, i, x[i].tolist()) for leaf, asks, ids in plan for i in ids]
+    schema = pa.schema([("length", pa.int32()), ("leaf", pa.int64()), ("part", pa.int64()), ("copy", pa.int64()), ("asks", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_pydict({n: [r[j] for r in rows[a : a + 7]] for j, n in enumerate(schema.names)}, schema=schema) for a in range(0, len(rows), 7)]
+    got = defaultdict(set)
+    for b in ann.streamed(iter(batches), 3, 1.0, 4):
+        for r in b.to_pylist():
+            got[r["query_id"]].add((r["vec_id"], round(r["score"], 9)))
+    assert built == [40, 40]
+    for q in range(90):
+        want = set()
+        for shard in (range(40), range(40, 80)):
+            want |= {(i, round(d, 9)) for d, i in sorted((float(np.sqrt(np.square(x[q] - x[i]).sum())), i) for i in shard if i != q)[:3]}
+        assert got[q] == want
+
+
 def test_coarse_bounds_skip_no_neighbour():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 3))

@@ -6,8 +6,10 @@ skips a branch if the triangle inequality says that it holds nothing nearer than
 so far. With ``factor`` above one the bound is taken that many times tighter, so more is skipped and
 a neighbour may be missed; factor one is exact search. The same rule picks the shards that a query
 visits: the sample's k nearest bound its k-th distance, the coarse tree bounds what each shard can
-hold. A shard's tree is built once and the queries that visit it are streamed past it in blocks.
-Shards give each query its k nearest, and the k nearest of all are kept.
+hold. Rows and visits are sorted by shard, rows first: a task builds a shard's tree once and streams
+the visits past it, so it holds one shard and one batch of visits. Only a shard with more than
+``GROUP_QUERIES`` visits is copied, for as many tasks as they need. Shards give each query its k
+nearest, and the k nearest of all are kept.
 
 ``FACTOR`` is the one whose recall, measured on full shards of 16,384 rows of 64 dimensions, stays
 above 0.99: 1.5 gives 1.000 on normal rows and 0.998 on rows of rank 8 (2: 0.970, 4: 0.732).
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -37,8 +39,8 @@ from .common import table, written
 K = 10
 FACTOR = 1.5
 SHARD_ROWS = 16_384
-#: Queries that are streamed past a shard's tree at once, and those of a group about.
-QUERY_ROWS, GROUP_QUERIES = 4_096, 65_536
+#: Queries that are streamed past a shard's tree at once, and those that visit one copy of a shard, about.
+QUERY_ROWS, GROUP_QUERIES = 4_096, 262_144
 #: Rows of each length that the coarse tree is fitted on and that bound queries' distances, about; its leaves at most. Shards that come out larger are cut by a hash.
 SAMPLE_ROWS, MOST_LEAVES = 4_096, 1_024
 LEAF = 128
@@ -222,6 +224,40 @@ def coarse_trees(rows: DataFrame, shard_rows: int, sample_rows: int = SAMPLE_ROW
     return out
 
 
+#: The columns that say which copy of which shard a row or a visit belongs to.
+SHARD = ["length", "leaf", "part", "copy"]
+
+
+def streamed(batches: Iterator[pa.RecordBatch], k: int, factor: float, query_rows: int) -> Iterator[pa.RecordBatch]:
+    """SHARD, asks, vec_id, v, sorted by shard with its rows before its visits, to query_id, vec_id, score."""
+    now, rows, tree = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(len(SHARD) + 1)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            *shard, asks = keys[a].tolist()
+            if shard != now:
+                now, rows, tree = shard, [], None
+            part = batch.slice(a, b - a)
+            ids, vectors = part.column(len(SHARD) + 1).to_numpy(), matrix(part.column(len(SHARD) + 2))
+            if not asks:
+                rows.append((ids, vectors))
+                continue
+            if rows:
+                known = np.concatenate([r[0] for r in rows])
+                order = np.argsort(known, kind="stable")
+                tree, rows = VantageTree(np.concatenate([r[1] for r in rows])[order], known[order]), []
+            if tree is None:  # nothing is kept in this shard
+                continue
+            for m in range(0, len(ids), query_rows):
+                own = ids[m : m + query_rows]
+                d, found = tree.search(vectors[m : m + query_rows], own, k, factor)
+                ok = found != np.iinfo(np.int64).max
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ok.sum(axis=1))), pa.array(found[ok]), pa.array(d[ok])], names=["query_id", "vec_id", "score"])
+
+
 def nearest(df: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, group_queries: int = GROUP_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose id is divisible by every."""
     rows = written(usable(df, id_col, vector_col).withColumn("length", F.size("v")), "vectors")
@@ -247,32 +283,24 @@ def nearest(df: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR,
     schema = "length int, leaf long, vec_id long, v array<double>"
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     own = rows.withColumn("copy", first).where(F.col("copy") <= k + 1).select("vec_id", "v", "length").mapInArrow(deal, schema)
-    asked = queries.select("vec_id", "v", "length").mapInArrow(ask, schema)
-    # leaves that hold more rows than a shard should are cut by a hash of the id; one row a leaf is collected
-    sizes = own.groupBy("length", "leaf").count().where(F.col("count") > 2 * shard_rows).select("length", "leaf", F.ceil(F.col("count") / shard_rows).cast("long").alias("parts")).collect()
-    parts = F.lit(1).cast("long")
-    if sizes:
-        parts = F.coalesce(F.create_map(*[F.lit(x) for r in sizes for x in (f"{r[0]} {r[1]}", r[2])])[F.concat_ws(" ", "length", "leaf")], parts)
-    groups = max(1, -(-queries.count() // group_queries))
-    own = own.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int"))
-
-    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not own.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(own["vec_id"].to_numpy(), kind="stable")
-        tree = VantageTree(matrix(own["v"])[order], own["vec_id"].to_numpy()[order])
-        out = []
-        for m in range(0, asked.num_rows, query_rows):
-            block = asked.slice(m, query_rows)
-            ids = block["vec_id"].to_numpy()
-            d, found = tree.search(matrix(block["v"]), ids, k, factor)
-            ok = found != np.iinfo(np.int64).max
-            out.append(pa.table({"query_id": np.repeat(ids, ok.sum(axis=1)), "vec_id": found[ok], "score": d[ok]}))
-        return pa.concat_tables(out)
-
-    keys = ["length", "leaf", "part", "block"]
-    got = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    asked = written(queries.select("vec_id", "v", "length").mapInArrow(ask, schema), "visits")
+    # leaves that hold more rows than a shard should are cut by a hash of the id, and those with many visits are copied; one row a leaf is collected
+    held = own.groupBy("length", "leaf").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("parts")).where("parts > 2")
+    visited = asked.groupBy("length", "leaf").agg(F.ceil(F.count("*") / group_queries).cast("long").alias("copies")).where("copies > 1")
+    place = F.concat_ws(" ", "length", "leaf")
+
+    def number(counts: DataFrame) -> Column:
+        found = [F.lit(x) for r in counts.collect() for x in (f"{r[0]} {r[1]}", r[2])]
+        one = F.lit(1).cast("long")
+        return F.coalesce(F.create_map(*found)[place], one) if found else one
+
+    parts, copies = number(held), number(visited)
+    zero = F.lit(0).cast("long")
+    own = own.withColumns({"part": F.pmod(F.xxhash64("vec_id"), parts), "copy": F.explode(F.sequence(zero, copies - 1)), "asks": F.lit(False)})
+    asked = asked.withColumns({"part": F.explode(F.sequence(zero, parts - 1)), "copy": F.pmod(F.xxhash64("vec_id", F.lit(5)), copies), "asks": F.lit(True)})
+    dealt = own.select(*SHARD, "asks", "vec_id", "v").unionByName(asked.select(*SHARD, "asks", "vec_id", "v"))
+    sorted_rows = dealt.repartition(*SHARD).sortWithinPartitions(*SHARD, "asks")
+    got = sorted_rows.mapInArrow(lambda batches: streamed(batches, k, factor, query_rows), "query_id long, vec_id long, score double")
     # an id with several vectors, as a query or as a neighbour, counts with the nearest of them
     got = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
