@@ -39,6 +39,8 @@ SAMPLE_ROWS = 400
 SAMPLE_BYTES = 8 * 1024
 #: Parts that the copies of one page are dealt into.
 SALTS = 8
+#: Pages that a writer holds as Python objects at once.
+ROWS_AT_ONCE = 64
 #: An archive file is closed when it has so many bytes.
 FILE_BYTES = 32_000_000
 
@@ -124,7 +126,7 @@ def write_archives(records: DataFrame, dictionary: bytes, folder: str, level: in
 
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(0, batch.num_rows, ROWS_AT_ONCE) for r in batch.slice(k, ROWS_AT_ONCE).to_pylist()):
                 if out is None:
                     name, n, size = f"part-{part:06d}-{attempt}-{len(files):04d}.warc.zst", 0, 0
                     out = store.open_output_stream(f"{root}/.{name}", compression=None)
