@@ -274,3 +274,16 @@ def test_bpe_equals_tiktoken(docs, raw, empty):
     assert bpe.encode(empty, PATH, public_tokenizers.PATTERN).count() == 0
     with_ids = bpe.encode(docs.where("doc_id = 142"), PATH, public_tokenizers.PATTERN, with_ids=True).first()
     assert coder.decode(with_ids["ids"]) == next(r[1] for r in raw if r[0] == 142)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    frequency = 1 / np.arange(1, 9001) ** 0.8
+    frequency /= frequency.sum()
+    ranks = attention.Ranks(frequency * 1e7)
+    texts = [ranks.slot[rng.choice(9000, size=rng.integers(0, 900), p=frequency)] for _ in range(150)]
+    weights = attention.first_weights(ranks)
+    whole = attention.score(weights, texts)
+    for _ in range(8):
+        some = rng.permutation(150)[: rng.integers(1, 150)]
+        assert (attention.score(weights, [texts[i] for i in some]) == whole[some]).all()
