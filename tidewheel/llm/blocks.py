@@ -14,6 +14,7 @@ alike when they are computed again.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,12 +33,18 @@ DOC_SCHEMA = "block long, check long, doc_id long, flag boolean, codes binary"
 WORD_SCHEMA = "block long, check long, list int, words binary, counts binary"
 
 
+@functools.cache
+def _coders() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Those of a Python worker, which has one thread: setting them up takes longer than a text does."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return _coders()[0].compress(a.tobytes())
 
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
+    return np.frombuffer(_coders()[1].decompress(b), dtype=kind)
 
 
 def packed_words(words: list[bytes]) -> bytes:
