@@ -182,6 +182,20 @@ def test_training_windows_are_the_share_asked_for(spark):
     assert goals == sum(sizes)  # all windows have every token once
 
 
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_every_training_token_is_learned_from(spark, tasks):
+    assert all(lmscore.share_for(n) == 1 for n in (0, 1000, 10**8, 10**12))
+    rng = np.random.default_rng(6)
+    docs = [(k, k % 7 == 2, lmscore.packed(rng.integers(0, 4000, int(n)).astype(np.uint16))) for k, n in enumerate(rng.integers(1, 900, 120))]
+    df = spark.createDataFrame(docs, "doc_id long, held_out boolean, slots binary").repartition(tasks)
+    weights = attention.first_weights(attention.Ranks(np.ones(5000)))
+    sums = lmscore.weighed(lmscore._seeded(df), lambda batches: lmscore._dealt(batches, 1.0, 3), weights, 1, 2, (0.01, 0.001), 2000)
+    # a shard that trains alone sees each of its tokens as often as there are passes
+    assert sum(r["seen"] for r in sums.collect()) == 2 * sum(len(lmscore.unpacked(x, np.uint16)) for _, out, x in docs if not out)
+    became = lmscore.averaged(sums, tasks, weights)
+    assert all(np.isfinite(w).all() and w.shape == weights[k].shape for k, w in became.items()) and not np.array_equal(became["E"], weights["E"])
+
+
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(9)
     weights = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in attention.first_weights(attention.Ranks(rng.integers(0, 50, 6000).astype(float))).items()}

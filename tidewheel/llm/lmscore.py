@@ -5,12 +5,12 @@ distinct words of ``blocks``; each distinct word is also cut into byte-level BPE
 back by position, a document is its words' ids and one end. The ids' corpus counts give the model's
 classes, its tail and its first biases.
 
-``attention`` is trained on a share of the windows of all training documents: on all of them in a small
-corpus, and on one in 25 however large it is. They are evenly apart, from a place that a hash of the
-document gives, so short documents give theirs as often as long ones. They are dealt into shards of bounded size. The first round trains on
-one shard, which gives the others a common start; in the second every shard trains from the same
-weights and the results are averaged, weighted by tokens. Scoring is one pass over the documents as ids: each
-token is scored once, in the one of its overlapping windows that has it among the last ``STRIDE``.
+``attention`` is trained on all windows of all training documents, however large the corpus is. The first
+round trains on about one shard of bounded size, taken evenly from all documents, which gives the others
+a common start. In the second every task goes through its own documents, deals their windows into
+shards and trains each from the same weights (only a corpus of fewer blocks than cores is shuffled for it);
+the results are averaged, weighted by tokens. Scoring is one pass over the documents as ids: each token is scored once, in the one of its
+overlapping windows that has it among the last ``STRIDE``.
 
 A null text is an empty one: the end alone. Null ids count as the empty text when held out by id;
 they and repeated rows are kept, one result a row; texts of any length are scored whole; an empty
@@ -21,7 +21,8 @@ untrained one. Reruns over the same files and partitions agree up to rounding.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,12 @@ from .bpe import by_position, flat, merger
 from .common import table, written
 from .langid import held_out
 
-#: Training covers so many tokens, or all of a smaller corpus, and this share of the windows of a large one: the more of the two.
-FULL_TOKENS, LEAST_SHARE = 2_000_000, 0.04
-#: Tokens of a training shard, about.
-SHARD_TOKENS = 500_000
+#: The share of the training documents' windows that is learned from: all, at any size.
+LEAST_SHARE = 1.0
+#: Tokens of a training shard, about; shards that a task fills side by side, so that neighbouring windows go to different ones.
+SHARD_TOKENS, BESIDE = 500_000, 8
+#: Sums of weights that a task adds up, and that come to the driver.
+SUMS = 16
 #: Times that a shard goes over its windows in a round, and the learning rates at the round's start and end.
 ROUNDS = [(4, 0.02, 0.01), (2, 0.01, 0.0002)]
 #: Tokens that are scored at once.
@@ -90,6 +93,7 @@ def as_slots(docs: DataFrame, lists: DataFrame, ranks: Ranks, train_docs: int, t
         slot_of, tail_log = shared.value
         if len({*coded["check"].to_pylist(), *dictionary["check"].to_pylist()}) > 1:
             raise ValueError("the input's partitions changed between two runs; write it to a table first")
+        coded = coded.sort_by([("doc_id", "ascending"), ("codes", "ascending")])  # shards of training windows follow this order
         order = np.argsort(np.array(dictionary["list"].to_pylist(), np.int64), kind="stable").tolist()
         pieces = {c: dictionary[c].to_pylist() for c in ("lengths", "ids", "counts")}
         lengths = flat([unpacked(pieces["lengths"][k], np.uint32) for k in order], np.uint32).astype(np.int64)
@@ -115,61 +119,107 @@ def as_slots(docs: DataFrame, lists: DataFrame, ranks: Ranks, train_docs: int, t
     return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(rebuild, schema)
 
 
+Windows = Iterator[tuple[int, np.ndarray, np.ndarray]]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], share: float, shards: int) -> Windows:
+    """Shard, inputs and targets of some windows at a time. batches: seed, slots."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            texts = [unpacked(x, np.uint16).astype(np.int32) for x in part.column(1).to_pylist()]
+            inputs, targets, starts, text = attention.laid_out(texts)
+            first = np.searchsorted(text, np.arange(len(texts)))
+            seed = part.column(0).to_numpy()[text].astype(np.int64)
+            place = (np.arange(len(starts)) - first[text]) * share + seed / (1 << 31)
+            chosen = np.floor(place + share) > np.floor(place)
+            shard = (seed[chosen] + np.arange(int(chosen.sum()))) % shards
+            starts = starts[chosen]
+            if not len(starts):
+                continue
+            x = np.lib.stride_tricks.sliding_window_view(inputs, WINDOW)[starts].astype(np.int16)
+            y = np.lib.stride_tricks.sliding_window_view(targets, WINDOW)[starts][:, -STRIDE:].astype(np.int16)
+            for s in np.unique(shard).tolist():
+                yield s, x[shard == s], y[shard == s]
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Windows:
+    """Those of training_windows' rows."""
+    for batch in batches:
+        for shard, inputs, targets in zip(*(c.to_pylist() for c in batch.columns)):
+            yield shard, unpacked(inputs, np.int16).reshape(-1, WINDOW), unpacked(targets, np.int16).reshape(-1, STRIDE)
+
+
+def _seeded(docs: DataFrame) -> DataFrame:
+    return docs.where("not held_out").select(F.pmod(F.xxhash64("doc_id", "slots"), F.lit(1 << 31)).alias("seed"), "slots")
+
+
 def training_windows(docs: DataFrame, share: float, shards: int) -> DataFrame:
-    """A share of the windows of each training document, evenly apart, from a place that differs between documents: shard, inputs, targets (so many windows in a row)."""
+    """A share of the windows of each training document, evenly apart, from a place that a hash gives, so short documents give theirs as often as long ones: shard, inputs, targets (so many windows in a row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [unpacked(x, np.uint16).astype(np.int32) for x in part.column(1).to_pylist()]
-                inputs, targets, starts, text = attention.laid_out(texts)
-                first = np.searchsorted(text, np.arange(len(texts)))
-                seed = part.column(0).to_numpy()[text].astype(np.int64)
-                place = (np.arange(len(starts)) - first[text]) * share + seed / (1 << 31)
-                chosen = np.floor(place + share) > np.floor(place)
-                shard = (seed[chosen] + np.arange(int(chosen.sum()))) % shards
-                starts = starts[chosen]
-                if not len(starts):
-                    continue
-                x = np.lib.stride_tricks.sliding_window_view(inputs, WINDOW)[starts].astype(np.int16)
-                y = np.lib.stride_tricks.sliding_window_view(targets, WINDOW)[starts][:, -STRIDE:].astype(np.int16)
-                each = np.unique(shard).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.array([packed(x[shard == s]) for s in each], pa.binary()), pa.array([packed(y[shard == s]) for s in each], pa.binary())], names=["shard", "inputs", "targets"])
-
-    return docs.where("not held_out").select(F.pmod(F.xxhash64("doc_id", "slots"), F.lit(1 << 31)).alias("seed"), "slots").mapInArrow(run, "shard long, inputs binary, targets binary")
-
-
-def trained(windows: DataFrame, weights: Weights, number: int, passes: int, rates: tuple[float, float]) -> Weights:
-    """A round: each shard trains from weights; the average of what they become, weighted by tokens."""
-    spark = windows.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(weights))
-
-    def train(group: pa.Table) -> pa.Table:
-        x = np.concatenate([unpacked(b, np.int16).reshape(-1, WINDOW) for b in group["inputs"].to_pylist()]).astype(np.int32)
-        y = np.concatenate([unpacked(b, np.int16).reshape(-1, STRIDE) for b in group["targets"].to_pylist()]).astype(np.int32)
-        order = np.lexsort((x[:, -1], y[:, 0], y[:, -1]))  # rows come in any order
-        own, seen = attention.trained(pickle.loads(shared.value), x[order], y[order], int((y >= 0).sum()) * passes, *rates, seed=number)
-        return pa.table({"seen": pa.array([seen], pa.int64()), "weights": pa.array([pickle.dumps({k: v.astype(np.float64) * seen for k, v in own.items()})], pa.binary())})
+        for shard, x, y in _dealt(batches, share, shards):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([packed(x)], pa.binary()), pa.array([packed(y)], pa.binary())], names=["shard", "inputs", "targets"])
+
+    return _seeded(docs).mapInArrow(run, "shard long, inputs binary, targets binary")
+
+
+def weighed(rows: DataFrame, windows: Callable[[Iterator[pa.RecordBatch]], Windows], weights: Weights, number: int, passes: int, rates: tuple[float, float], shard_tokens: int | None) -> DataFrame:
+    """A round: tasks cut the windows of their rows into shards (None: one), each trains from weights. A row a task: tokens seen, the sum of what the shards' weights become, weighted by them."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(weights))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, held, tokens, seen = pickle.loads(shared.value), {}, {}, 0
+        total = {k: np.zeros(v.shape) for k, v in weights.items()}
+
+        def learn(pieces: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            nonlocal seen
+            x, y = (np.concatenate(own) for own in zip(*pieces))
+            order = np.lexsort((x[:, -1], y[:, 0], y[:, -1]))  # rows may come in any order
+            parts = max(1, int((y >= 0).sum()) // shard_tokens) if shard_tokens else 1
+            for k in range(parts):
+                own, goals = x[order[k::parts]].astype(np.int32), y[order[k::parts]].astype(np.int32)
+                became, n = attention.trained(weights, own, goals, int((goals >= 0).sum()) * passes, *rates, seed=number)
+                seen += n
+                for name, w in became.items():
+                    total[name] += w.astype(np.float64) * n
+
+        for shard, x, y in windows(batches):
+            held.setdefault(shard, []).append((x, y))
+            tokens[shard] = tokens.get(shard, 0) + int((y >= 0).sum())
+            if shard_tokens and tokens[shard] >= shard_tokens:
+                tokens[shard] = 0
+                learn(held.pop(shard))
+        if held:
+            learn([x for shard in sorted(held) for x in held[shard]])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["seen", "weights"])
+
+    return rows.mapInArrow(train, "seen long, weights binary")
+
+
+def averaged(sums: DataFrame, tasks: int, weights: Weights) -> Weights:
+    """The average of the sums of ``weighed``; weights, if nothing was seen. Tasks add up a few each until few are left."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = 0, None
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = pickle.loads(blob)
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = pickle.loads(blob.as_py())
                 total = own if total is None else {k: v + own[k] for k, v in total.items()}
                 seen += n
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["seen", "weights"])
 
-    schema = "seen long, weights binary"
-    # the sums of 16 tasks come to the driver, whatever the number of shards
-    rows = windows.groupBy("shard").applyInArrow(train, schema).repartition(16, "seen").mapInArrow(add, schema).collect()
+    while tasks > SUMS:
+        tasks = -(-tasks // SUMS)
+        sums = sums.repartition(tasks).mapInArrow(add, "seen long, weights binary")
+    rows = sums.collect()
     seen = sum(r[0] for r in rows)
     if not seen:
         return weights
-    sums = [pickle.loads(r[1]) for r in rows]
-    return {k: (sum(s[k] for s in sums) / seen).astype(np.float32) for k in weights}
+    own = [pickle.loads(r[1]) for r in rows]
+    return {k: (sum(s[k] for s in own) / seen).astype(np.float32) for k in weights}
 
 
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -193,8 +243,8 @@ def scored(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def share_for(subwords: int) -> float:
-    """The share of windows that is trained on."""
-    return max(LEAST_SHARE, min(1.0, FULL_TOKENS / max(subwords, 1)))
+    """The share of windows that is trained on, unless a caller asks for another: all of them."""
+    return LEAST_SHARE
 
 
 def score(df: DataFrame, path: str, pattern: str, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, left: int = 2) -> DataFrame:
@@ -218,9 +268,18 @@ def score(df: DataFrame, path: str, pattern: str, share: float | None = None, id
     weights = attention.first_weights(ranks)
     subwords = int(counts.sum())
     share = share or share_for(subwords)
-    windows = written(training_windows(ids, share, max(1, int(subwords * share) // SHARD_TOKENS)), "windows")
+    shards = max(1, int(subwords * share) // SHARD_TOKENS)
+    # a task has a shard's worth of a small corpus; few blocks are dealt to all cores
+    few, cores = ids.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(shards, max(few, cores))
+    rows = _seeded(ids)
+    rows = rows.repartition(tasks, "seed").sortWithinPartitions("seed", "slots") if few < tasks else rows.coalesce(tasks)
     for number, (passes, *rates) in enumerate(ROUNDS):
-        weights = trained(windows if number else windows.where("shard = 0"), weights, number, passes, tuple(rates))
+        if number:
+            sums = weighed(rows, partial(_dealt, share=share, shards=BESIDE), weights, number, passes, tuple(rates), SHARD_TOKENS)
+        else:
+            sums = weighed(training_windows(ids, share / shards, 1).repartition(1), _stored, weights, number, passes, tuple(rates), None)
+        weights = averaged(sums, tasks if number else 1, weights)
     return scored(ids, weights).withColumn("train_tokens", F.lit(tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
