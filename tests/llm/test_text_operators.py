@@ -301,3 +301,28 @@ def test_scores_do_not_depend_on_the_batch():
     for _ in range(8):
         some = rng.permutation(150)[: rng.integers(1, 150)]
         assert (attention.score(weights, [texts[i] for i in some]) == whole[some]).all()
+
+
+def test_a_block_is_gone_before_the_next_is_filled(monkeypatch):
+    """A task that holds two blocks, or texts beside them, is what took an executor's memory."""
+    import gc
+
+    import pyarrow as pa
+
+    from tidewheel.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100)
+    ran = {}
+    frame = type("Frame", (), {"mapInArrow": lambda self, run, schema: ran.setdefault("run", run)})()
+    blocks.block_words(frame, str.split, 4)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5, 6], "flag": [None] * 6, "text": [f"w{k} " * 40 for k in range(6)]}, schema=pa.schema([("doc_id", pa.int64()), ("flag", pa.bool_()), ("text", pa.string())]))
+    alive, add = [], blocks._Block.add
+
+    def counted(self, *args):
+        gc.collect()
+        alive.append(sum(isinstance(x, blocks._Block) and bool(x.docs) for x in gc.get_objects()))
+        add(self, *args)
+
+    monkeypatch.setattr(blocks._Block, "add", counted)
+    out = list(ran["run"](iter([batch])))
+    assert len({x for b in out for x in b.column(0).to_pylist()}) == 6 and alive == [0] * 6

@@ -24,6 +24,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 #: A block ends after so many bytes of text; the document that passes the bound still belongs to it.
 BLOCK_BYTES = 24_000_000
 #: Lists of words in a block, at least; a list is what travels as one row. With twice as many lists as input partitions, a list's words from all blocks stay about as many at any size.
@@ -80,6 +82,7 @@ class _Block:
     def settled(self) -> tuple[list[list[bytes]], np.ndarray, int]:
         """Lists of words; the code of each number (its place in all lists, one after the other); a checksum."""
         words = [w if isinstance(w, bytes) else w.encode() for w in self.known]
+        self.known.clear()
         at = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(self.lists)
         order = np.argsort(at, kind="stable")
         code = np.empty(len(words), np.uint32)
@@ -98,14 +101,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], lis
     number = (context.partitionId() if context else 0) << 20
     block = _Block(number, lists)
     for batch in batches:
-        for doc_id, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text = text or ""
-            block.add(doc_id, flag, split(text))
-            block.bytes += len(text)
-            if block.bytes >= BLOCK_BYTES:
-                yield block
-                number += 1
-                block = _Block(number, lists)
+        for k in range(0, batch.num_rows, 256):
+            for doc_id, flag, text in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns[:3])):
+                text = text or ""
+                block.add(doc_id, flag, split(text))
+                block.bytes += len(text)
+                if block.bytes >= BLOCK_BYTES:
+                    yield block
+                    number += 1
+                    block = _Block(number, lists)
     if block.docs:
         yield block
 
@@ -140,8 +144,9 @@ def coded_docs(docs: DataFrame, split: Callable[[str], list], lists: int) -> Dat
             _, code, check = block.settled()
             for cols in _doc_batches(block, code, check):
                 yield pa.RecordBatch.from_pydict(cols)
+            del block, code  # before the next one is filled
 
-    return docs.mapInArrow(run, DOC_SCHEMA)
+    return docs.mapInArrow(tidied(run), DOC_SCHEMA)
 
 
 def block_words(docs: DataFrame, split: Callable[[str], list], lists: int, counted: bool = False) -> DataFrame:
@@ -152,8 +157,9 @@ def block_words(docs: DataFrame, split: Callable[[str], list], lists: int, count
             own, code, check = block.settled()
             for cols in _word_batches(block, own, code, check, counted):
                 yield pa.RecordBatch.from_pydict(cols)
+            del block, own, code
 
-    return docs.mapInArrow(run, WORD_SCHEMA)
+    return docs.mapInArrow(tidied(run), WORD_SCHEMA)
 
 
 def coded(docs: DataFrame, split: Callable[[str], list], lists: int) -> DataFrame:
@@ -168,5 +174,6 @@ def coded(docs: DataFrame, split: Callable[[str], list], lists: int) -> DataFram
             for cols in _word_batches(block, own, code, check, True):
                 n = len(cols["block"])
                 yield pa.RecordBatch.from_pydict({"block": cols["block"], "check": cols["check"], "doc_id": pa.nulls(n, pa.int64()), "flag": pa.nulls(n, pa.bool_()), "codes": pa.nulls(n, pa.binary()), "list": cols["list"], "words": cols["words"], "counts": cols["counts"]})
+            del block, own, code
 
-    return docs.mapInArrow(run, DOC_SCHEMA + ", list int, words binary, counts binary")
+    return docs.mapInArrow(tidied(run), DOC_SCHEMA + ", list int, words binary, counts binary")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_words, coded_docs, list_count, packed, unpacked, unpacked_words
-from .common import table, written
+from .common import table, tidy, written
 
 #: The characters of the Unicode property White_Space, as in a character class.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,8 +68,8 @@ class Merger:
         for token, k in ranks.items():
             self.by_id[k] = token
         # every way to put a token together from two others: pairs, sorted, and what they become
-        made = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.pairs, self.become = np.array(sorted(made), np.int64).reshape(-1, 2).T.copy()
+        made = np.fromiter((x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]] << 32 | ranks[t[k:]], r)), np.int64).reshape(-1, 2)
+        self.pairs, self.become = made[np.argsort(made[:, 0])].T.copy()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right
@@ -187,6 +187,8 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         ids = np.fromiter((x for p in parts for x in p), np.uint32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
+        del number, parts
+        tidy()
         return pa.table({"block": group["block"], "check": group["check"], "list": group["list"], "lengths": pa.array([packed(lengths[x].astype(np.uint32)) for x in own], pa.binary()), "ids": pa.array([packed(by_position(x, lengths, starts, ids)) for x in own], pa.binary())})
 
     return words.groupBy("list").applyInArrow(encode, "block long, check long, list int, lengths binary, ids binary")
@@ -223,6 +225,8 @@ def put_together(docs: DataFrame, lists: DataFrame, path: str, pattern: str, wit
             out["decoded_sha256"].append(hashlib.sha256(b"".join(map(by_id.__getitem__, own.tolist()))).hexdigest())
             if with_ids:
                 out["ids"].append(own.astype(np.int32))
+        del lengths, values, starts, sizes, ids
+        tidy()
         cols = {"doc_id": coded["doc_id"], "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
         return pa.table(cols | ({"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if with_ids else {}))
 

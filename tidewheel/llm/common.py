@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of anything but a space and the bytes 09 to 0D.
@@ -15,6 +19,29 @@ SPACES = " \t\n\x0b\x0c\r"
 _WRITTEN: list[str] = []
 
 
+def tidy() -> None:
+    """Memory that a task no longer uses goes back to the system: a Python worker waits for more tasks and would keep it beside theirs."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim() -> Callable | None:
+    """That of the GNU C library, where it is the one in use."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over a partition's batches, tidy at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: About so many labelled rows of each language are learned from, at most.
 DOCS_A_LANG = 1_500
@@ -174,7 +174,7 @@ def predict(df: DataFrame, model: Model | None, kept: list[str], text_col: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_col).cast("string").alias("_whole_text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_col).cast("string").alias("_whole_text")).mapInArrow(tidied(run), schema)
 
 
 def held_out(id_col: Column, mod: int, left: int, equal: bool) -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import portions, runs
-from .common import table, written
+from .common import table, tidied, tidy, written
 from .rindex import seen_before
 
 LENGTH = 100
@@ -91,7 +91,7 @@ def frequent_anchors(docs: DataFrame, length: int, sample_docs: int = SAMPLE_DOC
     share = min(1.0, sample_docs / max(1, n))
     sample = docs.where(F.pmod(F.xxhash64(*KEY, F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     least = max(20, int(often * share * n))
-    found = sample.mapInArrow(run, "anchor long").groupBy("anchor").count().where(F.col("count") >= least).orderBy(F.desc("count"), "anchor").limit(50_000)
+    found = sample.mapInArrow(tidied(run), "anchor long").groupBy("anchor").count().where(F.col("count") >= least).orderBy(F.desc("count"), "anchor").limit(50_000)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64))
 
 
@@ -113,7 +113,7 @@ def all_runs(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
                     salt = np.where(often[at] == anchor, 1 + (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % SALTS, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(salt), pa.array(content), pa.array(doc), pa.array(ties[number]), pa.array(start), pa.array(count.astype(np.int32))], names=["anchor", "salt", "content", "doc", "tie", "start", "windows"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, "anchor long, salt int, content long, doc long, tie long, start long, windows int")
+    return docs.select("doc", "tie", "text").mapInArrow(tidied(run), "anchor long, salt int, content long, doc long, tie long, start long, windows int")
 
 
 def sorted_out(found: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             packed = pa.array([press.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], names=["doc", "tie", "packed", *(f.name for f in rest)])
 
-    return docs.select("doc", "tie", "text", *(f.name for f in rest)).mapInArrow(run, ", ".join(["doc long, tie long, packed binary"] + [f"{f.name} {f.dataType.simpleString()}" for f in rest]))
+    return docs.select("doc", "tie", "text", *(f.name for f in rest)).mapInArrow(tidied(run), ", ".join(["doc long, tie long, packed binary"] + [f"{f.name} {f.dataType.simpleString()}" for f in rest]))
 
 
 #: A cut-out run: its group, place, the place of the anchor in it (-1: not known yet), the fewest and most bytes that its windows may have before the anchor, its bytes.
@@ -180,7 +180,7 @@ def cut_out(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
                     out += [(a, doc, tie, s, -1, 0, length - anchors.GRAM, text[s : s + w + length - 1]) for s, w, a in zip(start, windows, anchor)]
                 yield _run_batch(out)
 
-    return both.mapInArrow(run, RUN_SCHEMA)
+    return both.mapInArrow(tidied(run), RUN_SCHEMA)
 
 
 def halves(texts: list[bytes], groups: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> Iterator[tuple[int, ...]]:
@@ -208,7 +208,7 @@ def halved(rows: DataFrame, length: int) -> DataFrame:
             if texts:
                 yield _run_batch([(g, int(doc[k]), int(tie[k]), int(start[k]) + first, place - first, a, b, texts[k][first : last + length]) for k, g, first, last, a, b, place in halves(texts, anchor, at, low, high, length)])
 
-    return rows.mapInArrow(run, RUN_SCHEMA)
+    return rows.mapInArrow(tidied(run), RUN_SCHEMA)
 
 
 def dealt_further(rows: DataFrame, length: int, most_runs: int) -> tuple[DataFrame, DataFrame | None]:
@@ -242,6 +242,7 @@ def indexed(rows: DataFrame, length: int, shards: int) -> DataFrame:
         own = [texts[k][a : b + length] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist())]
         half, begin, windows = seen_before(own, key, (doc[number], tie[number], place), length)
         number = number[half]
+        tidy()
         return pa.table({"doc": doc[number], "tie": tie[number], "start": place[half] + begin, "windows": pa.array(windows, pa.int32())})
 
     dealt = rows.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *RUN_FIELDS)
@@ -315,7 +316,7 @@ def without_repeats(df: DataFrame, length: int = LENGTH, with_text: bool = False
                     cols, names = [*cols, pa.array(left, pa.string()), part.column(4)], [*names, "text", "rest"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return both.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
 
 
 def op8_run_length_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

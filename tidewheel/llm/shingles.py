@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import packed, unpacked
-from .common import written
+from .common import tidied, written
 from .simhash import MOST_ROWS, SEED, components, tiled
 
 BANDS, ROWS = 24, 6
@@ -76,7 +76,7 @@ def sets(texts: DataFrame, width: int) -> DataFrame:
                 each.append(bands(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(each, pa.list_(pa.int64()))], names=["doc_id", "slot", "fp", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, slot long, fp long, bands array<long>")
+    return texts.mapInArrow(tidied(run), "doc_id long, slot long, fp long, bands array<long>")
 
 
 def met(texts: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -100,7 +100,7 @@ def met(texts: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataF
                 own = shingle_set(t, width)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([_hashed(own)], np.uint64).view(np.int64)), pa.array([packed(own)], pa.binary())], names=["fp", "shingles"])
 
-    return texts.mapInArrow(run, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(tidied(run), "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def forest(found: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:

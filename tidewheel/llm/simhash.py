@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import dropped, table, tidied, written
 
 SEED = 42
 RADIUS = 4
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 # -- shards -----------------------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def sharded(nodes: DataFrame, levels: int, radius: int = RADIUS, blocks: int = B
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[part]), tree, np.int32)), pa.array(path[part]), pa.array(fps[rows[part]]), pa.array(~visits[part])], names=["tree", "path", "fp", "home"])
 
-    return nodes.select("fp").mapInArrow(run, "tree int, path long, fp long, home boolean")
+    return nodes.select("fp").mapInArrow(tidied(run), "tree int, path long, fp long, home boolean")
 
 
 def tiled(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
