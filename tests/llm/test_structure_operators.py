@@ -173,6 +173,28 @@ def test_simhash_queries_visit_shards_across_boundaries(spark):
             assert {*path[rows == 0].tolist()} & {*path[rows == 1].tolist()}  # they meet, also where a boundary lies between them
 
 
+def test_a_round_of_components_shuffles_four_times(spark, monkeypatch):
+    """Every task of a round costs the driver memory: it holds the task's metrics."""
+    made, keep = [], simhash.written
+
+    def counted(df, what):
+        made.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return keep(df, what)
+
+    monkeypatch.setattr(simhash, "written", counted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = [(5, 1), (1, 5), (5, 5), (7, 5), (7, 6), (6, 2), (-3, 90), (90, 91), (90, 92), (4, 4), *((1000, 1001 + k) for k in range(50)), *((3000, 2900 + k) for k in range(50))]
+    try:
+        got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(made[1:]) <= 4
+    want = {5: 1, 7: 1, 6: 1, 2: 1, 90: -3, 91: -3, 92: -3} | {1001 + k: 1000 for k in range(50)} | {x: 2900 for x in (*range(2901, 2950), 3000)}
+    assert {k: v for k, v in got.items() if k != v} == want
+    assert simhash.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_components_that_have_not_settled_raise(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}

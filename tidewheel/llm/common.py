@@ -68,6 +68,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     _WRITTEN.append(path)
+    tidy()  # the driver's Python, too, would keep what it had collected for earlier tables
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -146,7 +146,7 @@ def links(texts: DataFrame, docs: DataFrame, width: int, similarity: float, most
 
 def tied(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """groups (doc_id, component_id) and sets() to edges between the sets of each group and its smallest one. Rows without ids are in no group."""
-    sets_of = groups.where("component_id is not null").join(docs.select("doc_id", "fp"), "doc_id").select("component_id", "fp").distinct()
+    sets_of = written(groups.where("component_id is not null").join(docs.select("doc_id", "fp"), "doc_id").select("component_id", "fp").distinct(), "tied")  # read twice
     least = sets_of.groupBy("component_id").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
     return sets_of.join(least, "component_id").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 

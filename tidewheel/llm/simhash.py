@@ -32,7 +32,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, table, tidied, written
@@ -243,28 +243,31 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, blocks: int = BLOCKS,
 # -- components -------------------------------------------------------------------------------------
 
 
+def _linked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges (u, v), stored, and what tells them from others: their number and a sum of hashes, observed while they are written."""
+    seen = Observation()
+    stored = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashed")), "links")
+    return stored, (seen.get["n"], seen.get["hashed"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) to (node, root): the smallest node of each component, for nodes that have edges.
 
     Star contractions: every node's larger neighbours, then every node itself and its smaller
     neighbours, are tied to its smallest neighbour, until nothing changes.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(now)
+    now, before = _linked(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select("u", "v", "m")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
-        last, now = now, written(small.distinct(), "links")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lower = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = lower.select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v")
+        last, (now, after) = now, _linked(small.distinct())
         for path in {x.rsplit("/", 1)[0] for x in last.inputFiles()}:
             dropped(now.sparkSession, path)
-        after = state(now)
         if after == before:
             break
         before = after
