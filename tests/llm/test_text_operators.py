@@ -196,6 +196,65 @@ def test_every_training_token_is_learned_from(spark, tasks):
     assert all(np.isfinite(w).all() and w.shape == weights[k].shape for k, w in became.items()) and not np.array_equal(became["E"], weights["E"])
 
 
+def test_training_is_spread_evenly_over_tasks(spark):
+    rng = np.random.default_rng(8)
+    docs = [(k, k % 7 == 2, lmscore.packed(rng.integers(0, 4000, int(n)).astype(np.uint16))) for k, n in enumerate(rng.integers(50, 150, 3000))]
+    cores = spark.sparkContext.defaultParallelism
+    # as blocks are: one more than cores, the first with half of all documents
+    parts = spark.sparkContext.parallelize(range(cores + 1), cores + 1).flatMap(lambda k: docs[:1500] if k == 0 else docs[1500 + k - 1 :: cores])
+    df = spark.createDataFrame(parts, "doc_id long, held_out boolean, slots binary")
+    rows, tasks = lmscore.spread(df, 10_000)
+    sizes = [sum(len(lmscore.unpacked(r["slots"], np.uint16)) for r in part) for part in rows.rdd.glom().collect()]
+    assert len(sizes) == tasks == 2 * cores and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+    assert sum(sizes) == sum(len(lmscore.unpacked(x, np.uint16)) for _, out, x in docs if not out)
+    assert lmscore.spread(df, 1)[0].rdd.getNumPartitions() == 1
+    many = df.repartition(4 * cores)
+    assert lmscore.spread(many, 10_000)[1] == 4 * cores and "Exchange" not in lmscore.spread(many.sparkSession.range(0, 9, 1, 4 * cores).selectExpr("id doc_id", "false held_out", "binary('') slots"), 10_000)[0]._jdf.queryExecution().toString()
+
+
+def test_training_is_adam_by_the_gradients_and_only_of_weights_that_are_read():
+    rng = np.random.default_rng(12)
+    ranks = attention.Ranks(rng.integers(0, 50, 6000).astype(float))
+    first = {k: (v + rng.normal(0, 0.05, v.shape)).astype(np.float32) for k, v in attention.first_weights(ranks).items()}
+    inputs, targets, starts, _ = attention.laid_out([rng.integers(0, attention.KNOWN + 1, int(n)).astype(np.int32) for n in rng.integers(1, 300, 60)])
+    x = np.lib.stride_tricks.sliding_window_view(inputs, attention.WINDOW)[starts]
+    y = np.lib.stride_tricks.sliding_window_view(targets, attention.WINDOW)[starts][:, -attention.STRIDE :]
+    tokens = 2 * int((y >= 0).sum())
+    found, seen = attention.trained(first, x, y, tokens, 0.01, 0.001, seed=5, batch=40)
+    w = {k: v.astype(np.float64) for k, v in first.items()}
+    m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
+    order, done, step = np.random.default_rng(5), 0, 0
+    for _ in range(2):
+        for own in np.array_split(order.permutation(len(x)), -(-len(x) // 40)):
+            g, _, n = attention.gradients(w, x[own], y[own])
+            done, step = done + n, step + 1
+            lr = 0.001 + 0.009 * max(0.0, 1 - done / tokens)
+            for k in w:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+                w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
+    assert seen == done == tokens
+    for k in w:
+        assert np.quantile(np.abs(found[k] - w[k]), 0.999) < 2e-4 and not np.array_equal(found[k], first[k]), k
+    read = np.arange(attention.MEMBERS) < attention.OF_CLASS[:, None]
+    assert np.array_equal(found["bm"][~read], first["bm"][~read]) and len(attention._Flat.of(first).all) == sum(p.size for k, p in first.items() if k not in ("M", "bm")) + attention.KNOWN * (attention.DIM + 1)
+
+
+def test_large_logits_train_like_small_ones(monkeypatch):
+    """Sums of e to them neither overflow nor vanish; taking the largest away changes nothing else."""
+    rng = np.random.default_rng(13)
+    weights = {k: v.astype(np.float64) for k, v in attention.first_weights(attention.Ranks(rng.integers(1, 9, 5000).astype(float))).items()}
+    x = rng.integers(0, attention.KNOWN, (5, attention.WINDOW)).astype(np.int32)
+    y = rng.integers(0, attention.KNOWN + 1, (5, attention.STRIDE)).astype(np.int32)
+    plain = attention.gradients(weights, x, y)
+    monkeypatch.setattr(attention, "CALM", 0.0)
+    again = attention.gradients(weights, x, y)
+    assert again[1] == pytest.approx(plain[1], rel=1e-9) and all(np.allclose(again[0][k], plain[0][k], rtol=1e-6, atol=1e-12) for k in weights)
+    large = {k: (v * (30 if k in ("Wq", "Wk", "C", "M") else 1)).astype(np.float32) for k, v in weights.items()}
+    found, loss, n = attention.gradients(large, x, y)
+    assert n == y.size and np.isfinite(loss) and all(np.isfinite(g).all() for g in found.values())
+
+
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(9)
     weights = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in attention.first_weights(attention.Ranks(rng.integers(0, 50, 6000).astype(float))).items()}

@@ -1,7 +1,7 @@
 """A small causal self-attention model over subword ids, in numpy.
 
 One layer: a query attends to the tokens of its window up to itself, with a learned bias for each
-distance; a layer with a rational tanh (``squashed``) follows. As keys, queries and values depend on a token alone, they are rows of
+distance; a layer with a rational tanh (``Scorer.state``) follows. As keys, queries and values depend on a token alone, they are rows of
 three tables. The output has two steps: a class of tokens, then a member of the class. Tokens are
 classed by their rank among the corpus's subwords, frequent ones in small classes, so that few members
 are weighed for most tokens; those beyond the last class (of 4,096 ids together) share a tail whose
@@ -91,36 +91,10 @@ def _tables(w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w["E"] @ w["Wq"] * np.float32(DIM**-0.5), w["E"] @ w["Wk"], w["E"] @ w["Wv"]
 
 
-def _attend(w: Weights, tables, x: np.ndarray):
-    """x: (windows, WINDOW) inputs, -1 where there are none. What the last STRIDE places of each window become."""
-    q, k, v = tables
-    xq, xs = x[:, -STRIDE:], np.maximum(x, 0)
-    xq = np.maximum(xq, 0)
-    bias = np.where(_AHEAD >= 0, w["r"][np.maximum(_AHEAD, 0)], np.float32(-1e9)).astype(np.float32)
-    a = np.matmul(q[xq], k[xs].transpose(0, 2, 1))
-    a += bias
-    a += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    vs = v[xs]
-    h = w["E"][xq] + np.matmul(a, vs)
-    return xq, xs, a, vs, h
-
-
 def _longest(a: np.ndarray) -> float:
     return float(np.sqrt(np.square(a, dtype=np.float64).sum(axis=-1).max()))
 
 
-def squashed(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x (27 + x^2) / (27 + 9 x^2), which runs smoothly into -1 and 1 at -3 and 3, and x^2; t is used up."""
-    np.clip(t, -3, 3, out=t)
-    squares = t * t
-    t *= squares + 27
-    t /= 9 * squares + 27
-    return t, squares
-
-
 class Scorer:
     """A model's weights laid out for scoring: places without a token have a last row of their own in every table, and biases are a last column or row."""
 
@@ -235,77 +209,177 @@ def score(w: Weights, texts: list[np.ndarray], at_once: int = 1024, part: int =
     return np.round(out, DIGITS)
 
 
-def gradients(w: Weights, x: np.ndarray, target: np.ndarray) -> tuple[Weights, float, int]:
-    """Of the mean negative log probability of target (windows, STRIDE), -1 where there is none."""
-    tables = _tables(w)
-    xq, xs, a, vs, h3 = _attend(w, tables, x)
-    q, k, _ = tables
+class _Flat:
+    """Weights, or what belongs to each, one after the other in one array: only what is read of the classes' rows; biases are last rows. Its parts are views."""
+
+    def __init__(self, dtype: np.dtype):
+        shapes = [(KNOWN + 2, DIM), (DIM, 3 * DIM), (WINDOW,), (DIM + 1, HIDDEN), (HIDDEN, DIM), (DIM + 1, CLASSES + 1), *((n, DIM + 1, m) for m, n in SIZES)]
+        ends = np.cumsum([int(np.prod(shape)) for shape in shapes]).tolist()
+        self.all = np.zeros(ends[-1], dtype)
+        self.e, self.qkv, self.r, self.inner, self.outer, self.by_class, *self.by_member = (x.reshape(shape) for x, shape in zip(np.split(self.all, ends[:-1]), shapes))
+
+    def _pairs(self, w: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Parts and where each is in w."""
+        out = [(self.e, w["E"]), (self.r, w["r"]), (self.inner[:DIM], w["W1"]), (self.inner[DIM], w["b1"]), (self.outer, w["W2"]), (self.by_class[:DIM], w["C"]), (self.by_class[DIM], w["bc"])]
+        out += [(self.qkv[:, k * DIM : (k + 1) * DIM], w[name]) for k, name in enumerate(("Wq", "Wk", "Wv"))]
+        c = 0
+        for (m, n), own in zip(SIZES, self.by_member):
+            out += [(own[:, :DIM], w["M"][c : c + n, :, :m]), (own[:, DIM], w["bm"][c : c + n, :m])]
+            c += n
+        return out
+
+    @classmethod
+    def of(cls, w: Weights) -> _Flat:
+        found = cls(w["E"].dtype)
+        for own, there in found._pairs(w):
+            own[...] = there
+        return found
+
+    def put(self, w: Weights) -> Weights:
+        for own, there in self._pairs(w):
+            there[...] = own
+        return w
+
+
+#: Sums of e to so much neither overflow nor vanish in single precision.
+CALM = 60.0
+_SCALE = np.repeat([DIM**-0.5, 1.0, 1.0], DIM)
+_CLASS8 = CLASS.astype(np.int8)  # sorted by radix
+
+
+def _softmax_step(logits: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The gradient by the logits (which are used up) of the negative log probability of at, over n; the sum of that."""
+    if max(logits.max(), -logits.min()) > CALM:
+        logits -= logits.max(axis=1, keepdims=True)
+    flat, at = logits.reshape(-1), at + np.arange(len(at)) * logits.shape[1]
+    picked = flat[at]
+    p = np.exp(logits, out=logits)
+    s = p @ np.ones(p.shape[1], p.dtype)
+    loss = float((np.log(s) - picked).sum())
+    s *= n
+    p *= np.divide(1, s, out=s)[:, None]
+    flat[at] -= 1 / n
+    return p, loss
+
+
+def _descent(w: _Flat, g: _Flat, x: np.ndarray, target: np.ndarray) -> tuple[float, int]:
+    """Fills g. The loss and the number of targets."""
+    b, dtype = len(x), w.all.dtype
+    scaled = w.qkv * _SCALE.astype(dtype)
+    at = np.maximum(x, 0).reshape(-1)
+    e = np.take(w.e, at, axis=0)
+    qkv = np.matmul(e, scaled).reshape(b, WINDOW, 3 * DIM)
+    q, k, v = qkv[:, -STRIDE:, :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    # weights of attention are left as they are before they are divided by their sums; what they are multiplied by is divided instead
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    calm = max(a.max(), -a.min()) + np.abs(w.r).max() < CALM
+    a += np.where(_AHEAD >= 0, w.r[np.maximum(_AHEAD, 0)], dtype.type(-1e9))
+    if (x < 0).any():
+        a += np.where(x < 0, dtype.type(-1e9), dtype.type(0))[:, None, :]
+    if not calm:
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    share = a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype)
+    share = 1 / np.maximum(share, dtype.type(1e-30))  # places that have nothing to attend to have no target either
+    seen = np.matmul(a, v).reshape(-1, DIM)
+    seen *= share[:, None]
+    # from here on in the order of classes
     flat = target.reshape(-1)
     live = np.flatnonzero(flat >= 0)
-    goal, n = flat[live], max(1, len(live))
-    h = h3.reshape(-1, DIM)[live]
-    t = h @ w["W1"] + w["b1"]
-    t, squares = squashed(t)
-    slope = ((squares - 9) / (3 * (squares + 3))) ** 2
-    z = h + t @ w["W2"]
-    g = {name: np.zeros_like(p) for name, p in w.items()}
-    klass = CLASS[goal]
-
-    def softmax_step(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        s = p.sum(axis=1, keepdims=True)
-        loss = float((np.log(s[:, 0]) - logits[np.arange(len(at)), at]).sum())
-        p /= s
-        p[np.arange(len(at)), at] -= 1
-        p /= n
-        return p, loss
-
-    p, loss = softmax_step(z @ w["C"] + w["bc"], klass)
-    g["C"], g["bc"], dz = z.T @ p, p.sum(axis=0), p @ w["C"].T
-    order = np.argsort(klass.astype(np.int8), kind="stable")
+    n = max(1, len(live))
+    klass = _CLASS8[flat[live]]
+    order = np.argsort(klass, kind="stable")
     ends = [0, *np.cumsum(np.bincount(klass, minlength=CLASSES + 1)).tolist()]
+    klass, order = klass[order], live[order]
+    goal = flat[order]
+    h, z = (np.ones((len(order), DIM + 1), dtype) for _ in range(2))
+    h[:, :DIM] = (e.reshape(b, WINDOW, DIM)[:, -STRIDE:].reshape(-1, DIM) + seen)[order]
+    # x (27 + x^2) / (27 + 9 x^2), which runs smoothly into -1 and 1 at -3 and 3
+    t = h @ w.inner
+    np.clip(t, -3, 3, out=t)
+    squares = t * t
+    below = squares + 3
+    below *= 9
+    slope = squares - 9
+    squares += 27
+    t *= squares
+    t /= below
+    slope /= below
+    slope *= slope
+    slope *= 9
+    z[:, :DIM] = t @ w.outer
+    z[:, :DIM] += h[:, :DIM]
+    loss = 0.0
+    if len(order):
+        p, loss = _softmax_step(z @ w.by_class, klass, n)
+        np.matmul(z.T, p, out=g.by_class)
+        dz = p @ w.by_class[:DIM].T
+    else:
+        g.by_class[...] = 0
+        dz = np.zeros((0, DIM), dtype)
     c = 0
-    for members, classes in SIZES:
+    for (members, classes), own, grad in zip(SIZES, w.by_member, g.by_member):
         # products class by class, the softmax for all classes of a size
-        rows, start = order[ends[c] : ends[c + classes]], ends[c]
-        spans = [(j, ends[j] - start, ends[j + 1] - start) for j in range(c, c + classes) if ends[j + 1] > ends[j]]
+        start, end = ends[c], ends[c + classes]
+        spans = [(j - c, ends[j], ends[j + 1]) for j in range(c, c + classes)]
         c += classes
-        if not spans:
+        grad[...] = 0
+        if start == end:
             continue
-        own, logits = z[rows], np.empty((len(rows), members), z.dtype)
+        logits = np.empty((end - start, members), dtype)
         for j, first, last in spans:
-            np.add(own[first:last] @ w["M"][j][:, :members], w["bm"][j][:members], out=logits[first:last])
-        p, more = softmax_step(logits, goal[rows] - FIRST[klass[rows]])
+            if last > first:
+                np.dot(z[first:last], own[j], out=logits[first - start : last - start])
+        p, more = _softmax_step(logits, goal[start:end] - FIRST[klass[start:end]], n)
         loss += more
-        back = np.empty_like(own)
+        back = np.empty((end - start, DIM), dtype)
         for j, first, last in spans:
-            g["M"][j][:, :members] = own[first:last].T @ p[first:last]
-            back[first:last] = p[first:last] @ w["M"][j][:, :members].T
-        g["bm"][[j for j, _, _ in spans], :members] = np.add.reduceat(p, [first for _, first, _ in spans], axis=0)
-        dz[rows] += back
-    dt = (dz @ w["W2"].T) * slope
-    g["W2"], g["W1"], g["b1"] = t.T @ dz, h.T @ dt, dt.sum(axis=0)
-    dh = np.zeros((x.shape[0] * STRIDE, DIM), np.float32)
-    dh[live] = dz + dt @ w["W1"].T
-    dh = dh.reshape(-1, STRIDE, DIM)
-    da = np.matmul(dh, vs.transpose(0, 2, 1))
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
+            if last > first:
+                part = p[first - start : last - start]
+                np.dot(z[first:last].T, part, out=grad[j])
+                np.dot(part, own[j, :DIM].T, out=back[first - start : last - start])
+        dz[start:end] += back
+    dt = dz @ w.outer.T
+    dt *= slope
+    np.matmul(t.T, dz, out=g.outer)
+    np.matmul(h.T, dt, out=g.inner)
+    dz += dt @ w.inner[:DIM].T
+    dh = np.zeros((b * STRIDE, DIM), dtype)
+    dh[order] = dz
+    mean = np.einsum("ij,ij->i", dh, seen)
+    mean *= share
+    shared = (dh * share[:, None]).reshape(b, STRIDE, DIM)
+    da = np.matmul(shared, v.transpose(0, 2, 1))
+    da -= mean.reshape(b, STRIDE, 1)
+    da *= a
     over = da.sum(axis=0)
-    g["r"] = np.bincount(np.maximum(_AHEAD, 0).reshape(-1), weights=np.where(_AHEAD >= 0, over, 0).reshape(-1), minlength=WINDOW).astype(np.float32)
+    g.r[...] = np.bincount(np.maximum(_AHEAD, 0).reshape(-1), weights=np.where(_AHEAD >= 0, over, 0).reshape(-1), minlength=WINDOW)
+    back = np.empty_like(qkv)
+    back[:, :-STRIDE, :DIM] = 0
+    np.matmul(da, k, out=back[:, -STRIDE:, :DIM])
+    np.matmul(da.transpose(0, 2, 1), q, out=back[..., DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), shared, out=back[..., 2 * DIM :])
+    back = back.reshape(-1, 3 * DIM)
+    # q comes with its scale, k meets it in q
+    np.matmul(e.T, back, out=g.qkv)
+    g.qkv *= _SCALE.astype(dtype)
+    each = back @ scaled.T
+    each.reshape(b, WINDOW, DIM)[:, -STRIDE:] += dh.reshape(b, STRIDE, DIM)
+    places = (at[:, None].astype(np.int64) * DIM + np.arange(DIM)).reshape(-1)
+    g.e[...] = np.bincount(places, weights=each.reshape(-1), minlength=g.e.size).reshape(g.e.shape)
+    return loss / n, len(live)
+
+
+def gradients(w: Weights, x: np.ndarray, target: np.ndarray) -> tuple[Weights, float, int]:
+    """Of the mean negative log probability of target (windows, STRIDE), -1 where there is none; that and the number of targets."""
+    own = _Flat.of(w)
+    g = _Flat(own.all.dtype)
+    loss, n = _descent(own, g, x, target)
+    return g.put({name: np.zeros_like(p) for name, p in w.items()}), loss, n
 
-    def to_rows(at: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        each = (at.reshape(-1, 1) * DIM + np.arange(DIM)).reshape(-1)
-        return np.bincount(each, weights=grad.reshape(-1), minlength=(KNOWN + 2) * DIM).reshape(-1, DIM).astype(np.float32)
 
-    gq = to_rows(xq, np.matmul(da, k[xs])) * np.float32(DIM**-0.5)
-    gk = to_rows(xs, np.matmul(da.transpose(0, 2, 1), q[xq]))
-    gv = to_rows(xs, np.matmul(a.transpose(0, 2, 1), dh))
-    g["E"] = to_rows(xq, dh)
-    for name, own in (("Wq", gq), ("Wk", gk), ("Wv", gv)):
-        g[name] = w["E"].T @ own
-        g["E"] += own @ w[name].T
-    return g, loss / n, len(live)
+#: Weights that a step of ``trained`` changes at once, so that they and what belongs to them stay in a core's cache.
+AT_HAND = 16_384
 
 
 def trained(w: Weights, inputs: np.ndarray, targets: np.ndarray, tokens: int, rate: float, last_rate: float, seed: int, batch: int = 96) -> tuple[Weights, int]:
@@ -314,25 +388,28 @@ def trained(w: Weights, inputs: np.ndarray, targets: np.ndarray, tokens: int, ra
     if not len(inputs) or not (targets >= 0).any():
         return w, 0
     rng = np.random.default_rng(seed)
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    own = _Flat.of(w)
+    g, m, v = (_Flat(own.all.dtype) for _ in range(3))
+    chunks = [[x.all[k : k + AT_HAND] for x in (own, g, m, v)] for k in range(0, len(own.all), AT_HAND)]
     seen = step = 0
     while seen < tokens:
-        for own in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)):
-            g, _, n = gradients(w, inputs[own], targets[own])
+        for some in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)):
+            seen += _descent(own, g, inputs[some], targets[some])[1]
             step += 1
-            seen += n
             lr = last_rate + (rate - last_rate) * max(0.0, 1 - seen / tokens)
-            for k in w:
-                m[k] *= np.float32(0.9)
-                m[k] += g[k] * np.float32(0.1)
-                v[k] *= np.float32(0.99)
-                np.square(g[k], out=g[k])
-                g[k] *= np.float32(0.01)
-                v[k] += g[k]
-                root = np.sqrt(v[k], out=g[k])
-                root *= np.float32((1 - 0.99**step) ** -0.5)
-                root += np.float32(1e-7)
-                w[k] -= np.divide(m[k], root, out=root) * np.float32(lr / (1 - 0.9**step))
+            # m is ten times the mean of gradients, v a hundred times that of squares
+            root = (1 - 0.99**step) ** 0.5
+            for here, grad, mean, square in chunks:
+                mean *= 0.9
+                mean += grad
+                grad *= grad
+                square *= 0.99
+                square += grad
+                np.sqrt(square, out=grad)
+                grad += 1e-6 * root
+                np.divide(mean, grad, out=grad)
+                grad *= lr * root / (1 - 0.9**step)
+                here -= grad
             if seen >= tokens:
                 break
-    return w, seen
+    return own.put(w), seen

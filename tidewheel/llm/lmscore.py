@@ -8,7 +8,7 @@ classes, its tail and its first biases.
 ``attention`` is trained on all windows of all training documents, however large the corpus is. The first
 round trains on about one shard of bounded size, taken evenly from all documents, which gives the others
 a common start. In the second every task goes through its own documents, deals their windows into
-shards and trains each from the same weights (only a corpus of fewer blocks than cores is shuffled for it);
+shards and trains each from the same weights (only a corpus of few blocks is shuffled for it);
 the results are averaged, weighted by tokens. Scoring is one pass over the documents as ids: each token is scored once, in the one of its
 overlapping windows that has it among the last ``STRIDE``.
 
@@ -154,6 +154,16 @@ def _seeded(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select(F.pmod(F.xxhash64("doc_id", "slots"), F.lit(1 << 31)).alias("seed"), "slots")
 
 
+def spread(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """The training documents for a round of ``weighed``, and its tasks. A task has a shard's worth of a small corpus. Of a few blocks some have many times the tokens
+    of others, and all would wait for the largest: documents are dealt evenly, two tasks a core. Many blocks stay where they are."""
+    found, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    few = found < 4 * cores
+    tasks = min(shards, 2 * cores if few else found)
+    rows = _seeded(docs)
+    return (rows.repartition(tasks, "seed").sortWithinPartitions("seed", "slots") if few and tasks > 1 else rows.coalesce(tasks)), tasks
+
+
 def training_windows(docs: DataFrame, share: float, shards: int) -> DataFrame:
     """A share of the windows of each training document, evenly apart, from a place that a hash gives, so short documents give theirs as often as long ones: shard, inputs, targets (so many windows in a row)."""
 
@@ -269,11 +279,7 @@ def score(df: DataFrame, path: str, pattern: str, share: float | None = None, id
     subwords = int(counts.sum())
     share = share or share_for(subwords)
     shards = max(1, int(subwords * share) // SHARD_TOKENS)
-    # a task has a shard's worth of a small corpus; few blocks are dealt to all cores
-    few, cores = ids.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    tasks = min(shards, max(few, cores))
-    rows = _seeded(ids)
-    rows = rows.repartition(tasks, "seed").sortWithinPartitions("seed", "slots") if few < tasks else rows.coalesce(tasks)
+    rows, tasks = spread(ids, shards)
     for number, (passes, *rates) in enumerate(ROUNDS):
         if number:
             sums = weighed(rows, partial(_dealt, share=share, shards=BESIDE), weights, number, passes, tuple(rates), SHARD_TOKENS)
