@@ -208,6 +208,7 @@ def test_training_is_spread_evenly_over_tasks(spark):
     assert len(sizes) == tasks == 2 * cores and max(sizes) < 1.5 * sum(sizes) / len(sizes)
     assert sum(sizes) == sum(len(lmscore.unpacked(x, np.uint16)) for _, out, x in docs if not out)
     assert lmscore.spread(df, 1)[0].rdd.getNumPartitions() == 1
+    assert lmscore.spread(df, cores)[1] == cores
     many = df.repartition(4 * cores)
     assert lmscore.spread(many, 10_000)[1] == 4 * cores and "Exchange" not in lmscore.spread(many.sparkSession.range(0, 9, 1, 4 * cores).selectExpr("id doc_id", "false held_out", "binary('') slots"), 10_000)[0]._jdf.queryExecution().toString()
 

@@ -155,13 +155,13 @@ def _seeded(docs: DataFrame) -> DataFrame:
 
 
 def spread(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """The training documents for a round of ``weighed``, and its tasks. A task has a shard's worth of a small corpus. Of a few blocks some have many times the tokens
-    of others, and all would wait for the largest: documents are dealt evenly, two tasks a core. Many blocks stay where they are."""
+    """The training documents for a round of ``weighed``, and its tasks. A task has a shard's worth of a small corpus, whose few blocks are dealt to all cores. Of a few
+    blocks of a larger one some have many times the tokens of others, and all would wait for the largest: documents are dealt evenly, two tasks a core. Many blocks stay where they are."""
     found, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    few = found < 4 * cores
-    tasks = min(shards, 2 * cores if few else found)
+    even = found < 4 * cores and shards >= BESIDE * cores  # several shards a task, so that they are as large as before
+    tasks = 2 * cores if even else min(shards, max(found, cores))
     rows = _seeded(docs)
-    return (rows.repartition(tasks, "seed").sortWithinPartitions("seed", "slots") if few and tasks > 1 else rows.coalesce(tasks)), tasks
+    return (rows.repartition(tasks, "seed").sortWithinPartitions("seed", "slots") if even or found < tasks else rows.coalesce(tasks)), tasks
 
 
 def training_windows(docs: DataFrame, share: float, shards: int) -> DataFrame:
